@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkir.llm import distinctive, rankfuse, terms
+from sparkir.llm import distinctive, names, rankfuse, terms
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,9 +43,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms(spark, d).filter("mark IS NOT NULL").select("term", "mark")
 
 
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(names.typed_names(table(spark, d, "documents")))[0]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(p5_clusters(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_models": p2_models,
     "p3_found": p3_found, "p3_ranking": p3_ranking,
+    "p5_found": p5_found, "p5_clusters": p5_clusters,
     "p4_found": p4_found, "p4_terms": p4_terms, "p4_text_terms": p4_text_terms,
 }
 
