@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkir.llm import distinctive, names, rankfuse, terms
+from sparkir.llm import distinctive, names, neardup, rankfuse, terms, truncation
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,7 +51,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(p5_clusters(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.document_pairs(*neardup.near_duplicates(table(spark, d, "documents"), least_words=30))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "documents"), least_words=30))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return truncation.examined(docs).filter("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text")))
+
+
 QUERIES = {
+    "p7_found": p7_found, "p7_groups": p7_groups,
+    "p10_found": p10_found, "p10_rates": p10_rates,
     "p2_found": p2_found, "p2_models": p2_models,
     "p3_found": p3_found, "p3_ranking": p3_ranking,
     "p5_found": p5_found, "p5_clusters": p5_clusters,
@@ -82,6 +101,11 @@ TERM_SQL = """SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS d
   CASE WHEN count(*) < 2 THEN 'rare' WHEN count(*) >= 0.3 * (SELECT count(*) FROM documents) THEN 'common' END AS mark FROM {0} GROUP BY 1"""
 
 SQL = {
+    "p7_found": r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS b FROM documents), k AS (SELECT doc_id, b, len(b) AS n FROM w WHERE len(b) >= 30),
+        p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, x.n + y.n AS s, len(list_intersect(x.b, y.b)) AS i FROM k x JOIN k y ON x.doc_id < y.doc_id AND x.n <= y.n * 1.25 AND y.n <= x.n * 1.25)
+        SELECT doc_a, doc_b FROM p WHERE i * 10 >= 8 * (s - i)""",
+    "p10_found": r"""WITH b AS (SELECT doc_id, rtrim(regexp_replace(text, '(\s*\n[ \t]*(-- |— |- |Signed, |Ref: |#)[^\n]*)*\s*$', ''), chr(10) || ' ') AS body FROM documents WHERE trim(text, chr(10) || ' ') <> '')
+        SELECT doc_id FROM b WHERE body <> '' AND (NOT regexp_matches(body, '[.!?]["'')]*$') OR body LIKE '%..')""",
     "p2_found": f"""WITH {COUNTED}, d AS (SELECT doc_id, sum(tf) AS total FROM counted GROUP BY 1), t AS (SELECT term, count(*) AS df FROM counted GROUP BY 1)
         SELECT doc_id, term FROM counted JOIN d USING (doc_id) JOIN t USING (term) WHERE tf >= 3 AND tf * 25 >= total AND df BETWEEN 2 AND 8""",
     "p3_found": f"""WITH {PLACED} SELECT query_id, document_id FROM placed JOIN counting USING (query_id, signal)
