@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkir.llm import distinctive, names, neardup, rankfuse, terms, truncation
+from sparkir.llm import distinctive, names, nearest, neardup, rankfuse, terms, truncation
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(p5_clusters(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    v = nearest.usable_vectors(table(spark, d, "vectors"))
+    return nearest.close_pairs(nearest.nearest(v, k=5, cosine=0.95, least=0.95), 0.95)
+
+
+def p6_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The queries are the vectors whose id is divisible by 20; all vectors are searched."""
+    v = nearest.usable_vectors(table(spark, d, "vectors"))
+    asked = v.filter(F.expr("try_cast(vec_id AS BIGINT) % 20 = 0")).select("vec_id")
+    return nearest.nearest(v, k=5, cosine=0.55, recall=0.97, radius=2, spread=2.5, queries=asked)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.document_pairs(*neardup.near_duplicates(table(spark, d, "documents"), least_words=30))
 
@@ -69,6 +81,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found, "p6_knn": p6_knn,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p10_found": p10_found, "p10_rates": p10_rates,
     "p2_found": p2_found, "p2_models": p2_models,
@@ -101,6 +114,11 @@ TERM_SQL = """SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS d
   CASE WHEN count(*) < 2 THEN 'rare' WHEN count(*) >= 0.3 * (SELECT count(*) FROM documents) THEN 'common' END AS mark FROM {0} GROUP BY 1"""
 
 SQL = {
+    "p6_found": """WITH l AS (SELECT vec_id, arg_max(embedding, ord) AS e FROM vectors WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1),
+        v AS (SELECT vec_id, e FROM l WHERE len(e) = 48 AND list_inner_product(e, e) > 0),
+        p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS k FROM p)
+        SELECT DISTINCT least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM r WHERE k <= 5 AND c >= 0.95""",
     "p7_found": r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS b FROM documents), k AS (SELECT doc_id, b, len(b) AS n FROM w WHERE len(b) >= 30),
         p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, x.n + y.n AS s, len(list_intersect(x.b, y.b)) AS i FROM k x JOIN k y ON x.doc_id < y.doc_id AND x.n <= y.n * 1.25 AND y.n <= x.n * 1.25)
         SELECT doc_a, doc_b FROM p WHERE i * 10 >= 8 * (s - i)""",
