@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkir.llm import distinctive, names, nearest, neardup, rankfuse, terms, truncation
+from sparkir.llm import distinctive, mixing, names, nearest, neardup, packing, rankfuse, terms, tokens, truncation
+from sparkir.session import stage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,6 +72,31 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "documents"), least_words=30))
 
 
+def sized_documents(spark: SparkSession, d: str, folder: str = tokens.TOKENIZERS) -> DataFrame:
+    """(doc_id, source, tokens), kept so that texts are tokenized once."""
+    docs = table(spark, d, "documents")
+    return stage(docs.select("doc_id", truncation.normal_source("source").alias("source"), tokens.token_counter(folder)("text").alias("tokens")), "sized")
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(sized_documents(spark, d), table(spark, d, "context_windows"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packing(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    sized = sized_documents(spark, d)
+    return mixing.mixture(sized, mixing.repetition_rates(sized, table(spark, d, "source_targets")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = sized_documents(spark, d)
+    rates = mixing.repetition_rates(sized, table(spark, d, "source_targets"))
+    return mixing.share_report(mixing.mixture(sized, rates), rates)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     return truncation.examined(docs).filter("cut").select("doc_id").distinct()
@@ -81,6 +107,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p6_found": p6_found, "p6_knn": p6_knn,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p10_found": p10_found, "p10_rates": p10_rates,
