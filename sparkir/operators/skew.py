@@ -18,12 +18,12 @@ def hot_keys(df: DataFrame, keys: list[str], parts: int = PARTS, least: int = LE
 
     Null keys are never hot. The counts are combined on the map side, so a hot key costs one row per task.
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).count()
-    top = counts.filter(F.col("count") > least).orderBy(F.desc("count")).limit(parts).collect()
-    if not top:
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__rows"))
+    most = counts.agg(F.sum("__rows").alias("total"), F.max("__rows").alias("most")).first()
+    bound = max(least, (most.total or 0) / parts)
+    if (most.most or 0) <= bound:
         return []
-    total = counts.agg(F.sum("count")).first()[0]
-    return [tuple(r) for r in top if r["count"] > total / parts]
+    return [tuple(r) for r in counts.filter(F.col("__rows") > bound).select(*keys, "__rows").collect()]
 
 
 def _hot_frame(df: DataFrame, keys: list[str], hot: list[tuple], least: int) -> DataFrame:

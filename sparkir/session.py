@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,7 +48,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written as a Parquet table in the shared folder: columns stay prunable, unlike with a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as a Parquet table in the shared folder: columns stay prunable, unlike with a checkpoint.
+
+    The table is kept until the driver's Python ends or `drop_stages` is called, as plans may read it any time."""
+    spark = df.sparkSession
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes the tables that this application's `stage` calls wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            drop_stages(spark)
+        except Exception:  # noqa: BLE001  the session has ended before
+            pass
