@@ -49,7 +49,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, key: str, paren
 
     Step one is a left anti-join of the distinct keys with the parent keys, so hot keys weigh as much as rare ones.
     Only references to keys that do exist take part in step two, an anti-join on key and time, salted for hot keys.
-    Null keys give no row; repeated reference rows are kept; extra columns are carried along.
+    Null keys give no row; repeated reference rows are kept; extra columns are carried along. references is read several
+    times, so it should be a stored table.
     """
     refs = references.filter(F.col(key).isNotNull())
     rows = parents.filter(F.col(parent_key).isNotNull())

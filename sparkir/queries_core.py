@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkir.operators import orphans as O
+from sparkir.session import stage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    refs = O.document_references(table(spark, d, "documents"))
+    refs = stage(O.document_references(table(spark, d, "documents")), "node-keys")
     nodes = table(spark, d, "nodes").select(O.normal_key("node_id").alias("parent_key"), "created_at", "deleted_at")
     return refs, O.orphan_references(refs, nodes, "node_key", "parent_key", "ingested_at", "created_at", "deleted_at")
 
