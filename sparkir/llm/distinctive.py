@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.operators.skew import salted_join
+from sparkir.session import stage
 
 
 def parsimonious(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own_share: float, tolerance: float, rounds: int) -> np.ndarray:
@@ -49,6 +50,7 @@ def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float =
     of one document are then gathered, which is bounded by the document itself, and many documents go through one
     vectorised run.
     """
+    postings = stage(postings.select("term", "doc_id", "tf"), "postings")  # used three times
     counts = postings.groupBy("term").agg(F.sum("tf").alias("__cf"), F.count("*").alias("documents"))
     total = counts.agg(F.sum("__cf").alias("__total"))
     background = counts.join(F.broadcast(total)).select("term", "documents", F.expr("coalesce(__cf / nullif(__total, 0), 0.0D)").alias("background"))
