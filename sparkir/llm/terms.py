@@ -44,5 +44,5 @@ def term_frequency(postings: DataFrame, records: int, rare_below: int = 2, commo
     before the shuffle, so a term of a third of all rows costs the same as any other. An empty table gives no rows.
     """
     counted = postings.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
-    mark = F.when(F.col("documents") < rare_below, F.lit("rare")).when(F.col("documents") >= F.lit(common_share) * records, F.lit("common"))
+    mark = F.when(F.col("documents") < rare_below, F.lit("rare")).when(F.col("documents") >= common_share * records - 1e-6, F.lit("common"))
     return counted.withColumn("mark", mark)

@@ -125,10 +125,10 @@ def examined(documents: DataFrame, text: str = "text", source: str = "source", r
     seen = stage(seen.drop(text), "examined")
     texts = F.sum(F.when(F.col("evidence") != "blank", 1).otherwise(0))
     habits = seen.groupBy("normal_source").agg(texts.alias("n"), F.sum(F.when(F.col("evidence") == "unfinished", 1).otherwise(0)).alias("u"))
-    habits = habits.select("normal_source", ((F.col("n") >= baseline_rows) & (F.col("u") >= baseline_share * F.col("n"))).alias("loose"))
+    habits = habits.select("normal_source", ((F.col("n") >= baseline_rows) & (F.col("u") >= baseline_share * F.col("n"))).alias("__loose"))
     joined = salted_join(seen, habits, ["normal_source"], F.col(row_id), "left")
-    cut = F.col("evidence").isin("mark", "bytes", "escape", "open") | ((F.col("evidence") == "unfinished") & ~F.coalesce("loose", F.lit(False)))
-    return joined.withColumn("cut", F.when(F.col("evidence").isNull() | (F.col("evidence") == "blank"), F.lit(None)).otherwise(cut)).drop("loose")
+    cut = F.col("evidence").isin("mark", "bytes", "escape", "open") | ((F.col("evidence") == "unfinished") & ~F.coalesce("__loose", F.lit(False)))
+    return joined.withColumn("cut", F.when(F.col("evidence").isNull() | (F.col("evidence") == "blank"), F.lit(None)).otherwise(cut)).drop("__loose")
 
 
 def cut_rates(found: DataFrame) -> DataFrame:
