@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.operators.skew import salted_join, spread_rank
+from sparkir.session import stage
 
 SIGNALS = ("lexical", "dense", "graph")
 
@@ -62,7 +63,8 @@ def fuse(results: DataFrame, queries: DataFrame) -> DataFrame:
 
     Places and ranks of hot queries are computed in ranges of the score, the joins on their query_id are salted.
     """
-    ranked = spread_rank(counting_results(results), ["query_id", "signal"], "strength", "place")
+    counted = stage(counting_results(results), "counted")
+    ranked = stage(spread_rank(counted, ["query_id", "signal"], "strength", "place"), "places")
     lengths = ranked.groupBy("query_id", "signal").agg(F.count("*").alias("n"))
     lengths = lengths.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "n"))).alias("lengths"))  # at most three
     wanted = lengths.join(counting_signals(queries), "query_id", "left").withColumn("signals", F.coalesce("signals", F.array(*map(F.lit, SIGNALS))))
@@ -71,7 +73,7 @@ def fuse(results: DataFrame, queries: DataFrame) -> DataFrame:
     items = items.withColumn("places", F.map_filter("every", lambda s, _: F.array_contains(F.col("signals"), s))).filter(F.size("places") > 0)
     normal = F.transform("signals", lambda s: F.coalesce(F.try_element_at("places", s).cast("double") / F.try_element_at("lengths", s), F.lit(1.0)))
     rho = F.coalesce(*[F.when(F.size("signals") == n, significance(normal, n)) for n in range(1, len(SIGNALS) + 1)])
-    scored = items.select("query_id", "document_id", F.size("signals").alias("lists"), "places", F.round(rho, 12).alias("significance"))
+    scored = stage(items.select("query_id", "document_id", F.size("signals").alias("lists"), "places", F.round(rho, 12).alias("significance")), "significance")
     return spread_rank(scored.withColumn("__s", -F.col("significance")), ["query_id"], "__s", "rank").drop("__s")
 
 
