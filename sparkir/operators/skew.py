@@ -34,15 +34,16 @@ def _hot_frame(df: DataFrame, keys: list[str], hot: list[tuple], least: int) ->
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left",
-                where: Column | None = None, parts: int = PARTS, least: int = LEAST) -> DataFrame:
+                where: Column | None = None, parts: int = PARTS, least: int = LEAST, hot: list[tuple] | None = None) -> DataFrame:
     """Equi-join of a long, skewed left side with a right side that has few rows per key.
 
     Rows of a hot key on the left are split over ``rows / least`` salts by ``spread`` (a column of ``left`` that differs
     within the key); the right rows of that key are repeated once per salt. how: inner, left, left_semi or left_anti.
     Null keys match nothing. Columns beside the keys must have different names on the two sides. where: a further
-    condition on such columns.
+    condition on such columns. hot: the result of `hot_keys` of a table with at least as many rows per key, where that is
+    cheaper to count than ``left``.
     """
-    hot = hot_keys(left, keys, parts, least)
+    hot = hot_keys(left, keys, parts, least) if hot is None else hot
 
     def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         if where is None:
@@ -74,14 +75,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
 
 
 def spread_rank(df: DataFrame, keys: list[str], value: str, name: str = "place",
-                parts: int = PARTS, least: int = LEAST) -> DataFrame:
+                parts: int = PARTS, least: int = LEAST, hot: list[tuple] | None = None) -> DataFrame:
     """1 + the number of rows of the same keys with a greater ``value`` (SQL RANK, descending), without one task per key.
 
     A hot key is cut into ranges of ``value`` at approximate quantiles; equal values share a range, the rank inside a
     range is a window over at most that range, and the rows of the ranges above are added. value must be a non-null
-    number. A null key is a group of its own.
+    number. A null key is a group of its own. hot: as for `salted_join`. With hot keys, df is read three times.
     """
-    hot = hot_keys(df, keys, parts, least)
+    hot = hot_keys(df, keys, parts, least) if hot is None else hot
     if not hot:
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(value))).cast("long"))
     table = _hot_frame(df, keys, hot, least)
