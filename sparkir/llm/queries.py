@@ -22,8 +22,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    fused = rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries"))
-    return fused.select("query_id", "document_id", "lists", F.to_json("places").alias("places"), "significance", "rank")
+    return rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkir.operators.skew import salted_join, spread_rank
+from sparkir.operators.skew import hot_keys, salted_join, spread_rank
 from sparkir.session import stage
 
 SIGNALS = ("lexical", "dense", "graph")
@@ -22,62 +22,84 @@ def counting_results(results: DataFrame) -> DataFrame:
     """(query_id, signal, document_id, strength): of each key the latest row that has a score; strength grows with quality.
 
     Null and NaN scores, null keys and unknown signals are dropped; rows of one time: the best counts; a null time is the
-    earliest. Distances (metadata names the metric euclidean) are negated.
+    earliest. Distances (metadata names the metric euclidean) are negated. The keys are fine-grained, so one even shuffle
+    serves both aggregations.
     """
     rows = results.filter("score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND document_id IS NOT NULL")
     rows = rows.filter(F.col("signal").isin(*SIGNALS))
-    far = F.coalesce(F.lower(F.get_json_object("metadata", "$.metric")) == "euclidean", F.lit(False))
+    named = F.contains(F.lower("metadata"), F.lit("euclidean"))  # spares most rows the parser
+    far = F.coalesce(named & (F.lower(F.get_json_object("metadata", "$.metric")) == "euclidean"), F.lit(False))
     strength = F.when(far, -F.col("score")).otherwise(F.col("score")) + F.lit(0.0)
-    v = F.struct(F.col("retrieved_at").alias("at"), strength.alias("strength"))
-    return rows.select("query_id", "signal", "document_id", v.alias("v")).groupBy("query_id", "signal", "document_id").agg(F.max("v").alias("v")).select("query_id", "signal", "document_id", "v.strength")
+    at = F.coalesce(F.col("retrieved_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    key = ["query_id", "signal", "document_id"]
+    rows = rows.select(*key, strength.alias("strength"), at.alias("at")).repartition(*key)
+    return rows.groupBy(*key, "at").agg(F.max("strength").alias("strength")).groupBy(*key).agg(F.max_by("strength", "at").alias("strength"))
 
 
 def counting_signals(queries: DataFrame) -> DataFrame:
-    """(query_id, signals): those whose score is above 0, or all three if none is; a repeated query_id: of any of its rows."""
-    own = [F.max(F.when(F.coalesce(F.nanvl(F.col(f"{s}_score"), F.lit(0.0)), F.lit(0.0)) > 0, F.lit(s))).alias(s) for s in SIGNALS]
+    """(query_id, c_lexical, c_dense, c_graph): whether a signal counts, as its score is above 0, or as none is; a repeated
+    query_id: above 0 in any of its rows."""
+    own = [F.max(F.coalesce(F.nanvl(F.col(f"{s}_score"), F.lit(0.0)), F.lit(0.0)) > 0).alias(f"own_{s}") for s in SIGNALS]
     q = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(*own)
-    some = F.array_compact(F.array(*SIGNALS))
-    return q.select("query_id", F.when(F.size(some) > 0, some).otherwise(F.array(*map(F.lit, SIGNALS))).alias("signals"))
+    none = ~(F.col("own_lexical") | F.col("own_dense") | F.col("own_graph"))
+    return q.select("query_id", *[(F.col(f"own_{s}") | none).alias(f"c_{s}") for s in SIGNALS])
 
 
-def significance(places: Column, lists: int) -> Column:
-    """The corrected least beta probability of ``lists`` normalised places (an array of doubles in [0, 1])."""
-    r = F.array_sort(places)
+def significance(places: list[Column]) -> Column:
+    """The corrected least beta probability of the normalised places, of which those of lists that do not count are null."""
+    lists = sum((p.isNotNull().cast("int") for p in places[1:]), places[0].isNotNull().cast("int"))
+    r = F.array_sort(F.array_compact(F.array(*places))) if len(places) > 3 else None
 
-    def beyond(k: int) -> Column:  # P(at least k of n uniform places are <= r_k)
-        x = F.get(r, F.lit(k - 1))
-        return sum((F.lit(float(comb(lists, j))) * F.pow(x, F.lit(float(j))) * F.pow(F.lit(1.0) - x, F.lit(float(lists - j))) for j in range(k, lists + 1)), F.lit(0.0))
+    def smallest(k: int, n: int) -> Column:
+        if r is not None:
+            return F.get(r, F.lit(k - 1))
+        if n == 1:
+            return F.coalesce(*places)
+        low, high = F.least(*places), F.greatest(*places)  # both skip nulls
+        if k in (1, n):
+            return low if k == 1 else high
+        return sum(places[1:], places[0]) - low - high
 
-    probabilities = [beyond(k) for k in range(1, lists + 1)]
-    least = F.least(*probabilities) if lists > 1 else probabilities[0]
-    return F.least(F.lit(1.0), least * F.lit(float(lists)))
+    def corrected(n: int) -> Column:
+        def beyond(k: int) -> Column:  # P(at least k of n uniform places are <= the k-th)
+            x = smallest(k, n)
+            return sum((F.lit(float(comb(n, j))) * F.pow(x, F.lit(float(j))) * F.pow(F.lit(1.0) - x, F.lit(float(n - j))) for j in range(k, n + 1)), F.lit(0.0))
 
+        every = [beyond(k) for k in range(1, n + 1)]
+        return F.least(F.lit(1.0), (F.least(*every) if n > 1 else every[0]) * F.lit(float(n)))
 
-def fuse(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, document_id, lists, places, significance, rank): one list per query out of its counting signals.
+    return F.coalesce(*[F.when(lists == n, corrected(n)) for n in range(1, len(places) + 1)])
 
-    lists is the number of counting signals, places maps each of them that holds the document to its place (1 + the number
-    of strictly better ones). A place is normalised by the length of its list; a list without the document counts as 1,
-    and so does an empty one. rank orders by significance (equal ones share a rank). Queries without a row in ``queries``
-    use all signals; those without results give no rows.
+
+def fuse(results: DataFrame, queries: DataFrame, least: int = 100_000) -> DataFrame:
+    """(query_id, document_id, lists, place_lexical, place_dense, place_graph, significance, rank): one list per query.
+
+    lists is the number of counting signals; a place is 1 + the number of strictly better documents of that signal, null
+    if it does not count or lacks the document. Documents that no counting signal has are left out. A place is normalised
+    by the length of its list; a counting list without the document, or an empty one, gives 1. rank orders by
+    significance (equal ones share a rank). Queries without a row in ``queries`` use all signals; those without results
+    give no rows.
 
     Places and ranks of hot queries are computed in ranges of the score, the joins on their query_id are salted.
     """
     counted = stage(counting_results(results), "counted")
-    ranked = stage(spread_rank(counted, ["query_id", "signal"], "strength", "place"), "places")
-    lengths = ranked.groupBy("query_id", "signal").agg(F.count("*").alias("n"))
-    lengths = lengths.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "n"))).alias("lengths"))  # at most three
-    wanted = lengths.join(counting_signals(queries), "query_id", "left").withColumn("signals", F.coalesce("signals", F.array(*map(F.lit, SIGNALS))))
-    items = ranked.groupBy("query_id", "document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "place")))).alias("every"))  # at most three
-    items = salted_join(items, wanted, ["query_id"], F.col("document_id"), "inner")
-    items = items.withColumn("places", F.map_filter("every", lambda s, _: F.array_contains(F.col("signals"), s))).filter(F.size("places") > 0)
-    normal = F.transform("signals", lambda s: F.coalesce(F.try_element_at("places", s).cast("double") / F.try_element_at("lengths", s), F.lit(1.0)))
-    rho = F.coalesce(*[F.when(F.size("signals") == n, significance(normal, n)) for n in range(1, len(SIGNALS) + 1)])
-    scored = stage(items.select("query_id", "document_id", F.size("signals").alias("lists"), "places", F.round(rho, 12).alias("significance")), "significance")
-    return spread_rank(scored.withColumn("__s", -F.col("significance")), ["query_id"], "__s", "rank").drop("__s")
+    hot = hot_keys(counted, ["query_id"], least=least)
+    ranked = spread_rank(counted, ["query_id", "signal"], "strength", "place", least=least)
+    one = lambda s, c: F.max(F.when(F.col("signal") == s, F.col(c)))
+    lengths = counted.groupBy("query_id", "signal").agg(F.count("*").alias("n")).groupBy("query_id").agg(*[one(s, "n").alias(f"n_{s}") for s in SIGNALS])
+    wanted = lengths.join(counting_signals(queries), "query_id", "left").na.fill(True, [f"c_{s}" for s in SIGNALS])
+    items = ranked.groupBy("query_id", "document_id").agg(*[one(s, "place").alias(f"p_{s}") for s in SIGNALS])
+    items = salted_join(items, wanted, ["query_id"], F.col("document_id"), "inner", least=least, hot=hot)
+    place = {s: F.when(F.col(f"c_{s}"), F.col(f"p_{s}")) for s in SIGNALS}
+    normal = [F.when(F.col(f"c_{s}"), F.coalesce(F.col(f"p_{s}").cast("double") / F.col(f"n_{s}"), F.lit(1.0))) for s in SIGNALS]
+    count = sum((F.col(f"c_{s}").cast("int") for s in SIGNALS[1:]), F.col(f"c_{SIGNALS[0]}").cast("int"))
+    scored = items.filter(F.coalesce(*place.values()).isNotNull())
+    scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], F.round(significance(normal), 12).alias("significance"))
+    scored = stage(scored.withColumn("__s", -F.col("significance")), "significance")
+    return spread_rank(scored, ["query_id"], "__s", "rank", least=least, hot=hot).drop("__s")
 
 
 def agreed(fused: DataFrame, within: int = 5) -> DataFrame:
     """(query_id, document_id) at place ``within`` or better in every one of at least two counting signals."""
-    near = F.forall(F.map_values("places"), lambda p: p <= within)
-    return fused.filter((F.col("lists") >= 2) & (F.size("places") == F.col("lists")) & near).select("query_id", "document_id").distinct()
+    near = sum((F.coalesce((F.col(f"place_{s}") <= within).cast("int"), F.lit(0)) for s in SIGNALS), F.lit(0))
+    return fused.filter((F.col("lists") >= 2) & (near == F.col("lists"))).select("query_id", "document_id").distinct()
