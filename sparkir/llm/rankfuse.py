@@ -7,7 +7,9 @@ probabilities, times n, is the item's significance.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
+from operator import add, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,8 @@ def significance(places: list[Column]) -> Column:
     def corrected(n: int) -> Column:
         def beyond(k: int) -> Column:  # P(at least k of n uniform places are <= the k-th)
             x = smallest(k, n)
-            return sum((F.lit(float(comb(n, j))) * F.pow(x, F.lit(float(j))) * F.pow(F.lit(1.0) - x, F.lit(float(n - j))) for j in range(k, n + 1)), F.lit(0.0))
+            factors = ([F.lit(float(comb(n, j)))] * (comb(n, j) > 1) + [x] * j + [F.lit(1.0) - x] * (n - j) for j in range(k, n + 1))
+            return reduce(add, (reduce(mul, f) for f in factors))  # products are far cheaper than powers
 
         every = [beyond(k) for k in range(1, n + 1)]
         return F.least(F.lit(1.0), (F.least(*every) if n > 1 else every[0]) * F.lit(float(n)))
@@ -93,7 +96,8 @@ def fuse(results: DataFrame, queries: DataFrame, least: int = 100_000) -> DataFr
     place = {s: F.when(F.col(f"c_{s}"), F.col(f"p_{s}")) for s in SIGNALS}
     normal = [F.when(F.col(f"c_{s}"), F.coalesce(F.col(f"p_{s}").cast("double") / F.col(f"n_{s}"), F.lit(1.0))) for s in SIGNALS]
     count = sum((F.col(f"c_{s}").cast("int") for s in SIGNALS[1:]), F.col(f"c_{SIGNALS[0]}").cast("int"))
-    scored = items.filter(F.coalesce(*place.values()).isNotNull())
+    scored = items.filter(F.coalesce(*place.values()).isNotNull()).withColumns({f"r_{s}": c for s, c in zip(SIGNALS, normal)})
+    normal = [F.col(f"r_{s}") for s in SIGNALS]
     scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], F.round(significance(normal), 12).alias("significance"))
     scored = stage(scored.withColumn("__s", -F.col("significance")), "significance")
     return spread_rank(scored, ["query_id"], "__s", "rank", least=least, hot=hot).drop("__s")
