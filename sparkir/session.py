@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sparkir") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +26,25 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they can import it wherever they start."""
+    sc = spark.sparkContext
+    if _shipped.get("app") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sparkir-package-")) / "sparkir_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))  # Spark's file server hands it to the executors
+    _shipped["app"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
