@@ -19,6 +19,8 @@ from sparkir.operators.skew import salted_join
 from sparkir.session import cut, stage
 
 PARITY_WORDS = 4
+#: A word of so few texts is telling in a collection of any size.
+FEW = 100
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -103,8 +105,9 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     Texts of the same distinct words are one class, named after its least doc_id, before anything is compared. Null and
     blank texts and null ids are left out; of rows that repeat a doc_id with different texts the row of the least hash counts.
 
-    Sampling weights of words in more than ``common`` of the texts fall with their frequency, so sketches consist of
-    telling words; there are at most (mean distinct words / common) such words, and only their table goes to the tasks.
+    Sampling weights of words in more than ``common`` of the texts (and more than FEW) fall with their frequency, so
+    sketches consist of telling words; there are at most (mean distinct words / common) such words, and only their table
+    goes to the tasks.
     A pair of similarity s shares a given sketch with about s ** kept times the chance that the sampled words kept their
     order, and one of ``sketches`` almost surely. Before verification, pairs are pruned without loss by their sizes and by
     parity bitmaps: each word of only one side flips one bit, so more different bits than words allowed rule a pair out.
@@ -122,9 +125,10 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     reps = stage(docs.join(heads, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class_id"), "seq", "bag", "n"), "classes")
     total = reps.count()
     counts = reps.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    often = counts.filter(F.col("df") > max(1.0, common * total)).collect()
+    bound = max(FEW, common * total)
+    often = counts.filter(F.col("df") > bound).collect()
     table = np.array(sorted((r.word, r.df) for r in often), dtype=np.int64).reshape(-1, 2)
-    shared = documents.sparkSession.sparkContext.broadcast((table[:, 0].copy(), (common * total / np.maximum(table[:, 1], 1)) ** 2))
+    shared = documents.sparkSession.sparkContext.broadcast((table[:, 0].copy(), (bound / np.maximum(table[:, 1], 1)) ** 2))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, factor = shared.value
