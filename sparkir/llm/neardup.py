@@ -87,20 +87,20 @@ def matches_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(best.max())
 
 
-def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text", least_words: int = 1) -> DataFrame:
-    """(doc_id, seq, bag, n, h1, h2): hashed words in order, the sorted distinct ones, their number and hash; texts of
-    fewer than ``least_words`` distinct words are left out."""
+def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, seq, bag, n, h1, h2): hashed words in order, the sorted distinct ones, their number and hash; texts without
+    a word are left out."""
     seq = F.transform(words(text), lambda w: F.xxhash64(w))
     w = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), seq.alias("seq")).withColumn("bag", F.array_sort(F.array_distinct("seq")))
-    w = w.withColumn("n", F.size("bag")).filter(F.col("n") >= max(1, least_words))
+    w = w.withColumn("n", F.size("bag")).filter("n > 0")
     return w.withColumn("h1", F.xxhash64("bag")).withColumn("h2", F.xxhash64(F.lit(1), "bag"))
 
 
 def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 24, kept: int = 2,
                     common: float = 0.01, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members: (doc_id, class_id), one row per text of at least ``least_words`` distinct words; pairs:
-    (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of classes found whose shared distinct
-    words are at least ``similarity`` of the distinct words of both.
+    """(members, pairs). members: (doc_id, class_id, paired), one row per text with a word; paired: it has at least
+    ``least_words`` distinct words. pairs: (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of
+    classes of such texts found whose shared distinct words are at least ``similarity`` of the distinct words of both.
 
     Texts of the same distinct words are one class, named after its least doc_id, before anything is compared. Null and
     blank texts and null ids are left out; of rows that repeat a doc_id with different texts the row of the least hash counts.
@@ -117,11 +117,11 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     Verification aligns the sorted distinct words in a band as wide as the similarity allows, which makes the similarity
     exact. order_similarity is that of an alignment in text order (2 x matches / words of both).
     """
-    docs = stage(texts_as_words(documents, least_words=least_words), "words")
-    once = docs.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
+    docs = stage(texts_as_words(documents), "words")
+    once = docs.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("h")).select("doc_id", "h.h1", "h.h2", (F.col("h.n") >= least_words).alias("paired"))
     ids = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    members = cut(salted_join(once, ids, ["h1", "h2"], F.col("doc_id"), "inner").select("doc_id", "class_id", "h1", "h2"))
-    heads = members.filter("doc_id = class_id").select("doc_id", "h1", "h2")
+    members = cut(salted_join(once, ids, ["h1", "h2"], F.col("doc_id"), "inner").select("doc_id", "class_id", "paired", "h1", "h2"))
+    heads = members.filter("paired AND doc_id = class_id").select("doc_id", "h1", "h2")
     reps = stage(docs.join(heads, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class_id"), "seq", "bag", "n"), "classes")
     total = reps.count()
     counts = reps.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
@@ -192,7 +192,7 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["class_a", "class_b", "similarity", "order_similarity"])
 
     found = cand.join(a, "id").join(b, "id_b").select("id", "id_b", "bag_a", "bag_b", "seq_a", "seq_b").mapInArrow(verify, "class_a long, class_b long, similarity double, order_similarity double")
-    return members.select("doc_id", "class_id"), found
+    return members.select("doc_id", "class_id", "paired"), found
 
 
 def _by_rare_words(crowd: DataFrame, reps: DataFrame, counts: DataFrame, similarity: float, possible: Column, other) -> DataFrame:
@@ -206,6 +206,7 @@ def _by_rare_words(crowd: DataFrame, reps: DataFrame, counts: DataFrame, similar
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: the pairs of documents behind pairs of classes, and those inside a class."""
+    members = members.filter("paired").select("doc_id", "class_id")
     a = members.select(F.col("class_id").alias("class_a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("class_id").alias("class_b"), F.col("doc_id").alias("y"))
     across = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
@@ -213,9 +214,13 @@ def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def duplicate_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, group_id, links): one row per document. group_id is the least class_id that a chain of similar
-    classes leads to, links the number of other classes that the document's class is similar to."""
+def duplicate_groups(members: DataFrame, pairs: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(doc_id, class_id, group_id, links): one row per member and, with ``documents``, per document id without words, which
+    is a class of its own. group_id is the least class_id that a chain of similar classes leads to, links the number of
+    other classes that the document's class is similar to."""
+    if documents is not None:
+        every = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        members = every.join(members, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     pairs = cut(pairs.select("class_a", "class_b"))
     edges = pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).unionByName(pairs.select(F.col("class_b").alias("a"), F.col("class_a").alias("b")))
     links = edges.groupBy("a").agg(F.count("*").alias("links"))

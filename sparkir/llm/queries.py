@@ -68,7 +68,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, d, "documents"), least_words=30))
+    docs = table(spark, d, "documents")
+    return neardup.duplicate_groups(*neardup.near_duplicates(docs, least_words=30), docs)
 
 
 def sized_documents(spark: SparkSession, d: str, folder: str = tokens.TOKENIZERS) -> DataFrame:

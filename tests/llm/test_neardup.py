@@ -55,7 +55,10 @@ def test_groups(spark):
     for a, b in pairs:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = D.duplicate_groups(*D.near_duplicates(make(spark, data), least_words=30)).collect()
+    every = D.duplicate_groups(*D.near_duplicates(make(spark, data), least_words=30), make(spark, data)).collect()
+    assert sorted(r.doc_id for r in every) == sorted(i for i, _ in data if i is not None)
+    assert {(r.doc_id, r.group_id, r.links) for r in every if r.doc_id in (1000, 1001, 1002)} == {(i, i, 0) for i in (1000, 1001, 1002)}
+    got = [r for r in every if r.doc_id in parent]
     assert {r.doc_id: r.group_id for r in got} == {i: root(i) for i in parent}
     assert all(r.links == 0 for r in got if r.group_id == r.doc_id and sum(x.group_id == r.group_id for x in got) == 1)
 
