@@ -19,6 +19,8 @@ from sparkir.operators.skew import salted_join
 from sparkir.session import cut, stage
 
 PARITY_WORDS = 4
+#: Elements of padded texts aligned at once.
+ALIGNED = 1 << 19
 #: A word of so few texts is telling in a collection of any size.
 FEW = 100
 
@@ -69,22 +71,36 @@ def order_sketches(word: np.ndarray, starts: np.ndarray, weight: np.ndarray, ske
     return out.view(np.int64)
 
 
-def matches_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The most equal elements that an alignment of a and b in order can pair, if it stays within ``band`` of the diagonal.
+def matches_in_band(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray) -> np.ndarray:
+    """Of each pair (a[i], b[i]) the most equal elements that an alignment in order can pair, if it stays within band[i] of
+    the diagonal, or some wider band of a pair that is aligned together with it.
 
     Of two sorted sets that share all but d elements of each this is the number of shared elements at any band >= d, as
-    the places of a shared element differ by at most d.
+    the places of a shared element differ by at most d. Pairs of like length are aligned side by side.
     """
-    best = np.zeros(len(b) + 1, np.int64)
-    for i in range(len(a)):
-        lo, hi = max(0, i - band), min(len(b), i + band + 1)
-        if lo >= hi:
-            continue
-        if i:  # columns the band enters now take over the best to their left
-            best[hi] = max(best[hi], best[hi - 1])
-        step = np.maximum(best[lo + 1 : hi + 1], best[lo:hi] + (b[lo:hi] == a[i]))
-        best[lo + 1 : hi + 1] = np.maximum.accumulate(np.maximum(step, best[lo]))
-    return int(best.max())
+    out = np.zeros(len(a), np.int64)
+    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b)], kind="stable")
+    lo = 0
+    while lo < len(order):
+        longest = max(len(a[order[lo]]), len(b[order[lo]]), 1)
+        hi = lo + max(1, min(len(order) - lo, ALIGNED // (longest * 2)))
+        pick = order[lo:hi]
+        rows, cols, w = max(len(a[i]) for i in pick), max(len(b[i]) for i in pick), int(max(band[i] for i in pick)) + 1
+        x, y = np.zeros((len(pick), rows), np.int64), np.zeros((len(pick), cols + 2 * w + rows + 1), np.int64)
+        real_x, real_y = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+        for k, i in enumerate(pick):
+            x[k, : len(a[i])], y[k, w : w + len(b[i])] = a[i], b[i]
+            real_x[k, : len(a[i])], real_y[k, w : w + len(b[i])] = True, True
+        best, top = np.zeros((len(pick), 2 * w + 2), np.int32), np.zeros(len(pick), np.int32)
+        for i in range(rows):  # column o stands for element i + o - w of b
+            same = (y[:, i : i + 2 * w + 1] == x[:, i : i + 1]) & real_y[:, i : i + 2 * w + 1] & real_x[:, i : i + 1]
+            step = np.maximum(best[:, :-1] + same, best[:, 1:])
+            best[:, :-1] = np.maximum.accumulate(step, axis=1)
+            best[:, -1] = best[:, -2]
+            np.maximum(top, best[:, -2], out=top)
+        out[pick] = top
+        lo = hi
+    return out
 
 
 def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,7 +113,7 @@ def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text"
 
 
 def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 24, kept: int = 2,
-                    common: float = 0.01, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
+                    common: float = 0.01, plain: int = 16, plain_kept: int = 4, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
     """(members, pairs). members: (doc_id, class_id, paired), one row per text with a word; paired: it has at least
     ``least_words`` distinct words. pairs: (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of
     classes of such texts found whose shared distinct words are at least ``similarity`` of the distinct words of both.
@@ -143,14 +159,15 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 weight = np.where(known[at] == word, factor[at], 1.0)
             keys = order_sketches(word.view(np.uint64), starts, weight, sketches, kept)
+            keys = np.concatenate([keys, order_sketches(word.view(np.uint64), starts, np.ones(len(word)), plain, plain_kept)], axis=1)
             # parity of the distinct words in 64 x PARITY_WORDS buckets
             sizes = bag.value_lengths().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(b.num_rows), sizes)
             slot = (mix(bag.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 9) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
             parity = np.bincount(of * 64 * PARITY_WORDS + slot, minlength=b.num_rows * 64 * PARITY_WORDS).reshape(b.num_rows, PARITY_WORDS, 64) & 1
             bits = (parity.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-            rep = np.repeat(np.arange(b.num_rows), sketches)
-            arrays = [pa.array(np.tile(np.arange(sketches, dtype=np.int32), b.num_rows)), pa.array(keys.ravel()), b.column("class_id").take(pa.array(rep)), b.column("n").take(pa.array(rep))]
+            rep = np.repeat(np.arange(b.num_rows), sketches + plain)
+            arrays = [pa.array(np.tile(np.arange(sketches + plain, dtype=np.int32), b.num_rows)), pa.array(keys.ravel()), b.column("class_id").take(pa.array(rep)), b.column("n").take(pa.array(rep))]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(bits[rep, i]) for i in range(PARITY_WORDS)]], names=["band", "key", "id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]])
 
     info = ["id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]]
@@ -177,19 +194,21 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            col = {n: t.column(n) for n in t.schema.names}
-            rows = []
-            for i in range(t.num_rows):
-                x, y = (col[c][i].values.to_numpy(zero_copy_only=False) for c in ("bag_a", "bag_b"))
-                band = int((len(x) + len(y)) * (1 - similarity) / (1 + similarity)) + 1
-                m = matches_in_band(x, y, band)
-                if m < similarity * (len(x) + len(y) - m) - 1e-9:
-                    continue
-                p, q = (col[c][i].values.to_numpy(zero_copy_only=False) for c in ("seq_a", "seq_b"))
-                wide = int(max(len(p), len(q)) * (1 - similarity)) + abs(len(p) - len(q)) + 1
-                rows.append((col["id"][i].as_py(), col["id_b"][i].as_py(), m / (len(x) + len(y) - m), 2 * matches_in_band(p, q, wide) / (len(p) + len(q))))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["class_a", "class_b", "similarity", "order_similarity"])
+            def split(name: str, at: np.ndarray) -> list[np.ndarray]:
+                c = t.column(name)
+                flat, off = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy(zero_copy_only=False)
+                return [flat[off[i] : off[i + 1]] for i in at]
+
+            every = np.arange(t.num_rows)
+            x, y = split("bag_a", every), split("bag_b", every)
+            both = np.array([len(p) + len(q) for p, q in zip(x, y)])
+            m = matches_in_band(x, y, (both * (1 - similarity) / (1 + similarity)).astype(int) + 1)
+            kept = np.flatnonzero(m >= similarity * (both - m) - 1e-9)
+            p, q = split("seq_a", kept), split("seq_b", kept)
+            size = np.array([[len(u), len(v)] for u, v in zip(p, q)]).reshape(-1, 2)
+            ordered = matches_in_band(p, q, (size.max(1, initial=0) * (1 - similarity)).astype(int) + abs(size[:, 0] - size[:, 1]) + 1)
+            ids = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([t.column("id").take(ids), t.column("id_b").take(ids), pa.array(m[kept] / (both - m)[kept]), pa.array(2 * ordered / np.maximum(size.sum(1), 1))], names=["class_a", "class_b", "similarity", "order_similarity"])
 
     found = cand.join(a, "id").join(b, "id_b").select("id", "id_b", "bag_a", "bag_b", "seq_a", "seq_b").mapInArrow(verify, "class_a long, class_b long, similarity double, order_similarity double")
     return members.select("doc_id", "class_id", "paired"), found

@@ -90,7 +90,7 @@ def test_band_alignment_is_exact_on_sorted_sets():
         a = np.unique(r.integers(0, 60, 30))
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.85], r.integers(0, 60, 4)]))
         d = max(len(np.setdiff1d(a, b)), len(np.setdiff1d(b, a)))
-        assert D.matches_in_band(a, b, d) == len(np.intersect1d(a, b))
+        assert D.matches_in_band([a], [b], np.array([d]))[0] == len(np.intersect1d(a, b))
     def lcs(x, y):
         t = np.zeros((len(x) + 1, len(y) + 1), int)
         for i in range(len(x)):
@@ -99,7 +99,16 @@ def test_band_alignment_is_exact_on_sorted_sets():
         return t[-1, -1]
     for _ in range(50):
         x, y = r.integers(0, 5, 12), r.integers(0, 5, 15)
-        assert D.matches_in_band(x, y, 20) == lcs(x, y)
+        assert D.matches_in_band([x], [y], np.array([20]))[0] == lcs(x, y)
+
+
+def test_pairs_aligned_together_do_not_disturb_each_other():
+    r = np.random.default_rng(4)
+    a = [np.unique(r.integers(0, 90, r.integers(1, 60))) for _ in range(300)]
+    b = [np.unique(r.integers(0, 90, r.integers(1, 60))) for _ in range(300)]
+    got = D.matches_in_band(a, b, np.full(300, 90))
+    assert got.tolist() == [len(np.intersect1d(x, y)) for x, y in zip(a, b)]
+    assert len(D.matches_in_band([], [], np.array([]))) == 0
 
 
 def test_sketches_keep_order():
