@@ -79,11 +79,12 @@ def matches_in_band(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray)
     the places of a shared element differ by at most d. Pairs of like length are aligned side by side.
     """
     out = np.zeros(len(a), np.int64)
-    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b)], kind="stable")
-    lo = 0
+    longest = np.array([max(len(x), len(y), 1) for x, y in zip(a, b)], np.int64)
+    order, lo = np.argsort(longest, kind="stable"), 0
+    by_length = longest[order]
     while lo < len(order):
-        longest = max(len(a[order[lo]]), len(b[order[lo]]), 1)
-        hi = lo + max(1, min(len(order) - lo, ALIGNED // (longest * 2)))
+        alike = np.searchsorted(by_length, by_length[lo] * 1.2, "right")  # padding stays small
+        hi = lo + max(1, min(alike - lo, int(ALIGNED // (by_length[alike - 1] * 2))))
         pick = order[lo:hi]
         rows, cols, w = max(len(a[i]) for i in pick), max(len(b[i]) for i in pick), int(max(band[i] for i in pick)) + 1
         x, y = np.zeros((len(pick), rows), np.int64), np.zeros((len(pick), cols + 2 * w + rows + 1), np.int64)
