@@ -114,7 +114,7 @@ def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text"
 
 
 def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 24, kept: int = 2,
-                    common: float = 0.01, plain: int = 16, plain_kept: int = 4, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
+                    common: float = 0.01, plain: int = 12, plain_kept: int = 6, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
     """(members, pairs). members: (doc_id, class_id, paired), one row per text with a word; paired: it has at least
     ``least_words`` distinct words. pairs: (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of
     classes of such texts found whose shared distinct words are at least ``similarity`` of the distinct words of both.
