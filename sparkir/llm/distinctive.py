@@ -52,8 +52,8 @@ def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float =
     """
     postings = stage(postings.select("term", "doc_id", "tf"), "postings")  # used three times
     counts = postings.groupBy("term").agg(F.sum("tf").alias("__cf"), F.count("*").alias("documents"))
-    total = counts.agg(F.sum("__cf").alias("__total"))
-    background = counts.join(F.broadcast(total)).select("term", "documents", F.expr("coalesce(__cf / nullif(__total, 0), 0.0D)").alias("background"))
+    total = float(postings.agg(F.sum("tf")).first()[0] or 0)
+    background = counts.select("term", "documents", (F.col("__cf") / F.lit(total) if total else F.lit(0.0)).alias("background"))
     rows = salted_join(postings, background, ["term"], F.col("doc_id"), "inner")
     kind = dict(rows.dtypes)["doc_id"]
     grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "documents", "background"))).alias("t"))

@@ -62,6 +62,6 @@ def share_report(mixed: DataFrame, rates: list[tuple]) -> DataFrame:
     """(source, target_share, reached_share, max_repeats, rate, documents, tokens, mixed_tokens) per target source."""
     table = mixed.sparkSession.createDataFrame([(a, float(b), int(c), int(d), int(e), float(f)) for a, b, c, d, e, f in rates], "source string, target_share double, max_repeats int, documents long, tokens long, rate double")
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"))
-    every = got.agg(F.sum("mixed_tokens").alias("every"))
-    out = table.join(got, "source", "left").join(F.broadcast(every)).na.fill(0, ["mixed_tokens"])
-    return out.select("source", "target_share", F.coalesce(F.col("mixed_tokens") / F.expr("nullif(every, 0)"), F.lit(0.0)).alias("reached_share"), "max_repeats", "rate", "documents", "tokens", "mixed_tokens")
+    every = got.agg(F.sum("mixed_tokens")).first()[0] or 1
+    out = table.join(got, "source", "left").na.fill(0, ["mixed_tokens"])
+    return out.select("source", "target_share", (F.col("mixed_tokens") / F.lit(float(every))).alias("reached_share"), "max_repeats", "rate", "documents", "tokens", "mixed_tokens")

@@ -22,7 +22,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries"))
+    fused = rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries"))
+    return fused.withColumn("significance", F.round(-F.log("significance"), 6)).withColumnRenamed("significance", "log_significance")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +104,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p10_evidence(spark, d).select("source", "texts", "cut", F.round("rate", 6).alias("rate"))
+
+
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text")))
 
 
@@ -110,7 +115,7 @@ QUERIES = {
     "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p6_found": p6_found, "p6_knn": p6_knn,
     "p7_found": p7_found, "p7_groups": p7_groups,
-    "p10_found": p10_found, "p10_rates": p10_rates,
+    "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence,
     "p2_found": p2_found, "p2_models": p2_models,
     "p3_found": p3_found, "p3_ranking": p3_ranking,
     "p5_found": p5_found, "p5_clusters": p5_clusters,
@@ -140,7 +145,25 @@ counting AS (
 TERM_SQL = """SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS documents,
   CASE WHEN count(*) < 2 THEN 'rare' WHEN count(*) >= 0.3 * (SELECT count(*) FROM documents) THEN 'common' END AS mark FROM {0} GROUP BY 1"""
 
+RUNNING = r"""b AS (SELECT doc_id, source, rtrim(regexp_replace(text, '(\s*\n[ \t]*(-- |— |- |Signed, |Ref: |#)[^\n]*)*\s*$', ''), chr(10) || ' ') AS body FROM documents WHERE trim(text, chr(10) || ' ') <> ''),
+    e AS (SELECT *, body <> '' AND (NOT regexp_matches(body, '[.!?]["'')]*$') OR body LIKE '%..') AS cut FROM b)"""
+
 SQL = {
+    "p10_rates": f"WITH {RUNNING} SELECT coalesce(lower(trim(source)), '') AS source, count(*) AS texts, count(*) FILTER (cut) AS cut, round(avg(cut::INT), 6) AS rate FROM e GROUP BY 1",
+    "p3_ranking": f"""WITH {PLACED}, c AS (
+          SELECT query_id, coalesce(max(CASE WHEN signal = 'lexical' THEN 1 END), 0) AS l, coalesce(max(CASE WHEN signal = 'dense' THEN 1 END), 0) AS d, coalesce(max(CASE WHEN signal = 'graph' THEN 1 END), 0) AS g FROM counting GROUP BY 1),
+        w AS (SELECT query_id, document_id, max(place) FILTER (signal = 'lexical') AS pl, max(place) FILTER (signal = 'dense') AS pd, max(place) FILTER (signal = 'graph') AS pg FROM placed GROUP BY 1, 2),
+        n AS (SELECT query_id, max(n) FILTER (signal = 'lexical') AS nl, max(n) FILTER (signal = 'dense') AS nd, max(n) FILTER (signal = 'graph') AS ng FROM placed GROUP BY 1),
+        x AS (SELECT query_id, document_id, coalesce(l, 1) AS l, coalesce(d, 1) AS d, coalesce(g, 1) AS g, nl, nd, ng,
+            CASE WHEN coalesce(l, 1) = 1 THEN pl END AS pl, CASE WHEN coalesce(d, 1) = 1 THEN pd END AS pd, CASE WHEN coalesce(g, 1) = 1 THEN pg END AS pg
+          FROM w JOIN n USING (query_id) LEFT JOIN c USING (query_id)),
+        y AS (SELECT *, l + d + g AS k, CASE WHEN l = 1 THEN coalesce(pl / nl, 1.0) END AS a, CASE WHEN d = 1 THEN coalesce(pd / nd, 1.0) END AS b, CASE WHEN g = 1 THEN coalesce(pg / ng, 1.0) END AS e
+          FROM x WHERE coalesce(pl, pd, pg) IS NOT NULL),
+        z AS (SELECT *, CAST(least(a, b, e) AS DOUBLE) AS lo, CAST(greatest(a, b, e) AS DOUBLE) AS hi, CAST(a + b + e AS DOUBLE) - CAST(least(a, b, e) AS DOUBLE) - CAST(greatest(a, b, e) AS DOUBLE) AS mi FROM y),
+        s AS (SELECT *, CASE k WHEN 1 THEN least(1, lo) WHEN 2 THEN least(1, 2 * least(2 * lo * (1 - lo) + lo * lo, hi * hi))
+            ELSE least(1, 3 * least(3 * lo * (1 - lo) * (1 - lo) + 3 * lo * lo * (1 - lo) + lo * lo * lo, 3 * mi * mi * (1 - mi) + mi * mi * mi, hi * hi * hi)) END AS rho FROM z)
+        SELECT query_id, document_id, CAST(k AS INTEGER) AS lists, pl AS place_lexical, pd AS place_dense, pg AS place_graph, round(-ln(rho), 6) + 0 AS log_significance,
+          rank() OVER (PARTITION BY query_id ORDER BY round(-ln(rho), 9) DESC) AS rank FROM s""",
     "p6_found": """WITH l AS (SELECT vec_id, arg_max(embedding, ord) AS e FROM vectors WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1),
         v AS (SELECT vec_id, e FROM l WHERE len(e) = 48 AND list_inner_product(e, e) > 0),
         p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),

@@ -98,8 +98,9 @@ def fuse(results: DataFrame, queries: DataFrame, least: int = 100_000) -> DataFr
     count = sum((F.col(f"c_{s}").cast("int") for s in SIGNALS[1:]), F.col(f"c_{SIGNALS[0]}").cast("int"))
     scored = items.filter(F.coalesce(*place.values()).isNotNull()).withColumns({f"r_{s}": c for s, c in zip(SIGNALS, normal)})
     normal = [F.col(f"r_{s}") for s in SIGNALS]
-    scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], F.round(significance(normal), 12).alias("significance"))
-    scored = stage(scored.withColumn("__s", -F.col("significance")), "significance")
+    scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], significance(normal).alias("significance"))
+    # ranked by rounded logarithms: they tell apart the tiny probabilities of long lists, and not the noise of floats
+    scored = stage(scored.withColumn("__s", F.round(-F.log("significance"), 9)), "significance")
     return spread_rank(scored, ["query_id"], "__s", "rank", least=least, hot=hot).drop("__s")
 
 

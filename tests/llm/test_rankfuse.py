@@ -1,6 +1,6 @@
 import random
 from datetime import datetime as D
-from math import comb
+from math import comb, log
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,11 +85,17 @@ def test_fusion_equals_brute_force_with_and_without_hot_queries(spark):
         for r in got:
             n, places, s = want[r.query_id, r.document_id]
             assert r.lists == n and {s: r[f"place_{s}"] for s in R.SIGNALS if r[f"place_{s}"] is not None} == places and r.significance == pytest.approx(s, abs=1e-9)
-            assert r["rank"] == 1 + sum(round(v[2], 12) < r.significance for (qq, _), v in want.items() if qq == r.query_id)
+            assert r["rank"] == 1 + sum(round(-log(v[2]), 9) > round(-log(s), 9) for (qq, _), v in want.items() if qq == r.query_id)
         near = {(r.query_id, r.document_id) for r in R.agreed(spark.createDataFrame(got)).collect()}
         assert near == {k for k, (n, p, _) in want.items() if n >= 2 and len(p) == n and max(p.values()) <= 5}
 
 
+def test_the_best_of_long_lists_are_told_apart(spark):
+    data = [(1, s, str(d), float(-d), None, D(2024, 1, 1)) for s in R.SIGNALS for d in range(20_000)]
+    top = R.fuse(res(spark, data), que(spark, [])).filter("rank <= 4").orderBy("rank").collect()
+    assert [(r.document_id, r["rank"]) for r in top] == [("0", 1), ("1", 2), ("2", 3), ("3", 4)]
+
+
 def test_scale_does_not_matter(spark, rows):
     base = [(1, s, str(d), float((d * 7) % 11), None, D(2024, 1, 1)) for s in R.SIGNALS for d in range(11)]
     big = [(q, s, d, v * 1e6 + 3 if s == "graph" else v, m, t) for q, s, d, v, m, t in base]
