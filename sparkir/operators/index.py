@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkir.functions.text import Analyzer
+from sparkir.session import stage
 
 
 def tokens(documents: DataFrame, analyzer: Analyzer | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,9 +107,13 @@ class Index:
         return Index(**parts, analyzer=analyzer)
 
 
-def build_index(documents: DataFrame, analyzer: Analyzer | None = None) -> Index:
-    """documents (doc_id, text): ids must be unique, which loaders check; null texts are documents without terms."""
+def build_index(documents: DataFrame, analyzer: Analyzer | None = None, store: bool = False) -> Index:
+    """documents (doc_id, text): ids must be unique, which loaders check; null texts are documents without terms.
+
+    store: whether the postings are computed now and kept in the shared folder, so that the texts are analyzed once for
+    all tables that derive from them."""
     a = analyzer or Analyzer()
     t = tokens(documents, a)
     p = postings(t)
+    p = stage(p, "postings") if store else p
     return Index(documents, t, p, document_frequencies(p), document_lengths(documents, p), corpus_stats(documents, p), a)

@@ -27,8 +27,8 @@ def asked(spark, d):
     return table(spark, d, "queries").filter("trim(text) <> ''").select("query_id", "text")
 
 
-def idx(spark, d) -> index.Index:
-    return index.build_index(docs(spark, d), PLAIN)
+def idx(spark, d, store: bool = False) -> index.Index:
+    return index.build_index(docs(spark, d), PLAIN, store)
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -102,12 +102,12 @@ def last_words(spark, d) -> DataFrame:
 
 
 def reranked(spark, d) -> DataFrame:
-    found = lexical.search(asked(spark, d), idx(spark, d), "OR", 10).withColumnRenamed("doc_id", "document_id")
+    found = lexical.search(asked(spark, d), idx(spark, d, True), "OR", 10).withColumnRenamed("doc_id", "document_id")
     return ranking.cross_rerank(found, last_words(spark, d), docs(spark, d), ranking.occurrences, 5)
 
 
 def found_evidence(spark, d) -> DataFrame:
-    found = lexical.search(asked(spark, d), idx(spark, d), "OR", 5).withColumnRenamed("doc_id", "document_id")
+    found = lexical.search(asked(spark, d), idx(spark, d, True), "OR", 5).withColumnRenamed("doc_id", "document_id")
     return rag.evidence(found.withColumn("score", F.round("score", 6)), docs(spark, d))
 
 
@@ -131,7 +131,7 @@ def updated(spark, d) -> DataFrame:
 
 def hybrid_run(spark, d) -> DataFrame:
     nodes, edges = corpus_graph(spark, d)
-    h = hybrid.HybridRetriever({"lexical": lexical_retriever(idx(spark, d)), "graph": lambda q, k: graph.graph_retrieve(q, nodes, edges, k)})
+    h = hybrid.HybridRetriever({"lexical": lexical_retriever(idx(spark, d, True)), "graph": lambda q, k: graph.graph_retrieve(q, nodes, edges, k)})
     return h.retrieve(asked(spark, d), 10)
 
 
@@ -171,8 +171,8 @@ QUERIES = {
     "synonym_match": lambda s, d: matching.Synonyms("query", {"query": ["evidence", "snippet"]}).evaluate(idx(s, d).postings),
     "expand_terms": lambda s, d: matching.expand_terms(q_terms(s, d), s.createDataFrame([("compare", 0, "contrast"), ("compare", 1, "versus"), ("related", 0, "linked"), ("and", 0, "plus")], "term string, ord int, related string")),
     "candidates": lambda s, d: matching.candidates(q_terms(s, d), idx(s, d).postings),
-    "bm25_topk": lambda s, d: r6(lexical.search(asked(s, d), idx(s, d), "OR", 10)),
-    "search_and": lambda s, d: r6(lexical.search(asked(s, d), idx(s, d), "AND", 10)),
+    "bm25_topk": lambda s, d: r6(lexical.search(asked(s, d), idx(s, d, True), "OR", 10)),
+    "search_and": lambda s, d: r6(lexical.search(asked(s, d), idx(s, d, True), "AND", 10)),
     "tfidf_scores": lambda s, d: r6(ranking.tfidf_scores(q_terms(s, d), idx(s, d))),
     "score_fusion": lambda s, d: r6(ranking.score_fusion(signals_of(s, d), s.createDataFrame([("lexical", 0.5), ("dense", 0.3), ("graph", 0.0)], "signal string, weight double"))),
     "score_rerank": lambda s, d: r6(score_sorted(s, d)),
