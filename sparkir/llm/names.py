@@ -15,7 +15,7 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.operators.orphans import NODE_KEY, normal_key
@@ -203,8 +203,50 @@ def agrees(a: tuple, b: tuple) -> bool:
     return bool(a[2] and b[2]) and min(len(a[1]), len(b[1])) >= 8 and word_match(a[2], b[2]) >= 0.7
 
 
+def close_words(words: DataFrame, q: int, rows: int, bands: int, most: int) -> DataFrame:
+    """(head, head_b, spelled, spelled_b, used, used_b, apart), in both directions: the pairs of ``words`` (head, spelled,
+    used) that share a band and are at most ``most`` edits apart. However often a word is spelled, it is compared."""
+
+    def band(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            keys = head_bands(p["head"], q, rows, bands)
+            yield pd.DataFrame({"head": np.repeat(p["head"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(p)), "key": keys.ravel()})
+
+    def distances(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(apart=np.array([edits(x, y, max(3, most)) for x, y in zip(p["head"], p["head_b"])], dtype=np.int32))
+
+    banded = cut(words.select("head").mapInPandas(band, "head string, band int, key long"))
+    other = banded.select(F.col("head").alias("head_b"), "band", "key")
+    maybe = (F.col("head") < F.col("head_b")) & (F.abs(F.length("head") - F.length("head_b")) <= most)
+    pairs = banded.join(other, ["band", "key"]).filter(maybe).select("head", "head_b").distinct()
+    pairs = cut(pairs.mapInPandas(distances, "head string, head_b string, apart int").filter(F.col("apart") <= most))
+    pairs = pairs.unionByName(pairs.select(F.col("head_b").alias("head"), F.col("head").alias("head_b"), "apart"))
+    weights = words.select(*[F.col(c).alias(f"{c}_b") for c in ("head", "spelled", "used")])
+    return cut(pairs.join(words, "head").join(weights, "head_b"))
+
+
+def typo_of(a: str, b: str, attested: int, outweigh: int) -> Column:
+    """Whether the word with the columns spelled and used of suffix ``a`` is a typo of its neighbour with those of ``b``."""
+    spelled, used, spelled_b, used_b = (F.col(c + x) for x in (a, b) for c in ("spelled", "used"))
+    more = (spelled_b >= outweigh * spelled) | ((used_b > used) & (used_b >= outweigh * used) & (spelled_b >= spelled))
+    return (spelled_b >= attested) & ((spelled < attested) | more)
+
+
+def typo_roots(close: DataFrame, attested: int, outweigh: int) -> DataFrame:
+    """(head, root) of the words that are typos, from ``close_words``: the best attested neighbour, followed to a word that
+    is no typo itself. Both spellings and uses never fall on the way, and one of them grows, so it ends."""
+    true = close.filter(typo_of("", "_b", attested, outweigh))
+    roots = cut(true.groupBy("head").agg(F.max(F.struct("spelled_b", "used_b", "head_b"))["head_b"].alias("root")))
+    while True:
+        on = roots.select(F.col("head").alias("root"), F.col("root").alias("on"))
+        if roots.join(on, "root", "left_semi").isEmpty():
+            return roots
+        roots = cut(roots.join(on, "root", "left").select("head", F.coalesce("on", "root").alias("root")))
+
+
 def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float = 0.42, recall: float = 0.995,
-               most_edits: int = 1, least: float = 0.8, attested: int = 4, known_given: int = 50) -> tuple[DataFrame, DataFrame]:
+               most_edits: int = 1, least: float = 0.8, attested: int = 4, known_given: int = 50, outweigh: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``names`` (name, uses).
 
     members has one row per name: name, uses, cluster (the reading that its star is named after), similarity to it, and
@@ -213,11 +255,14 @@ def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float =
 
     Names that read alike (case, accents, blanks, order, titles, nicknames do not matter) are one node before anything is
     compared, so the pairs grow with the different readings and not with the rows. Two heads are compared if a band of
-    their MinHash values agrees; how many bands that takes follows from the collision curve. A head that fewer than
-    ``attested`` names have and that is at most ``most_edits`` edits from a better attested one counts as its typo, and
-    typos of one head are linked; two attested heads are two real names. Heads that nobody attests are linked with up to
-    twice the edits, then their nodes must agree in full in the rest. Nodes of linked heads are compared if their first
-    initials agree or one has none, and are linked at a Monge-Elkan similarity of ``least``.
+    their MinHash values agrees; how many bands that takes follows from the collision curve. A head at most ``most_edits``
+    edits from a better attested one counts as its typo if the other has ``outweigh`` times its spellings or uses, however
+    many it has itself, or if fewer than ``attested`` names have it and more the other; the typo of a typo is one of the
+    best attested head, and typos of one head are linked. Two attested heads of like weight are two real names, and so are
+    two given names, by the same rule. Heads that nobody attests are linked with up to twice the edits, then their nodes
+    must agree in full in the rest. Nodes of linked heads are compared if their first initials agree or one has none, and
+    are linked at a Monge-Elkan similarity of ``least``. ``known_given`` only caps what a frequent given name counts for in
+    the choice of a centre.
     """
     bands = bands_for(similarity, rows, recall)
 
@@ -229,39 +274,29 @@ def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float =
 
     parsed = cut(names.filter("name IS NOT NULL").select("name", "uses").mapInPandas(read, f"name string, uses long, {READ}").filter("head <> ''"))
     key = ["shape", "head", "given", "middle", "kind"]
-    heads = cut(parsed.groupBy("head").agg(F.count("*").alias("spelled")))
-
-    def band(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            keys = head_bands(p["head"], q, rows, bands)
-            yield pd.DataFrame({"head": np.repeat(p["head"].to_numpy(), bands), "spelled": np.repeat(p["spelled"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(p)), "key": keys.ravel()})
-
-    def distances(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(apart=np.array([edits(x, y) for x, y in zip(p["head"], p["head_b"])], dtype=np.int32))
-
-    banded = cut(heads.mapInPandas(band, "head string, spelled long, band int, key long"))
-    other = banded.select(F.col("head").alias("head_b"), F.col("spelled").alias("spelled_b"), "band", "key")
-    maybe = (F.col("head") < F.col("head_b")) & (F.abs(F.length("head") - F.length("head_b")) <= 2 * most_edits) & ((F.col("spelled") < attested) | (F.col("spelled_b") < attested))
-    pairs = banded.join(other, ["band", "key"]).filter(maybe).select("head", "head_b", "spelled", "spelled_b").distinct()
-    pairs = pairs.mapInPandas(distances, "head string, head_b string, spelled long, spelled_b long, apart int").filter(F.col("apart") <= 2 * most_edits)
-    both = cut(pairs.unionByName(pairs.select(F.col("head_b").alias("head"), F.col("head").alias("head_b"), F.col("spelled_b").alias("spelled"), F.col("spelled").alias("spelled_b"), "apart")))
-    true = both.filter((F.col("apart") <= most_edits) & (F.col("spelled") < attested) & (F.col("spelled_b") >= attested))
-    roots = true.groupBy("head").agg(F.max(F.struct("spelled_b", "head_b"))["head_b"].alias("root"))
+    heads = cut(parsed.groupBy("head").agg(F.count("*").alias("spelled"), F.sum("uses").alias("used")))
+    both = close_words(heads, q, rows, bands, 2 * most_edits)
+    roots = typo_roots(both.filter(F.col("apart") <= most_edits), attested, outweigh)
     heads = heads.join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
-    near = both.filter((F.col("apart") <= most_edits) | ((F.col("spelled") < attested) & (F.col("spelled_b") < attested)))
+    is_typo = typo_of("", "_b", attested, outweigh) | typo_of("_b", "", attested, outweigh)
+    near = both.filter(((F.col("apart") <= most_edits) & is_typo) | ((F.col("spelled") < attested) & (F.col("spelled_b") < attested)))
     near = near.filter("head < head_b").select("head", "head_b")
 
-    givens = parsed.filter("shape = 'person' AND length(given) > 1").groupBy("given").agg(F.count("*").alias("known"))
-    nodes = parsed.groupBy(*key).agg(F.sum("uses").alias("uses")).join(heads, "head").join(givens, "given", "left").na.fill(0, ["known"])
+    givens = cut(parsed.filter("shape = 'person' AND length(given) > 1").groupBy(F.col("given").alias("head")).agg(F.count("*").alias("spelled"), F.sum("uses").alias("used")))
+    misspelt = typo_roots(close_words(givens, q, rows, bands, most_edits), attested, outweigh).select("head", F.lit(True).alias("misspelt"))
+    givens = givens.join(misspelt, "head", "left").select(F.col("head").alias("given"), F.col("spelled").alias("known"), F.coalesce("misspelt", F.lit(False)).alias("misspelt"))
+    givens = givens.withColumn("a_name", ~F.col("misspelt") & (F.col("known") >= attested))
+    nodes = parsed.groupBy(*key).agg(F.sum("uses").alias("uses")).join(heads, "head").join(givens, "given", "left").na.fill(0, ["known"]).na.fill(False, ["misspelt", "a_name"])
     nodes = nodes.withColumn("node", F.xxhash64(*key)).withColumn("initial", F.substring("given", 1, 1))
     # the best centres are complete, and spelled as many others spell
     full = F.when((F.length("given") > 1) & (F.col("shape") != "short"), F.lit(1)).otherwise(F.lit(0))
-    rank = F.struct(full.alias("full"), F.least("spelled", F.lit(attested)).alias("head_known"), F.least("known", F.lit(known_given)).alias("given_known"), F.length("middle").alias("m"), "uses", "node")
+    head_known = F.least("spelled", F.when(F.col("head") == F.col("root"), attested).otherwise(attested - 1))
+    given_known = F.least("known", F.when(F.col("misspelt"), known_given - 1).otherwise(known_given))
+    rank = F.struct(full.alias("full"), head_known.alias("head_known"), given_known.alias("given_known"), F.length("middle").alias("m"), "uses", "node")
     nodes = cut(nodes.withColumn("rank", rank))
 
     def of(side: str) -> DataFrame:
-        return nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ["node", "known", "initial", "root", *key]])
+        return nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ["node", "a_name", "initial", "root", *key]])
 
     a, b = of("a"), of("b")
     initials = (F.col("initial_a") == F.col("initial_b")) | (F.col("initial_a") == "") | (F.col("initial_b") == "")
@@ -275,8 +310,8 @@ def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float =
             for t in p.itertuples(index=False):
                 x = (t.shape_a, t.head_a, t.given_a, t.middle_a, t.kind_a)
                 y = (t.shape_b, t.head_b, t.given_b, t.middle_b, t.kind_b)
-                if x[0] == y[0] == "person" and min(len(x[2]), len(y[2])) > 1 and x[2] != y[2] and min(t.known_a, t.known_b) >= known_given:
-                    out.append(0.0)  # two given names that many have
+                if x[0] == y[0] == "person" and min(len(x[2]), len(y[2])) > 1 and x[2] != y[2] and t.a_name_a and t.a_name_b:
+                    out.append(0.0)  # two given names, neither a typo
                 elif t.root_a != t.root_b and edits(x[1], y[1]) > most_edits and not agrees(x, y):
                     out.append(0.0)
                 else:

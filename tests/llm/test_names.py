@@ -68,3 +68,33 @@ def test_stars_are_greedy(spark, rows):
     links = spark.createDataFrame(one + [(b, a, s) for a, b, s in one], "node_a long, node_b long, similarity double")
     got = dict(rows(N.star_clusters(nodes, links), "node", "cluster"))
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def formats(first, last, blanks):
+    return [f"{t}{n}" for b in range(1, blanks + 1) for n in (f"{first}{' ' * b}{last}", f"{last},{' ' * b}{first}", f"{first[0]}.{' ' * b}{last}", f"{last.upper()},{' ' * b}{first}") for t in ("", "Dr. ")]
+
+
+def test_typos_of_a_hot_name_are_linked_however_often_they_are_typed(spark):
+    hot = formats("Margaret", "Lorbentani", 40)
+    typo, twice = formats("Margaret", "Lorbentnai", 1), formats("Margaret", "Lorbenntnai", 1)[:1]
+    rival = formats("Margaret", "Lorbentari", 10)  # attested, and not outweighed: a name of its own
+    assert len(set(hot)) >= 300 and len(set(typo)) >= 8
+    members, _ = N.link_names(spark.createDataFrame([(n, 3) for n in hot + typo + twice + rival], "name string, uses long"))
+    got = {r.name: r.cluster for r in members.collect()}
+    assert len({got[n] for n in hot + typo + twice}) == 1 and len({got[n] for n in rival}) == 1 and got[hot[0]] != got[rival[0]]
+    # the same by uses, where the spellings of both are exhausted
+    even = [(n, 5000) for n in formats("Margaret", "Lorbentani", 2)] + [(n, 40) for n in formats("Margaret", "Lorbentnai", 2)]
+    assert len({r.cluster for r in N.link_names(spark.createDataFrame(even, "name string, uses long"))[0].collect()}) == 1
+
+
+@pytest.mark.parametrize("people", [8, 60])
+def test_given_names_are_told_apart_at_any_size(spark, people):
+    r = random.Random(5)
+    last = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)).title() for _ in range(people)]
+    truth = {n: (x, "m") for x in last for n in formats("Margaret", x, 2) + [f"Margraet {x}"]}
+    truth |= {n: (x, g) for x in last for g in ("Frances", "Francis") for n in (f"{g} {x}", f"{x}, {g}")}
+    members, _ = N.link_names(spark.createDataFrame([(n, 1) for n in truth], "name string, uses long"))
+    groups = {}
+    for m in members.collect():
+        groups.setdefault(m.cluster, set()).add(truth[m.name])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == 3 * people
