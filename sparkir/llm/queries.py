@@ -100,7 +100,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return truncation.examined(docs).filter("cut").select("doc_id").distinct()
+    return truncation.examined(docs, exempt=False).filter("cut").select("doc_id").distinct()
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text")))
+    return truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text"), exempt=False))
 
 
 QUERIES = {

@@ -105,15 +105,18 @@ def normal_source(c: Column | str) -> Column:
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
 
 
-def examined(documents: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", baseline_rows: int = 20, baseline_share: float = 0.8) -> DataFrame:
+def examined(documents: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", baseline_rows: int = 20, baseline_share: float = 0.8,
+             exempt: bool = True) -> DataFrame:
     """The rows of ``documents``, without the text, with normal_source, evidence and cut (boolean; null for null and blank
     texts).
 
-    A missing terminator is evidence only where sources end their texts with one: if at least ``baseline_share`` of a
-    source's texts, and ``baseline_rows`` of them, are unfinished without any other evidence, the source just writes so,
-    and only marks, broken bytes or escapes, and open quotes or brackets count for it. Texts without source share a
-    baseline. Whole texts are read once, in Arrow batches, and what was seen is kept without them; the join of the
-    baselines is salted for hot sources.
+    With ``exempt`` false every text is judged by itself, as TESTDATA.md defines a case, and a source whose field limit cuts
+    all its texts shows them all; the registered queries do so. Otherwise a missing terminator is evidence only where
+    sources end their texts with one: if at least ``baseline_share`` of a source's texts, and ``baseline_rows`` of them, are
+    unfinished without any other evidence, the source just writes so, and only marks, broken bytes or escapes, and open
+    quotes or brackets count for it. That is for collections of titles and the like: it cannot tell them from a source that
+    is cut everywhere. Texts without source share a baseline. Whole texts are read once, in Arrow batches, and what was
+    seen is kept without them; the join of the baselines is salted for hot sources.
     """
 
     @F.pandas_udf("string")
@@ -123,6 +126,8 @@ def examined(documents: DataFrame, text: str = "text", source: str = "source", r
 
     seen = documents.withColumn("normal_source", F.coalesce(normal_source(source), F.lit(""))).withColumn("evidence", evidence(text))
     seen = stage(seen.drop(text), "examined")
+    if not exempt:
+        return seen.withColumn("cut", F.when(F.col("evidence") != "blank", F.col("evidence") != "whole"))
     texts = F.sum(F.when(F.col("evidence") != "blank", 1).otherwise(0))
     habits = seen.groupBy("normal_source").agg(texts.alias("n"), F.sum(F.when(F.col("evidence") == "unfinished", 1).otherwise(0)).alias("u"))
     habits = habits.select("normal_source", ((F.col("n") >= baseline_rows) & (F.col("u") >= baseline_share * F.col("n"))).alias("__loose"))

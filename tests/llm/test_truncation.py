@@ -37,3 +37,14 @@ def test_rates_and_baselines(spark, rows):
     assert rows(found.filter("cut IS NULL"), "doc_id") == [(21,), (22,)]
     assert rows(T.cut_rates(found), "source", "texts", "cut", "unfinished") == [("", 1, 1, 1), ("good", 9, 1, 1), ("loose", 32, 1, 0)]
     assert T.examined(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [19, 20, 300])
+def test_queries_find_all_texts_of_a_source_that_is_cut_everywhere(spark, tmp_path, rows, n):
+    from sparkir.llm import queries as Q
+
+    data = [(i, f"A whole sentence. And number {i} stops in", "limited") for i in range(n)] + [(1000 + i, "Whole text.", "good") for i in range(n)] + [(5000, None, "limited"), (5001, " ", "good")]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(Q.p10_found(spark, str(tmp_path))) == sorted([(i,) for i in range(n)], key=repr)
+    assert rows(Q.p10_rates(spark, str(tmp_path))) == [("good", n, 0, 0.0), ("limited", n, n, 1.0)]
+    assert rows(Q.p10_evidence(spark, str(tmp_path)), "source", "unfinished") == [("good", 0), ("limited", n)]
