@@ -129,7 +129,8 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     order, and one of ``sketches`` almost surely. Before verification, pairs are pruned without loss by their sizes and by
     parity bitmaps: each word of only one side flips one bit, so more different bits than words allowed rule a pair out.
     Buckets of more than ``bucket`` classes are not paired as they are: their classes are paired by the rarest words of
-    which a similar pair must share one, exactly, salted where such a word is hot.
+    which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than 2 x
+    ``plain_kept`` distinct words and those that can be similar to them, which are too short to be sampled.
 
     Verification aligns the sorted distinct words in a band as wide as the similarity allows, which makes the similarity
     exact. order_similarity is that of an alignment in text order (2 x matches / words of both).
@@ -189,6 +190,9 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
         cand = cold.join(other(cold), ["band", "key"]).filter(possible).select("id", "id_b")
         crowd = bands.join(full, ["band", "key"], "left_semi").dropDuplicates(["id"]).select(*info)
         cand = cand.unionByName(_by_rare_words(crowd, reps, counts, similarity, possible, other))
+    if least_words < 2 * plain_kept:
+        few = bands.filter((F.col("band") == 0) & (F.col("n") * similarity < 2 * plain_kept)).select(*info)
+        cand = cand.unionByName(_by_rare_words(few, reps, counts, similarity, possible, other))
     cand = cand.distinct()
     a = reps.select(F.col("class_id").alias("id"), F.col("seq").alias("seq_a"), F.col("bag").alias("bag_a"))
     b = reps.select(F.col("class_id").alias("id_b"), F.col("seq").alias("seq_b"), F.col("bag").alias("bag_b"))

@@ -70,7 +70,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return neardup.duplicate_groups(*neardup.near_duplicates(docs, least_words=30), docs)
+    return neardup.duplicate_groups(*neardup.near_duplicates(docs), docs)
 
 
 def sized_documents(spark: SparkSession, d: str, folder: str = tokens.TOKENIZERS) -> DataFrame:

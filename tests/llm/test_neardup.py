@@ -119,3 +119,22 @@ def test_sketches_keep_order():
     assert (k[0] == k[1]).sum() == 0  # the same words in reverse
     same = D.order_sketches(np.concatenate([words, words]), np.array([0, 40]), weight, 64, 2)
     assert (same[0] == same[1]).all()
+
+
+def test_groups_hold_short_texts_too(spark, tmp_path):
+    from sparkir.llm import queries as Q
+
+    r = random.Random(6)
+    vocab, data = [f"w{i}" for i in range(40)], []
+    for i in range(300):  # everyday words, of which one is left out of the copy or replaced by a word of its own
+        words = r.sample(vocab, 4 + i % 24)
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, f"only{i}"]))]
+    make(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in Q.p7_groups(spark, str(tmp_path)).collect()}
+    want = brute(data, least=1)
+    bags = {i: frozenset(t.split()) for i, t in data}
+    classes = {}
+    for i in sorted(bags):
+        classes.setdefault(bags[i], i)
+    links = {c: {classes[bags[b if a == c else a]] for a, b in want if c in (a, b)} - {c} for c in classes.values()}
+    assert len(want) >= 300 and {i: got[i].links for i in bags} == {i: len(links[classes[bags[i]]]) for i in bags}
