@@ -46,6 +46,15 @@ def labelled(word: np.ndarray, of: np.ndarray) -> np.ndarray:
     return mix(word ^ mix(nth, 1), 2)
 
 
+def first_places(word: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The places of the words that did not occur before in their text, in order."""
+    order = np.lexsort((np.arange(len(word)), word, of))
+    w, d = word[order], of[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+    return np.sort(order[new])
+
+
 def order_sketches(word: np.ndarray, starts: np.ndarray, weight: np.ndarray, sketches: int, kept: int) -> np.ndarray:
     """One key per text and sketch: the ``kept`` labelled words of least weighted hash, in text order."""
     sizes = np.diff(np.append(starts, len(word)))
@@ -126,7 +135,8 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     sketches consist of telling words; there are at most (mean distinct words / common) such words, and only their table
     goes to the tasks.
     A pair of similarity s shares a given sketch with about s ** kept times the chance that the sampled words kept their
-    order, and one of ``sketches`` almost surely. Before verification, pairs are pruned without loss by their sizes and by
+    order, and one of ``sketches`` almost surely. Each weighted sketch is also taken of the first occurrences of the words, as a text
+    and its repetition inside one document share their distinct words only. Before verification, pairs are pruned without loss by their sizes and by
     parity bitmaps: each word of only one side flips one bit, so more different bits than words allowed rule a pair out.
     Buckets of more than ``bucket`` classes are not paired as they are: their classes are paired by the rarest words of
     which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than 2 x
@@ -161,6 +171,10 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 weight = np.where(known[at] == word, factor[at], 1.0)
             keys = order_sketches(word.view(np.uint64), starts, weight, sketches, kept)
+            # the same sketches of first occurrences only, which follow the distinct words however often a text repeats them
+            at = first_places(word, np.repeat(np.arange(b.num_rows), seq.value_lengths().to_numpy(zero_copy_only=False)))
+            keys_first = order_sketches(word[at].view(np.uint64), np.searchsorted(at, starts), weight[at], sketches, kept)
+            row, band = np.nonzero(keys_first != keys)
             keys = np.concatenate([keys, order_sketches(word.view(np.uint64), starts, np.ones(len(word)), plain, plain_kept)], axis=1)
             # parity of the distinct words in 64 x PARITY_WORDS buckets
             sizes = bag.value_lengths().to_numpy(zero_copy_only=False)
@@ -168,8 +182,9 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
             slot = (mix(bag.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 9) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
             parity = np.bincount(of * 64 * PARITY_WORDS + slot, minlength=b.num_rows * 64 * PARITY_WORDS).reshape(b.num_rows, PARITY_WORDS, 64) & 1
             bits = (parity.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-            rep = np.repeat(np.arange(b.num_rows), sketches + plain)
-            arrays = [pa.array(np.tile(np.arange(sketches + plain, dtype=np.int32), b.num_rows)), pa.array(keys.ravel()), b.column("class_id").take(pa.array(rep)), b.column("n").take(pa.array(rep))]
+            rep = np.concatenate([np.repeat(np.arange(b.num_rows), sketches + plain), row])
+            bands_of = np.concatenate([np.tile(np.arange(sketches + plain, dtype=np.int32), b.num_rows), band.astype(np.int32)])
+            arrays = [pa.array(bands_of), pa.array(np.concatenate([keys.ravel(), keys_first[row, band]])), b.column("class_id").take(pa.array(rep)), b.column("n").take(pa.array(rep))]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(bits[rep, i]) for i in range(PARITY_WORDS)]], names=["band", "key", "id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]])
 
     info = ["id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]]
@@ -191,7 +206,7 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
         crowd = bands.join(full, ["band", "key"], "left_semi").dropDuplicates(["id"]).select(*info)
         cand = cand.unionByName(_by_rare_words(crowd, reps, counts, similarity, possible, other))
     if least_words < 2 * plain_kept:
-        few = bands.filter((F.col("band") == 0) & (F.col("n") * similarity < 2 * plain_kept)).select(*info)
+        few = bands.filter((F.col("band") == 0) & (F.col("n") * similarity < 2 * plain_kept)).dropDuplicates(["id"]).select(*info)
         cand = cand.unionByName(_by_rare_words(few, reps, counts, similarity, possible, other))
     cand = cand.distinct()
     a = reps.select(F.col("class_id").alias("id"), F.col("seq").alias("seq_a"), F.col("bag").alias("bag_a"))

@@ -138,3 +138,13 @@ def test_groups_hold_short_texts_too(spark, tmp_path):
         classes.setdefault(bags[i], i)
     links = {c: {classes[bags[b if a == c else a]] for a, b in want if c in (a, b)} - {c} for c in classes.values()}
     assert len(want) >= 300 and {i: got[i].links for i in bags} == {i: len(links[classes[bags[i]]]) for i in bags}
+
+
+def test_a_text_and_its_repetition_are_a_pair(spark, rows):
+    r = random.Random(8)
+    data, want = [], []
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}x{i}" for _ in range(100)]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words * 10, *[f"new{k}x{i}" for k in range(5)]]))]
+        want.append((2 * i, 2 * i + 1))
+    assert rows(D.document_pairs(*D.near_duplicates(make(spark, data), least_words=30))) == sorted(want, key=repr)
