@@ -163,6 +163,7 @@ QUERIES = {
     "bool_or": lambda s, d: (matching.Term("query") | matching.Term("evidence")).evaluate(idx(s, d).postings),
     "bool_not": lambda s, d: matching.Not(matching.Term("query"), docs(s, d)).evaluate(idx(s, d).postings),
     "phrase_match": lambda s, d: matching.phrase_matches(q_terms(s, d).filter("ord < 2"), idx(s, d).tokens),
+    "phrase_match_whole": lambda s, d: matching.phrase_matches(q_terms(s, d), idx(s, d).tokens),
     "phrase_single": lambda s, d: matching.Phrase(["dense", "retrieval"]).evaluate(idx(s, d).tokens),
     "prefix_match": lambda s, d: matching.Prefix("omniquer").evaluate(idx(s, d).postings),
     "wildcard_match": lambda s, d: matching.Wildcard("co?a*map").evaluate(idx(s, d).postings),
@@ -322,6 +323,7 @@ SQL = {
     "bool_or": f"WITH {BASE} SELECT doc_id FROM posts WHERE term = 'query' UNION SELECT doc_id FROM posts WHERE term = 'evidence'",
     "bool_not": f"WITH {BASE} SELECT doc_id FROM docs EXCEPT SELECT doc_id FROM posts WHERE term = 'query'",
     "phrase_match": f"WITH {BASE}, p AS (SELECT * FROM qt WHERE ord < 2), n AS (SELECT query_id, count(*) AS n FROM p GROUP BY 1) SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, t.pos - p.ord AS s, count(*) AS h FROM p JOIN toks t USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE h = n",
+    "phrase_match_whole": f"WITH {BASE}, p AS (SELECT * FROM qt), n AS (SELECT query_id, count(*) AS n FROM p GROUP BY 1) SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, t.pos - p.ord AS s, count(*) AS h FROM p JOIN toks t USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE h = n",
     "phrase_single": f"WITH {BASE} SELECT DISTINCT a.doc_id FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'dense' AND b.term = 'retrieval'",
     "prefix_match": f"WITH {BASE} SELECT DISTINCT doc_id FROM posts WHERE starts_with(term, 'omniquer')",
     "wildcard_match": f"WITH {BASE} SELECT DISTINCT doc_id FROM posts WHERE regexp_full_match(term, 'co.a.*map')",

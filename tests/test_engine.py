@@ -253,3 +253,12 @@ def test_streamed_index(spark, rows, tmp_path):
     assert rows(incremental.latest_postings(spark, out)) == [("b", 2, 1), ("c", 1, 2)]
     ev = spark.sql("SELECT timestamp'2024-01-01 10:10:00' AS ts, 'x' AS event_type UNION ALL SELECT timestamp'2024-01-01 10:50:00', 'x'")
     assert [r.events for r in incremental.windowed_counts(ev).collect()] == [2]
+
+
+def test_whole_stored_queries_are_matched_as_phrases(spark, tmp_path, rows):
+    from sparkir.queries_engine import QUERIES
+
+    docs = [(1, "Fast dense retrieval ranks passages."), (2, "Dense retrieval of other passages ranks."), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "dense retrieval ranks"), (8, "dense retrieval")], "query_id long, text string").write.parquet(str(tmp_path / "queries.parquet"))
+    assert rows(QUERIES["phrase_match_whole"](spark, str(tmp_path)), "query_id", "doc_id") == [(7, 1), (8, 1), (8, 2)]
