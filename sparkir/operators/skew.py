@@ -1,7 +1,8 @@
 """Joins and ranks over keys of which one may hold a third of all rows.
 
-Hot keys are found exactly: a key is hot when its rows exceed ``total / parts``, so there are fewer than ``parts`` hot
-keys, whatever the data, and a table of them is safe to broadcast. Everything else goes the ordinary way.
+Hot keys are found exactly: a key is hot when its rows exceed what one task should hold (``least``), and ``total /
+parts``, so there are fewer than ``parts`` hot keys, whatever the data, and a table of them is safe to broadcast. At the
+default a key of a hundred thousandth of all rows is hot. Everything else goes the ordinary way.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 512
+from sparkir.session import stage
+
+#: At most so many hot keys: a broadcast of a few megabytes.
+PARTS = 100_000
 LEAST = 100_000
 
 
@@ -74,44 +78,35 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return join(a, b, [*keys, "__salt"]).drop("__salt")
 
 
+def split_hot(df: DataFrame, keys: list[str], hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(cold, hot) rows of df; null keys are cold."""
+    table = _hot_frame(df, keys, hot, LEAST)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & (df[k] == table[f"__k{i}"])
+    return df.join(F.broadcast(table), on, "left_anti"), df.join(F.broadcast(table), on, "left_semi")
+
+
 def spread_rank(df: DataFrame, keys: list[str], value: str, name: str = "place",
                 parts: int = PARTS, least: int = LEAST, hot: list[tuple] | None = None) -> DataFrame:
     """1 + the number of rows of the same keys with a greater ``value`` (SQL RANK, descending), without one task per key.
 
-    A hot key is cut into ranges of ``value`` at approximate quantiles; equal values share a range, the rank inside a
-    range is a window over at most that range, and the rows of the ranges above are added. value must be a non-null
-    number. A null key is a group of its own. hot: as for `salted_join`. With hot keys, df is read three times.
+    The rows of hot keys are partitioned by ranges of (keys, value), about ``least`` rows each: equal values share a
+    range, the rank inside a range is a window over at most that range, and the rows of the ranges above are added.
+    value must be a non-null number. A null key is a group of its own. hot: as for `salted_join`. With hot keys, df is
+    read twice, and their rows are staged with the number of their range, which must not change between two readings.
     """
     hot = hot_keys(df, keys, parts, least) if hot is None else hot
+    plain = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(value))).cast("long")
     if not hot:
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(value))).cast("long"))
-    table = _hot_frame(df, keys, hot, least)
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & (df[k] == table[f"__k{i}"])
-    most = max(int(r[-1] // least) + 1 for r in hot)
-    cuts = [i / most for i in range(1, most)] or [0.5]
-    bounds = (
-        df.join(F.broadcast(table), on, "inner")
-        .groupBy(*[f"__k{i}" for i in range(len(keys))])
-        .agg(F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(most * 20)).alias("__bounds"))
-    )
-    at = F.lit(True)
-    for i, k in enumerate(keys):
-        at = at & (df[k] == bounds[f"__k{i}"])
-    ranged = df.join(F.broadcast(bounds), at, "left").drop(*[f"__k{i}" for i in range(len(keys))])
-    ranged = ranged.withColumn(
-        "__range", F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("__bounds", lambda b: b < F.col(value))))
-    ).drop("__bounds")
-    sizes = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__rows"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__above", F.coalesce(F.sum("__rows").over(above), F.lit(0))).filter("__above > 0").drop("__rows")
-    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__at"), "__above")
-    on = F.col("__range") == F.col("__at")
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"__k{i}"))
+        return df.withColumn(name, plain)
+    cold, warm = split_hot(df, keys, hot)
+    ranges = sum(int(r[-1] // least) + 1 for r in hot)
+    ranged = stage(warm.repartitionByRange(ranges, *keys, F.desc(value)).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__rows"))  # at most one row per range and key
+    above = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__above", F.coalesce(F.sum("__rows").over(above), F.lit(0))).drop("__rows")
     inner = Window.partitionBy(*keys, "__range").orderBy(F.desc(value))
-    ranked = ranged.withColumn("__place", F.rank().over(inner))
-    # fewer than parts * most ranges have rows above them
-    out = ranked.join(F.broadcast(sizes), on, "left")
-    return out.withColumn(name, (F.col("__place") + F.coalesce("__above", F.lit(0))).cast("long")).select(*df.columns, name)
+    out = ranged.withColumn("__place", F.rank().over(inner)).join(sizes, [*keys, "__range"])
+    out = out.withColumn(name, (F.col("__place") + F.col("__above")).cast("long")).select(*df.columns, name)
+    return cold.withColumn(name, plain).select(*df.columns, name).unionByName(out)

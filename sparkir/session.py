@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,6 +28,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    shared_dir(spark)
     ship(spark)
     return spark
 
@@ -36,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     if _shipped.get("app") == sc.applicationId:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="sparkir-package-")) / "sparkir_package.zip"
+    folder = tempfile.mkdtemp(prefix="sparkir-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "sparkir_package.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
@@ -48,34 +53,42 @@ _shipped: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the session names, else a temporary one, in local mode only."""
+    """The folder for checkpoints and staged tables: the one that spark.checkpoint.dir names.
+
+    Where it is unset a RuntimeError says so, but for sessions of one process (local, local[n]), as tests have them: only
+    those get a folder of their own, which is removed when the process ends."""
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         if not named:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="sparkir-checkpoint-")
+            named = tempfile.mkdtemp(prefix="sparkir-one-process-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; later readers do not compute it again."""
+    """df, computed once and kept in the shared folder; later readers do not compute it again.
+
+    Its joins are sort-merge joins unless the caller broadcasts a side, as for `stage`."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).hint("merge")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written as a Parquet table in the shared folder: columns stay prunable, unlike with a checkpoint.
 
-    The table is kept until the driver's Python ends or `drop_stages` is called, as plans may read it any time."""
+    The table grows with the records, and its compressed size says little about its size in memory, so it carries the hint
+    of a sort-merge join: Spark does not broadcast it by itself. F.broadcast around it takes precedence.
+    It is kept until the driver's Python ends or `drop_stages` is called, as plans may read it any time."""
     spark = df.sparkSession
     path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def _stages(spark: SparkSession) -> str:
