@@ -4,7 +4,7 @@ Vectors become bits: the signs of their coordinates after rotations that bring t
 (iterative quantisation). The bits are split into substrings, each with an index of its own. Two codes that differ in at
 most (radius + 1) x substrings - 1 bits agree in some substring up to ``radius`` bits, so probing every substring within
 ``radius`` retrieves them all; farther codes are retrieved with the chance that `substrings_for` states. What is
-retrieved is reranked by the floats.
+retrieved is reranked by the floats. Vectors of crowded buckets are compared with each other exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,18 @@ from pyspark.sql import functions as F
 from sparkir.operators.skew import salted_join
 from sparkir.session import cut, stage
 
+#: Bits that candidates are held against each other by, in words of 64.
+WORD = 64
+#: A bucket of more entries is crowded.
+CROWDED = 1000
+#: Vectors of a block of the exact comparison, and at most so many cells that blocks are made of.
+BLOCK = 4096
+CELLS = 256
+
 
 @dataclass(frozen=True)
 class Plan:
-    """bits per substring, their number, the radius each is probed with, and the most differing bits of 128 kept."""
+    """bits per substring, their number, the radius each is probed with, and the most differing bits that are kept."""
 
     bits: int
     substrings: int
@@ -33,35 +41,57 @@ class Plan:
     most_apart: int
 
 
-def substrings_for(rows: int, cosine: float, recall: float, radius: int, spread: float) -> Plan:
-    """The plan for an index of ``rows`` vectors that retrieves pairs of this cosine with ``recall``.
+def substrings_for(rows: int, differs: float, recall: float, radius: int, spread: float, per_bucket: float = 1, words: int = 2) -> Plan:
+    """The plan for an index of ``rows`` vectors that retrieves pairs with ``recall`` whose bits differ with chance ``differs``.
 
-    Substrings are about as long as it takes to tell the rows apart. A bit of a pair at angle a differs with chance
-    a / pi, so one substring of b bits is within ``radius`` with a binomial chance, and enough of them give the recall.
-    Candidates with more differing bits than expected at that angle, plus ``spread`` standard deviations, are dropped.
+    Substrings are about as long as it takes to leave ``per_bucket`` rows in a bucket, however many rows there are. One
+    substring of b bits is within ``radius`` with a binomial chance, and enough of them give the recall. Candidates with
+    more differing bits than expected, plus ``spread`` standard deviations, are dropped.
     """
-    bits = int(min(20, max(8, round(log2(max(rows, 2))))))
-    p = acos(min(1.0, cosine)) / pi
-    one = sum(comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
-    most = 128 * p + spread * sqrt(128 * p * (1 - p))
-    return Plan(bits, max(2, ceil(log(1 - recall) / log(1 - one))), radius, int(most) + 1)
-
-
-def learn_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): ``count`` iterative quantisations of the sample side by side, each from its own random start."""
-    mean = sample.mean(0)
-    x = sample - mean
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
-    v = x @ axes.T
+    bits = max(8, round(log2(max(rows / per_bucket, 2))))
+    one = sum(comb(bits, i) * differs**i * (1 - differs) ** (bits - i) for i in range(radius + 1))
+    n = WORD * words
+    most = n * differs + spread * sqrt(n * differs * (1 - differs))
+    return Plan(bits, max(2, ceil(log(1 - recall) / log(1 - one))) if one < 1 else 2, radius, int(most) + 1)
+
+
+class Quantiser:
+    """Iterative quantisations of a sample, as many side by side as are asked for, each from its own random start."""
+
+    def __init__(self, sample: np.ndarray, rounds: int = 30, seed: int = 11):
+        self.mean = sample.mean(0)
+        _, _, self.axes = np.linalg.svd(sample - self.mean, full_matrices=False)
+        self.v = (sample - self.mean) @ self.axes.T
+        self.rng, self.rounds, self.parts = np.random.default_rng(seed), rounds, []
+
+    def matrix(self, bits: int) -> np.ndarray:
+        """The first ``bits`` columns of rotations, learning those that are not there yet."""
+        while sum(p.shape[1] for p in self.parts) < bits:
+            r = np.linalg.qr(self.rng.normal(size=(self.v.shape[1], self.v.shape[1])))[0]
+            for _ in range(self.rounds):
+                u, _, w = np.linalg.svd(np.sign(self.v @ r).T @ self.v)
+                r = (u @ w).T
+            self.parts.append(self.axes.T @ r)
+        return np.concatenate(self.parts, 1)[:, :bits]
+
+
+def chance_to_differ(sample: np.ndarray, mean: np.ndarray, matrix: np.ndarray, cosine: float, seed: int = 5) -> float:
+    """How often a bit differs between a vector of the sample and one at this cosine, seen from the centre of the sample.
+
+    The other vector is made: half of them in a random direction, half in that of another vector of the sample; the
+    greater of the two rates counts. Codes are centred, so this is not the angle / pi where vectors share a direction."""
     rng = np.random.default_rng(seed)
-    parts = []
-    for _ in range(count):
-        r = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
-            r = (u @ w).T
-        parts.append(axes.T @ r)
-    return mean, np.concatenate(parts, 1)
+    x = sample[rng.permutation(len(sample))[:2000]]
+    bits = (x - mean) @ matrix > 0
+    rates = []
+    for v in (rng.normal(size=x.shape), np.roll(x, 1, axis=0)):
+        v = v - (v * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        fit = size[:, 0] > 1e-9
+        if fit.any():
+            y = cosine * x[fit] + sqrt(max(0.0, 1 - cosine * cosine)) * v[fit] / size[fit]
+            rates.append((bits[fit] != ((y - mean) @ matrix > 0)).mean())
+    return float(min(0.5, max(rates, default=acos(cosine) / np.pi)))
 
 
 def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str = "vec_id", order: str = "ord", embedding: str = "embedding") -> DataFrame:
@@ -79,113 +109,195 @@ def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str
     return v.filter((F.size("embedding") == dimension) & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
-def _candidates(index: DataFrame, queries: DataFrame | None, plan: Plan, mean: np.ndarray, matrix: np.ndarray, hot: int) -> DataFrame:
-    """(id, id_b): retrieved pairs of a query and another row of the index; queries None: every row, each pair once."""
+def _fit(entries: DataFrame, rows: int, fit_rows: int, cosine: float, recall: float, radius: int, spread: float, per_bucket: float, words: int) -> tuple[Plan, np.ndarray, np.ndarray]:
+    """The plan, the mean and the rotations, learned by one task from about ``fit_rows`` entries, fewer than twice as many:
+    those whose hash falls in one of rows / fit_rows classes. Only what was learned comes to the driver."""
+    sample = entries.filter(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(max(1, ceil(rows / fit_rows)))) == 0).limit(2 * fit_rows)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in parts])
+        x = np.concatenate([b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in parts])[np.argsort(ids)]
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        q = Quantiser(x)
+        p = substrings_for(rows, chance_to_differ(x, q.mean, q.matrix(WORD * words), cosine), recall, radius, spread, per_bucket, words)
+        m = q.matrix(max(WORD * words, p.bits * p.substrings))
+        one = lambda v, kind: pa.array([list(v)], pa.list_(kind))
+        yield pa.RecordBatch.from_arrays([one((p.bits, p.substrings, p.radius, p.most_apart), pa.int32()), one(q.mean, pa.float64()), one(m.ravel(), pa.float64())], names=["plan", "mean", "matrix"])
+
+    r = sample.select("id", "embedding").repartition(1).mapInArrow(fit, "plan array<int>, mean array<double>, matrix array<double>").first()
+    if r is None:  # no hash fell into the class: so few rows that any of them will do
+        return _fit(entries, 1, fit_rows, cosine, recall, radius, spread, per_bucket, words)
+    return Plan(*r.plan), np.array(r.mean), np.array(r.matrix).reshape(len(r.mean), -1)
+
+
+def _encoded(index: DataFrame, plan: Plan, mean: np.ndarray, matrix: np.ndarray, words: int, probing: bool) -> DataFrame:
+    """(key, id, c0...): one row per vector and substring, and per probe of it. key tells value and number of a substring,
+    c0... are the first bits of the code."""
     shared = index.sparkSession.sparkContext.broadcast((mean, matrix))
-    masks = [0] + [sum(1 << i for i in c) for r in range(1, plan.radius + 1) for c in combinations(range(plan.bits), r)]
-    both = queries is None
+    masks = [0] + [sum(1 << i for i in c) for r in range(1, plan.radius + 1) for c in combinations(range(plan.bits), r)] if probing else [0]
 
-    def encode(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, matrix = shared.value
-        weigh = (1 << np.arange(plan.bits)).astype(np.int64)
+        weigh, mask, m = (1 << np.arange(plan.bits)).astype(np.int64), np.array(masks, np.int64), plan.substrings
+        at_once = max(1, min(512, (1 << 20) // (m * len(masks))))
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                emb = part.column("embedding")
-                x = emb.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                bit = ((x - mean) @ matrix > 0)
-                n, m = part.num_rows, plan.substrings
-                value = bit[:, : m * plan.bits].reshape(n, m, plan.bits).astype(np.int64) @ weigh
-                wide = np.zeros((n, 128), np.uint64)
-                wide[:, : min(128, bit.shape[1])] = bit[:, :128]
-                code = (wide.reshape(n, 2, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-                after = np.roll(value, -1, axis=1)
-                row, sub = (g.ravel() for g in np.meshgrid(np.arange(n), np.arange(m), indexing="ij"))
-                v, nx = value.ravel(), after.ravel()
-                if probing:
-                    mask = np.array(masks, np.int64)
-                    grid = v[:, None] ^ mask[None, :]
-                    # each pair once: of two values that differ in one bit the one without it probes
-                    keep = (v[:, None] & mask[None, :]) == 0 if both else np.ones(grid.shape, bool)
-                    at, _ = np.nonzero(keep)
-                    row, sub, v, nx = row[at], sub[at], grid[keep], nx[at]
-                ids = part.column("id").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sub.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(nx.astype(np.int32)), pa.array(code[row, 0]), pa.array(code[row, 1])], names=["id", "sub", "value", "next", "c0", "c1"])
-
-    schema = "id long, sub int, value int, next int, c0 long, c1 long"
-    stored = stage(index.select("id", "embedding").mapInArrow(lambda t: encode(t, False), schema), "codes")
-    probes = (index if both else queries).select("id", "embedding").mapInArrow(lambda t: encode(t, True), schema)
-    full = cut(stored.groupBy("sub", "value").count().filter(F.col("count") > hot).select("sub", "value", F.lit(True).alias("full")))
-    key = ["sub", "value", "ext"]
-    if full.isEmpty():
-        stored, probes = stored.withColumn("ext", F.lit(-1)), probes.withColumn("ext", F.lit(-1))
-    else:  # a crowded bucket is split by the substring that follows, probed within one bit; fewer than rows / hot of them
-        stored = stored.join(F.broadcast(full), ["sub", "value"], "left").withColumn("ext", F.when(F.col("full"), F.col("next")).otherwise(-1))
-        around = F.array(F.col("next"), *[F.col("next").bitwiseXOR(F.lit(1 << i)) for i in range(plan.bits)])
-        probes = probes.join(F.broadcast(full), ["sub", "value"], "left").withColumn("ext", F.explode(F.when(F.col("full"), around).otherwise(F.array(F.lit(-1)))))
-    other = stored.select(*key, F.col("id").alias("id_b"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    near = F.bit_count(F.col("c0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("d1"))) <= plan.most_apart
-    pairs = probes.select(*key, "id", "c0", "c1").join(other, key).filter(near & (F.col("id") != F.col("id_b")))
-    if both:
-        return pairs.select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b")).distinct()
-    return pairs.select("id", "id_b").distinct()
-
-
-def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.95, recall: float = 0.999, radius: int = 1, spread: float = 4.5,
-            least: float | None = None, queries: DataFrame | None = None, fit_rows: int = 20_000) -> DataFrame:
+            for lo in range(0, b.num_rows, at_once):
+                part = b.slice(lo, at_once)
+                n = part.num_rows
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                bit = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ matrix > 0
+                value = bit[:, : m * plan.bits].reshape(n, m, plan.bits) @ weigh
+                key = (value[:, :, None] ^ mask) * m + np.arange(m)[:, None]
+                code = (bit[:, : WORD * words].reshape(n, words, WORD).astype(np.uint64) << np.arange(WORD, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+                row = np.repeat(np.arange(n), m * len(mask))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("id").take(pa.array(row)), *[pa.array(code[row, w]) for w in range(words)]], names=["key", "id", *[f"c{w}" for w in range(words)]])
+
+    return index.select("id", "embedding").mapInArrow(encode, "key long, id long, " + ", ".join(f"c{w} long" for w in range(words)))
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.clip(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)), -1.0, 1.0)
+
+
+def exact_neighbours(vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """(id, id_b, cosine): the k most similar others, ties of the k-th included, of each row of (id, embedding, asked) whose
+    asked is true, exactly.
+
+    Every vector goes to the cell of the nearest of at most CELLS pivots, and cells are cut into blocks of about BLOCK by
+    hash. Two blocks meet in one task, of which only the best k of each row come out; with ``least``, blocks are left out
+    whose cells are too far apart for it by the triangle inequality of angles. The work grows with the square of the rows
+    that are near each other, the memory of a task does not.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.count()
+    few = vectors.filter(F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(max(1, rows // (2 * CELLS)))) == 0).select("embedding").limit(CELLS).collect()
+    if not few:
+        few = vectors.select("embedding").limit(1).collect()
+    if not few:
+        return spark.createDataFrame([], "id long, id_b long, cosine double")
+    pivots = np.array([r.embedding for r in few])
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value.T
+                cell = c.argmax(1)
+                far = np.arccos(np.clip(c[np.arange(len(x)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "embedding", "asked", "cell", "far"])
+
+    placed = stage(vectors.select("id", "embedding", "asked").mapInArrow(place, "id long, embedding array<double>, asked boolean, cell int, far double"), "placed")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()  # at most CELLS
+    blocks = {r.cell: ceil(r.n / BLOCK) for r in cells}
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    reach = np.pi if least is None else acos(max(-1.0, min(1.0, least))) + 1e-6
+    near = [(a.cell, b.cell) for i, a in enumerate(cells) for b in cells[i:] if between[a.cell, b.cell] - a.radius - b.radius <= reach]
+    sizes = F.create_map(*[F.lit(v) for c, n in blocks.items() for v in (c, n)])
+    table = spark.createDataFrame(near, "cell_a int, cell_b int")
+    table = table.withColumn("a", F.explode(F.sequence(F.lit(0), sizes[F.col("cell_a")] - 1))).withColumn("b", F.explode(F.sequence(F.lit(0), sizes[F.col("cell_b")] - 1)))
+    table = table.filter("cell_a < cell_b OR a <= b").withColumn("pair", F.concat_ws(":", "cell_a", "a", "cell_b", "b"))
+    sides = table.select("pair", F.col("cell_a").alias("cell"), F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
+        table.filter("cell_a <> cell_b OR a <> b").select("pair", F.col("cell_b").alias("cell"), F.col("b").alias("block"), F.lit(1).alias("side")))
+    held = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(31), "id"), sizes[F.col("cell")]).cast("int"))
+
+    def best(t: pa.Table) -> pa.Table:
+        side, ids, asked = (t.column(c).to_numpy() for c in ("side", "id", "asked"))
+        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for mine, other in ((left, right), (right, left))[: 1 if right is left else 2]:
+            mine = mine[asked[mine].astype(bool)]
+            for lo in range(0, len(mine), 1024):
+                m = mine[lo : lo + 1024]
+                c = u[m] @ u[other].T
+                c[m[:, None] == other[None, :]] = -2.0
+                top = min(k, len(other))
+                bar = np.partition(c, len(other) - top, axis=1)[:, len(other) - top] - 1e-12 if top else np.full(len(m), 9.0)
+                i, j = np.nonzero(c >= np.maximum(bar, -1.5 if least is None else least - 1e-9)[:, None])
+                found.append((m[i], other[j]))
+        i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, int) for s in (0, 1))
+        return pa.table({"id": ids[i], "id_b": ids[j], "cosine": cosines(x[i], x[j])})
+
+    met = held.join(sides, ["cell", "block"]).select("pair", "side", "id", "embedding", "asked")
+    return met.groupBy("pair").applyInArrow(best, "id long, id_b long, cosine double")
+
+
+def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.95, recall: float = 0.999, radius: int = 0, spread: float = 3.5, per_bucket: float = 4,
+            words: int = 1, least: float | None = None, queries: DataFrame | None = None, fit_rows: int = 10_000, crowded: int = CROWDED) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the k most similar other vectors of each query vector, ties by neighbour id.
 
     vectors is (vec_id, embedding), as `usable_vectors` gives it; queries (vec_id) restricts whose neighbours come out,
     without it they are those of every vector. The index is planned to retrieve pairs of ``cosine`` with ``recall``
     (and closer ones more surely); pairs below ``least`` are left out. An empty table gives no rows.
 
-    Rotations are learned from at most ``fit_rows`` vectors, the least by hash; every vector is indexed. Equal embeddings
-    are one entry of the index; of a large group of copies only the k + 1 least ids can be anyone's neighbours.
+    Rotations are learned from at most 2 x ``fit_rows`` vectors, chosen by hash; every vector is indexed. Equal embeddings
+    are one entry of the index; of a large group of copies only the k + 1 least ids can be anyone's neighbours. Entries of
+    a bucket of more than ``crowded`` are compared with all others of such buckets by `exact_neighbours` instead, so
+    crowding loses nothing, and an entry has at most crowded x substrings (x probes) candidates, which bounds what is joined by its id.
     """
-    named = vectors.withColumn("class", F.xxhash64("embedding"))
-    members = stage(named.select("vec_id", "class"), "members")
+    named = stage(vectors.withColumn("class", F.xxhash64("embedding")).select("vec_id", "class", "embedding"), "vectors")
+    members = named.select("vec_id", "class")
     entries = stage(named.groupBy("class").agg(F.min("embedding").alias("embedding")).withColumnRenamed("class", "id"), "entries")
     rows = entries.count()
-    schema = "vec_id string, neighbour string, cosine double, rank int"
     if not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sample = np.array([r.embedding for r in entries.orderBy(F.xxhash64("id")).limit(fit_rows).select("embedding").collect()])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    plan = substrings_for(rows, cosine, recall, radius, spread)
-    mean, matrix = learn_rotations(sample, max(ceil(128 / sample.shape[1]), ceil(plan.bits * plan.substrings / sample.shape[1])))
-    asked = None
+        return vectors.sparkSession.createDataFrame([], "vec_id string, neighbour string, cosine double, rank int")
+    plan, mean, matrix = _fit(entries, rows, fit_rows, cosine, recall, radius, spread, per_bucket, words)
+    asked = entries
     if queries is not None:
         ids = members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-        asked = entries.join(ids.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
-    pairs = _candidates(entries, asked, plan, mean, matrix, max(2000, rows // 1000))
-    a = entries.withColumnRenamed("embedding", "x")
+        asked = stage(entries.join(ids.select(F.col("class").alias("id")).distinct(), "id", "left_semi"), "asked")
+    stored = _encoded(entries, plan, mean, matrix, words, False)
+    full = cut(stored.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
+    some = not full.isEmpty()
+    cold = stored.join(full, "key", "left_anti") if some else stored  # fewer than rows x substrings / crowded keys
+    codes = [f"c{w}" for w in range(words)]
+    other = cold.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in codes])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in codes[1:]), F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_b"))))
+    if queries is None:  # probing with the same radius from both ends is not needed: without probes each pair meets once
+        first = cold if not plan.radius else _encoded(entries, plan, mean, matrix, words, True)
+        pairs = first.hint("merge").join(other, "key").filter((F.col("id") < F.col("id_b")) & (differ <= plan.most_apart))
+    else:
+        pairs = _encoded(asked, plan, mean, matrix, words, True).hint("merge").join(other, "key").filter((F.col("id") != F.col("id_b")) & (differ <= plan.most_apart))
+    a = asked.select("id", F.col("embedding").alias("x"))
     b = entries.select(F.col("id").alias("id_b"), F.col("embedding").alias("y"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            if not t.num_rows:
-                continue
-            x, y = (t.column(c).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in "xy")
-            s = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([t.column("id"), t.column("id_b"), pa.array(np.clip(s, -1.0, 1.0))], names=["id", "id_b", "cosine"])
+            if t.num_rows:
+                x, y = (t.column(c).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in "xy")
+                yield pa.RecordBatch.from_arrays([t.column("id"), t.column("id_b"), pa.array(cosines(x, y))], names=["id", "id_b", "cosine"])
 
-    scored = pairs.join(a, "id").join(b, "id_b").select("id", "id_b", "x", "y").mapInArrow(score, "id long, id_b long, cosine double")
+    scored = pairs.select("id", "id_b").distinct().join(a, "id").join(b, "id_b").select("id", "id_b", "x", "y").mapInArrow(score, "id long, id_b long, cosine double")
     if least is not None:
         scored = scored.filter(F.col("cosine") >= least)
-    if asked is None:
+    if queries is None:
         scored = cut(scored)
         scored = scored.unionByName(scored.select(F.col("id_b").alias("id"), F.col("id").alias("id_b"), "cosine"))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "id_b"))
+    if some:
+        close = stored.join(full, "key", "left_semi").select("id").distinct().withColumn("asked", F.lit(queries is None))
+        if queries is not None or plan.radius:
+            probed = _encoded(asked, plan, mean, matrix, words, True).join(full, "key", "left_semi").select("id").distinct()
+            close = close.unionByName(probed.withColumn("asked", F.lit(True))).groupBy("id").agg(F.max("asked").alias("asked"))
+        exact = exact_neighbours(stage(entries.join(close, "id"), "crowded"), k, least)
+        scored = scored.unionByName(exact if least is None else exact.filter(F.col("cosine") >= least)).groupBy("id", "id_b").agg(F.max("cosine").alias("cosine"))
     # equal cosines are told apart by ids of members, so ties of the k-th stay in
     tied = F.rank().over(Window.partitionBy("id").orderBy(F.desc("cosine")))
-    top = scored.withColumn("r", tied).filter(F.col("r") <= k).drop("r") if least is not None else scored.withColumn("r", best).filter(F.col("r") <= 2 * k).drop("r")
+    top = scored.withColumn("r", tied).filter(F.col("r") <= k).drop("r")
     first = Window.partitionBy("class").orderBy("vec_id")
     targets = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select(F.col("class").alias("id_b"), F.col("vec_id").alias("neighbour"))
     own = targets.select(F.col("id_b").alias("id"), F.struct(F.lit(-1.0).alias("c"), "neighbour").alias("t"))
+    if queries is not None:
+        own = own.join(asked.select("id"), "id", "left_semi")
     lists = top.join(targets, "id_b").select("id", F.struct((-F.col("cosine")).alias("c"), "neighbour").alias("t")).unionByName(own)
-    # at most 2k classes with k + 1 targets each, and the own one
-    lists = lists.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("all")).withColumnRenamed("id", "class")
+    # k classes and the ties of the k-th, with k + 1 targets each, and the own one
+    lists = lists.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("all")).withColumnRenamed("id", "class").hint("merge")
     who = members if queries is None else members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     out = salted_join(who, lists, ["class"], F.col("vec_id"), "inner")
     mine = F.slice(F.filter("all", lambda t: t["neighbour"] != F.col("vec_id")), 1, k)

@@ -42,16 +42,41 @@ def test_close_pairs_equal_brute_force(spark, rows):
     assert len(want) > 100 and got == want
 
 
-def test_crowded_buckets_are_split(spark, rows):
+def test_crowded_buckets_lose_nothing(spark, rows):
     r = np.random.default_rng(2)
     x = np.concatenate([np.ones((150, 24)) + r.normal(size=(150, 24)) * 0.02, clustered(200)])
-    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
-    plan = N.substrings_for(len(x), 0.95, 0.999, 1, 4.5)
-    mean, matrix = N.learn_rotations(unit(x), -(-max(128, plan.bits * plan.substrings) // 24))
+    v = N.usable_vectors(frame(spark, [(f"v{i}", 0, e.tolist()) for i, e in enumerate(x)]))
+    c = unit(x) @ unit(x).T
+    np.fill_diagonal(c, -2)
+    want = {(f"v{i}", f"v{j}") for i in range(350) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.95}
+    assert {r[:2] for r in rows(N.nearest(v, least=0.95, crowded=20))} == want
+    asked = spark.createDataFrame([(f"v{i}",) for i in range(0, 350, 10)], "vec_id string")
+    got = {r[:2] for r in rows(N.nearest(v, least=0.95, crowded=20, radius=1, queries=asked))}
+    assert got == {w for w in want if int(w[0][1:]) % 10 == 0}
+
+
+def test_exact_neighbours_of_blocks_and_cells(spark, rows, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 40)
+    monkeypatch.setattr(N, "CELLS", 6)
+    x = clustered(300)
     c = unit(x) @ unit(x).T
-    want = {(i, j) for i in range(350) for j in range(i + 1, 350) if c[i, j] >= 0.95}
-    for hot in (10_000, 20):
-        assert len(want - set(rows(N._candidates(e, None, plan, mean, matrix, hot)))) <= 0.01 * len(want)
+    np.fill_diagonal(c, -2)
+    e = spark.createDataFrame([(i, v.tolist(), i % 3 == 0) for i, v in enumerate(x)], "id long, embedding array<double>, asked boolean")
+    for least in (None, 0.9):
+        best = {}
+        for r in N.exact_neighbours(e, 4, least).collect():
+            best.setdefault(r.id, {})[r.id_b] = r.cosine
+        for i in range(0, 300, 3):
+            want = {int(j) for j in np.argsort(-c[i])[:4] if least is None or c[i, j] >= least}
+            assert set(sorted(best.get(i, {}), key=lambda j: -best[i][j])[:4]) == want
+    assert N.exact_neighbours(e.limit(0), 4, None).count() == 0
+
+
+def test_plans_follow_the_centred_angle():
+    r = np.random.default_rng(3)
+    x = unit(np.ones((2000, 24)) * 0.6 + r.normal(size=(2000, 24)) * 0.2)
+    q = N.Quantiser(x)
+    assert N.chance_to_differ(x, q.mean, q.matrix(64), 0.95) > 1.3 * np.arccos(0.95) / np.pi
 
 
 def test_copies_and_ties(spark):
@@ -68,7 +93,7 @@ def test_recall_of_a_query_set(spark):
     x = clustered(1500, 24, 9)
     v = N.usable_vectors(frame(spark, [(str(i), 0, e.tolist()) for i, e in enumerate(x)]))
     asked = spark.createDataFrame([(str(i),) for i in range(0, 1500, 20)], "vec_id string")
-    got = N.nearest(v, k=5, cosine=0.55, recall=0.97, radius=2, spread=2.5, queries=asked).collect()
+    got = N.nearest(v, k=5, cosine=0.55, recall=0.97, radius=1, spread=2.5, per_bucket=16, words=3, queries=asked).collect()
     c = unit(x) @ unit(x).T
     np.fill_diagonal(c, -2)
     hits = [len({r.neighbour for r in got if r.vec_id == str(i)} & {str(j) for j in np.argsort(-c[i])[:5]}) / 5 for i in range(0, 1500, 20)]
@@ -83,6 +108,7 @@ def test_no_vectors(spark):
 
 
 def test_plans_reach_their_recall():
-    for rows in (100, 100_000, 10**9):
-        p = N.substrings_for(rows, 0.95, 0.999, 1, 4.5)
-        assert 8 <= p.bits <= 20 and p.substrings >= 2
+    for rows in (100, 100_000, 10**9, 10**12):
+        p = N.substrings_for(rows, 0.1, 0.999, 1, 4.5)
+        assert 8 <= p.bits <= 41 and p.substrings >= 2
+    assert p.bits == 40
