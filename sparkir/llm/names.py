@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.operators.orphans import NODE_KEY, normal_key
+from sparkir.operators.skew import salted_join
 from sparkir.session import cut
 
 # Short forms of given names, in English use.
@@ -203,9 +204,28 @@ def agrees(a: tuple, b: tuple) -> bool:
     return bool(a[2] and b[2]) and min(len(a[1]), len(b[1])) >= 8 and word_match(a[2], b[2]) >= 0.7
 
 
+#: Typos of a word make up at most about this share of its and their mass.
+TYPO_SHARE = 0.16
+
+
+def least_share(mine: Column, other: Column, z: float) -> Column:
+    """Wilson's lower bound, at z standard deviations, of the share of ``mine`` in mine + other.
+
+    The bound nears the share as the masses grow, so masses of any size answer alike, only the surer the greater they are."""
+    n = mine + other
+    p = mine / n
+    half = F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) * z
+    return F.when(n > 0, (p + z * z / (2 * n) - half) / (1 + z * z / n)).otherwise(0.0)
+
+
 def close_words(words: DataFrame, q: int, rows: int, bands: int, most: int) -> DataFrame:
-    """(head, head_b, spelled, spelled_b, used, used_b, apart), in both directions: the pairs of ``words`` (head, spelled,
-    used) that share a band and are at most ``most`` edits apart. However often a word is spelled, it is compared."""
+    """(head, head_b, mass, mass_b, apart, typo, unsure), in both directions: the pairs of ``words`` (head, spelled, used) that share
+    a band and are at most ``most`` edits apart. However often a word is spelled, it is compared.
+
+    mass is the number of spellings and that of uses, scaled to spellings by the collection's mean uses of a spelling. typo:
+    the other has more mass, and by spellings or uses the word's share of both is one of typos, to one standard deviation;
+    unsure: it is, or two standard deviations leave it open. Words of like mass are neither, they are two words.
+    """
 
     def band(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -220,24 +240,23 @@ def close_words(words: DataFrame, q: int, rows: int, bands: int, most: int) -> D
     other = banded.select(F.col("head").alias("head_b"), "band", "key")
     maybe = (F.col("head") < F.col("head_b")) & (F.abs(F.length("head") - F.length("head_b")) <= most)
     pairs = banded.join(other, ["band", "key"]).filter(maybe).select("head", "head_b").distinct()
+    # a swap of neighbours is two edits to levenshtein
+    pairs = pairs.filter(F.levenshtein("head", "head_b") <= 2 * most)
     pairs = cut(pairs.mapInPandas(distances, "head string, head_b string, apart int").filter(F.col("apart") <= most))
     pairs = pairs.unionByName(pairs.select(F.col("head_b").alias("head"), F.col("head").alias("head_b"), "apart"))
-    weights = words.select(*[F.col(c).alias(f"{c}_b") for c in ("head", "spelled", "used")])
-    return cut(pairs.join(words, "head").join(weights, "head_b"))
-
-
-def typo_of(a: str, b: str, attested: int, outweigh: int) -> Column:
-    """Whether the word with the columns spelled and used of suffix ``a`` is a typo of its neighbour with those of ``b``."""
-    spelled, used, spelled_b, used_b = (F.col(c + x) for x in (a, b) for c in ("spelled", "used"))
-    more = (spelled_b >= outweigh * spelled) | ((used_b > used) & (used_b >= outweigh * used) & (spelled_b >= spelled))
-    return (spelled_b >= attested) & ((spelled < attested) | more)
-
-
-def typo_roots(close: DataFrame, attested: int, outweigh: int) -> DataFrame:
-    """(head, root) of the words that are typos, from ``close_words``: the best attested neighbour, followed to a word that
-    is no typo itself. Both spellings and uses never fall on the way, and one of them grows, so it ends."""
-    true = close.filter(typo_of("", "_b", attested, outweigh))
-    roots = cut(true.groupBy("head").agg(F.max(F.struct("spelled_b", "used_b", "head_b"))["head_b"].alias("root")))
+    every = words.agg(F.sum("spelled").alias("s"), F.sum("used").alias("u")).first()
+    weighed = words.select("head", "spelled", (F.col("used") * F.lit((every.s or 0) / max(1, every.u or 0))).alias("scaled")).withColumn("mass", F.col("spelled") + F.col("scaled"))
+    other = weighed.select(*[F.col(c).alias(f"{c}_b") for c in weighed.columns])
+    out = pairs.join(weighed, "head").join(other, "head_b")
+    more = F.struct("mass", "head") < F.struct("mass_b", "head_b")
+    share = {z: F.least(*[least_share(F.col(c).cast("double"), F.col(f"{c}_b").cast("double"), z) for c in ("spelled", "scaled")]) for z in (1, 2)}
+    return cut(out.select("head", "head_b", "mass", "mass_b", "apart", (more & (share[1] <= TYPO_SHARE)).alias("typo"), (more & (share[2] <= TYPO_SHARE)).alias("unsure")))
+
+
+def typo_roots(close: DataFrame) -> DataFrame:
+    """(head, root) of the words that are typos, from ``close_words``: the neighbour of most mass of which they are, followed
+    to a word that is no typo itself. The mass grows on the way, so it ends."""
+    roots = cut(close.filter("typo").groupBy("head").agg(F.max(F.struct("mass_b", "head_b"))["head_b"].alias("root")))
     while True:
         on = roots.select(F.col("head").alias("root"), F.col("root").alias("on"))
         if roots.join(on, "root", "left_semi").isEmpty():
@@ -246,63 +265,69 @@ def typo_roots(close: DataFrame, attested: int, outweigh: int) -> DataFrame:
 
 
 def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float = 0.42, recall: float = 0.995,
-               most_edits: int = 1, least: float = 0.8, attested: int = 4, known_given: int = 50, outweigh: int = 5) -> tuple[DataFrame, DataFrame]:
+               most_edits: int = 1, least: float = 0.8, nicknames: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``names`` (name, uses).
 
     members has one row per name: name, uses, cluster (the reading that its star is named after), similarity to it, and
     links (the number of other names in the cluster). links has the verified pairs of readings. Null and blank names, and
-    names without a letter or digit, are dropped.
+    names without a letter or digit, are dropped. nicknames: short form to full form of given names; by default NICKNAMES.
 
     Names that read alike (case, accents, blanks, order, titles, nicknames do not matter) are one node before anything is
     compared, so the pairs grow with the different readings and not with the rows. Two heads are compared if a band of
-    their MinHash values agrees; how many bands that takes follows from the collision curve. A head at most ``most_edits``
-    edits from a better attested one counts as its typo if the other has ``outweigh`` times its spellings or uses, however
-    many it has itself, or if fewer than ``attested`` names have it and more the other; the typo of a typo is one of the
-    best attested head, and typos of one head are linked. Two attested heads of like weight are two real names, and so are
-    two given names, by the same rule. Heads that nobody attests are linked with up to twice the edits, then their nodes
+    their MinHash values agrees; how many bands that takes follows from the collision curve. Whether a head at most
+    ``most_edits`` edits from another is its typo follows from the shares of both in their common mass of spellings and uses
+    (`least_share`), never from a number of them: a share like that of typos makes it one, the typo of a typo is one of the
+    head of most mass, and typos of one head are linked. Two heads of like mass are two real names; so are two given names,
+    by the same rule. Where too little is known to tell, heads are linked with up to twice the edits, and their nodes
     must agree in full in the rest. Nodes of linked heads are compared if their first initials agree or one has none, and
-    are linked at a Monge-Elkan similarity of ``least``. ``known_given`` only caps what a frequent given name counts for in
-    the choice of a centre.
+    are linked at a Monge-Elkan similarity of ``least``; the nodes of a hot head are salted.
     """
     bands = bands_for(similarity, rows, recall)
+    short = NICKNAMES if nicknames is None else nicknames
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             r = pd.DataFrame([read_name(n) for n in p["name"]], columns=["shape", "head", "given", "middle", "kind"], index=p.index)
-            r["given"] = [next(iter(full_forms(g))) if s == "person" and g in NICKNAMES else g for s, g in zip(r["shape"], r["given"])]
+            r["given"] = [short.get(g, g) if s == "person" else g for s, g in zip(r["shape"], r["given"])]
             yield pd.concat([p, r], axis=1)
 
     parsed = cut(names.filter("name IS NOT NULL").select("name", "uses").mapInPandas(read, f"name string, uses long, {READ}").filter("head <> ''"))
     key = ["shape", "head", "given", "middle", "kind"]
     heads = cut(parsed.groupBy("head").agg(F.count("*").alias("spelled"), F.sum("uses").alias("used")))
     both = close_words(heads, q, rows, bands, 2 * most_edits)
-    roots = typo_roots(both.filter(F.col("apart") <= most_edits), attested, outweigh)
+    roots = typo_roots(both.filter(F.col("apart") <= most_edits))
     heads = heads.join(roots, "head", "left").withColumn("root", F.coalesce("root", "head"))
-    is_typo = typo_of("", "_b", attested, outweigh) | typo_of("_b", "", attested, outweigh)
-    near = both.filter(((F.col("apart") <= most_edits) & is_typo) | ((F.col("spelled") < attested) & (F.col("spelled_b") < attested)))
-    near = near.filter("head < head_b").select("head", "head_b")
+    near = both.filter("unsure")  # in one of the directions, that from less to more mass
+    near = near.select(F.least("head", "head_b").alias("head"), F.greatest("head", "head_b").alias("head_b")).distinct()
 
     givens = cut(parsed.filter("shape = 'person' AND length(given) > 1").groupBy(F.col("given").alias("head")).agg(F.count("*").alias("spelled"), F.sum("uses").alias("used")))
-    misspelt = typo_roots(close_words(givens, q, rows, bands, most_edits), attested, outweigh).select("head", F.lit(True).alias("misspelt"))
-    givens = givens.join(misspelt, "head", "left").select(F.col("head").alias("given"), F.col("spelled").alias("known"), F.coalesce("misspelt", F.lit(False)).alias("misspelt"))
-    givens = givens.withColumn("a_name", ~F.col("misspelt") & (F.col("known") >= attested))
+    near_givens = close_words(givens, q, rows, bands, most_edits)
+    misspelt = near_givens.filter("typo").select("head").distinct().withColumn("misspelt", F.lit(True))
+    unsure = near_givens.filter("unsure").select("head").distinct().withColumn("unsure", F.lit(True))
+    givens = givens.join(misspelt, "head", "left").join(unsure, "head", "left").select(F.col("head").alias("given"), F.col("spelled").alias("known"), F.coalesce("misspelt", F.lit(False)).alias("misspelt"), F.col("unsure").isNull().alias("a_name"))
     nodes = parsed.groupBy(*key).agg(F.sum("uses").alias("uses")).join(heads, "head").join(givens, "given", "left").na.fill(0, ["known"]).na.fill(False, ["misspelt", "a_name"])
     nodes = nodes.withColumn("node", F.xxhash64(*key)).withColumn("initial", F.substring("given", 1, 1))
-    # the best centres are complete, and spelled as many others spell
+    # the best centres are complete, their words are no typos, and spelled as many others spell
     full = F.when((F.length("given") > 1) & (F.col("shape") != "short"), F.lit(1)).otherwise(F.lit(0))
-    head_known = F.least("spelled", F.when(F.col("head") == F.col("root"), attested).otherwise(attested - 1))
-    given_known = F.least("known", F.when(F.col("misspelt"), known_given - 1).otherwise(known_given))
-    rank = F.struct(full.alias("full"), head_known.alias("head_known"), given_known.alias("given_known"), F.length("middle").alias("m"), "uses", "node")
+    rank = F.struct(full.alias("full"), (F.col("head") == F.col("root")).cast("int").alias("right_head"), (~F.col("misspelt")).cast("int").alias("right_given"), F.col("spelled").alias("head_known"), F.col("known").alias("given_known"), F.length("middle").alias("m"), "uses", "node")
     nodes = cut(nodes.withColumn("rank", rank))
 
     def of(side: str) -> DataFrame:
         return nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ["node", "a_name", "initial", "root", *key]])
 
+    def linked(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs by equal keys and initials; a node without an initial meets all of its keys."""
+        columns = [*a.columns, *b.columns]
+        columns = list(dict.fromkeys(c for c in columns if c not in on))
+        equal = salted_join(a.withColumn("__i", F.col("initial_a")), b.withColumn("__i", F.col("initial_b")), [*on, "__i"], F.col("node_a"), "inner").select(*columns)
+        left = salted_join(a.filter("initial_a <> ''"), b.filter("initial_b = ''"), on, F.col("node_a"), "inner").select(*columns)
+        right = salted_join(a.filter("initial_a = ''"), b.filter("initial_b <> ''"), on, F.col("node_a"), "inner").select(*columns)
+        return equal.unionByName(left).unionByName(right)
+
     a, b = of("a"), of("b")
-    initials = (F.col("initial_a") == F.col("initial_b")) | (F.col("initial_a") == "") | (F.col("initial_b") == "")
-    same = a.join(b, (F.col("root_a") == F.col("root_b")) & initials & (F.col("node_a") < F.col("node_b")))
-    apart = near.withColumnRenamed("head_b", "near_b").join(a, F.col("head") == F.col("head_a")).join(b, F.col("near_b") == F.col("head_b"))
-    apart = apart.filter(initials & (F.col("root_a") != F.col("root_b"))).drop("head", "near_b")
+    same = linked(a.withColumn("__root", F.col("root_a")), b.withColumn("__root", F.col("root_b")), ["__root"]).filter(F.col("node_a") < F.col("node_b"))
+    spread = near.join(a.withColumnRenamed("head_a", "head"), "head").withColumnRenamed("head", "head_a").withColumnRenamed("head_b", "__head")
+    apart = linked(spread, b.withColumn("__head", F.col("head_b")), ["__head"]).filter(F.col("root_a") != F.col("root_b"))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -361,6 +386,6 @@ def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def name_pairs(members: DataFrame) -> DataFrame:
     """(name_a, name_b): every two different names of a cluster, name_a < name_b by bytes."""
-    a = members.filter("links > 0").select("cluster", F.col("name").alias("name_a"))
-    b = members.filter("links > 0").select("cluster", F.col("name").alias("name_b"))
-    return a.join(b, "cluster").filter("name_a < name_b").select("name_a", "name_b")
+    members = cut(members.filter("links > 0").select("cluster", "name"))
+    a, b = members.withColumnRenamed("name", "name_a"), members.withColumnRenamed("name", "name_b")
+    return salted_join(a, b, ["cluster"], F.col("name_a"), "inner").filter("name_a < name_b").select("name_a", "name_b")

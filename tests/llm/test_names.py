@@ -98,3 +98,17 @@ def test_given_names_are_told_apart_at_any_size(spark, people):
     for m in members.collect():
         groups.setdefault(m.cluster, set()).add(truth[m.name])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == 3 * people
+
+
+@pytest.mark.parametrize("times", [1, 4, 16])
+def test_links_do_not_depend_on_how_often_names_are_spelled(spark, times):
+    people = [("Margaret", "Lorbentani", "Lorbentnai"), ("Robert", "Wesselmoor", "Wesselmor"), ("Frances", "Dandelgere", "Dandelgeere")]
+    truth = {n: i for i, (first, last, typo) in enumerate(people) for n in formats(first, last, times) + formats(first, typo, times)[:times]}
+    members, _ = N.link_names(spark.createDataFrame([(n, 2) for n in truth], "name string, uses long"))
+    got = {r.name: r.cluster for r in members.collect()}
+    assert len(set(got.values())) == 3 and all(len({got[n] for n in truth if truth[n] == i}) == 1 for i in range(3))
+
+
+def test_nicknames_are_a_parameter(spark):
+    df = spark.createDataFrame([("Margaret Lorbentani", 1), ("Gogo Lorbentani", 1)], "name string, uses long")
+    assert [N.link_names(df, nicknames=n)[0].select("cluster").distinct().count() for n in (None, {"gogo": "margaret"})] == [2, 1]
