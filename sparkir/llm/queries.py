@@ -14,11 +14,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p2_models(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.term_models(terms.counted_postings(table(spark, d, "postings")))
+    models = distinctive.term_models(terms.counted_postings(table(spark, d, "postings"), together=True), together=True)
+    return models.withColumn("background", F.round("background", 9)).withColumn("probability", F.round("probability", 6))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.found_terms(p2_models(spark, d))
+    return distinctive.found_terms(terms.counted_postings(table(spark, d, "postings"), together=True), together=True)
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +175,15 @@ SQL = {
         SELECT doc_a, doc_b FROM p WHERE i * 10 >= 8 * (s - i)""",
     "p10_found": r"""WITH b AS (SELECT doc_id, rtrim(regexp_replace(text, '(\s*\n[ \t]*(-- |— |- |Signed, |Ref: |#)[^\n]*)*\s*$', ''), chr(10) || ' ') AS body FROM documents WHERE trim(text, chr(10) || ' ') <> '')
         SELECT doc_id FROM b WHERE body <> '' AND (NOT regexp_matches(body, '[.!?]["'')]*$') OR body LIKE '%..')""",
+    # expectation maximisation, a document leaving when its round changes it by no more than 1e-6
+    "p2_models": f"""WITH RECURSIVE {COUNTED}, d AS (SELECT doc_id, sum(tf) AS total FROM counted GROUP BY 1), t AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM counted GROUP BY 1),
+        b AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS tf, CAST(total AS BIGINT) AS total, df, cf / (SELECT sum(cf) FROM t) AS bg FROM counted JOIN d USING (doc_id) JOIN t USING (term)),
+        em AS (SELECT doc_id, term, tf, total, df, bg, CASE WHEN total > 0 THEN tf / total ELSE 0.0 END AS p, false AS done, 0 AS i FROM b
+          UNION ALL SELECT doc_id, term, tf, total, df, bg, new, max(abs(new - p)) OVER (PARTITION BY doc_id) <= 1e-6, i + 1 FROM (
+            SELECT *, x / greatest(sum(x) OVER (PARTITION BY doc_id), 1e-300) AS new FROM (SELECT *, tf * (0.1 * p) / greatest(0.1 * p + 0.9 * bg, 1e-300) AS x FROM em WHERE NOT done AND i < 200))),
+        last AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY i DESC) AS k FROM em)
+        SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, total AS doc_tf, df AS documents, round(bg, 9) AS background, round(p, 6) AS probability,
+          CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 9) DESC, bg, term) AS INTEGER) AS rank FROM last WHERE k = 1""",
     "p2_found": f"""WITH {COUNTED}, d AS (SELECT doc_id, sum(tf) AS total FROM counted GROUP BY 1), t AS (SELECT term, count(*) AS df FROM counted GROUP BY 1)
         SELECT doc_id, term FROM counted JOIN d USING (doc_id) JOIN t USING (term) WHERE tf >= 3 AND tf * 25 >= total AND df BETWEEN 2 AND 8""",
     "p3_found": f"""WITH {PLACED} SELECT query_id, document_id FROM placed JOIN counting USING (query_id, signal)

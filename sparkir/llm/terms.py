@@ -19,15 +19,23 @@ def normal_term(term: Column | str) -> Column:
     return F.lower(F.trim(F.col(term) if isinstance(term, str) else term))
 
 
-def counted_postings(postings: DataFrame, term: str = "term", doc: str = "doc_id", tf: str = "tf", at: str = "indexed_at") -> DataFrame:
+def counted_postings(postings: DataFrame, term: str = "term", doc: str = "doc_id", tf: str = "tf", at: str = "indexed_at", together: bool = False, most: int = 1_000_000) -> DataFrame:
     """(term, doc_id, tf): of each trimmed, lower-cased term and document the latest row.
 
     Null or blank terms and null documents are dropped, repeated rows count once, a null time is the earliest, a null tf
     is 0, and of rows of one time the greatest tf counts. The key is fine-grained, so the shuffle is even, and rows are
     combined before it.
+
+    together: the result is partitioned by document, for operators that need documents whole, in the same one shuffle. Where
+    a document has more than ``most`` rows to be combined, they are combined by term and document first.
     """
     rows = postings.select(normal_term(term).alias("term"), F.col(doc).alias("doc_id"), F.struct(F.col(at).alias("at"), F.coalesce(F.col(tf), F.lit(0)).alias("tf")).alias("v"))
     rows = rows.filter("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL")
+    if together:
+        hot = not postings.groupBy(F.col(doc)).agg(F.count("*").alias("n")).filter(F.col("n") > most).isEmpty()
+        if hot:
+            rows = rows.groupBy("term", "doc_id").agg(F.max("v").alias("v"))
+        rows = rows.repartition("doc_id")
     return rows.groupBy("term", "doc_id").agg(F.max("v").alias("v")).select("term", "doc_id", F.col("v.tf").cast("long").alias("tf"))
 
 

@@ -40,7 +40,7 @@ def test_models(spark, rows):
     assert len(m) == 44  # every row is scored
     assert m[0, "gate"].rank == 1 and m[0, "gate"].probability > 0.9 and m[0, "gate"].documents == 2
     assert m[2, "zero"].probability == 0 and m[99, "none"].probability == 0
-    assert rows(distinctive.found_terms(distinctive.term_models(p))) == [(0, "gate")]
+    assert rows(distinctive.found_terms(p)) == [(0, "gate")]
     assert distinctive.term_models(p.limit(0)).count() == 0
 
 
@@ -68,3 +68,25 @@ def test_shuffled_postings_give_the_same(spark, rows):
     p = spark.createDataFrame([(f"t{(i * j) % 7}", i, j + 1) for i in range(10) for j in range(4)], "term string, doc_id long, tf long").groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
     cols = ("doc_id", "term", "rank")
     assert rows(distinctive.term_models(p), *cols) == rows(distinctive.term_models(p.repartition(7)), *cols)
+
+
+def test_found_terms_come_from_the_models(spark, rows, monkeypatch):
+    r = np.random.default_rng(4)
+    data = [(f"t{t}", d, int(r.integers(1, 9))) for d in range(60) for t in {*r.integers(0, 40, 25), 100 + d // 3, 200 + d // 5}]
+    p = spark.createDataFrame(data, "term string, doc_id long, tf long")
+    total, df = {}, {}
+    for t, d, n in data:
+        total[d], df[t] = total.get(d, 0) + n, df.get(t, 0) + 1
+    want = sorted(((d, t) for t, d, n in data if n >= 3 and n * 25 >= total[d] and 2 <= df[t] <= 8), key=repr)
+    assert want and rows(distinctive.found_terms(p)) == want == rows(distinctive.found_terms(p.repartition("doc_id"), together=True))
+    monkeypatch.setattr(distinctive, "MOST_TERMS", 5)
+    monkeypatch.setattr(distinctive, "AT_ONCE", 50)
+    assert rows(distinctive.found_terms(p)) == want
+    monkeypatch.setattr(distinctive, "parsimonious", lambda tf, *_: np.zeros(len(tf)))
+    assert rows(distinctive.found_terms(p)) == []
+
+
+def test_postings_of_a_document_together(spark, rows):
+    p = spark.createDataFrame([(" A ", 1, 2, None), ("a", 1, 3, None), ("b", 2, 1, None), (None, 2, 1, None), ("b", None, 1, None)], "term string, doc_id long, tf int, indexed_at timestamp_ntz")
+    for most in (1, 100):
+        assert rows(terms.counted_postings(p, together=True, most=most)) == rows(terms.counted_postings(p)) == [("a", 1, 3), ("b", 2, 1)]
