@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    fused = rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries"))
+    fused = rankfuse.fuse(table(spark, d, "results"), table(spark, d, "queries")).drop("shortest")
     return fused.withColumn("significance", F.round(-F.log("significance"), 6)).withColumnRenamed("significance", "log_significance")
 
 

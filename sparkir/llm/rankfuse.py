@@ -11,21 +11,21 @@ from functools import reduce
 from math import comb
 from operator import add, mul
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkir.operators.skew import hot_keys, salted_join, spread_rank
+from sparkir.operators.skew import hot_keys, salted_join, split_hot, spread_rank
 from sparkir.session import stage
 
 SIGNALS = ("lexical", "dense", "graph")
 
 
-def counting_results(results: DataFrame) -> DataFrame:
+def counting_results(results: DataFrame, by: tuple[str, ...] = ("query_id", "signal", "document_id")) -> DataFrame:
     """(query_id, signal, document_id, strength): of each key the latest row that has a score; strength grows with quality.
 
     Null and NaN scores, null keys and unknown signals are dropped; rows of one time: the best counts; a null time is the
-    earliest. Distances (metadata names the metric euclidean) are negated. The keys are fine-grained, so one even shuffle
-    serves both aggregations.
+    earliest. Distances (metadata names the metric euclidean) are negated. One shuffle by columns of the key, ``by``, serves
+    both aggregations; the result is partitioned by them.
     """
     rows = results.filter("score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND document_id IS NOT NULL")
     rows = rows.filter(F.col("signal").isin(*SIGNALS))
@@ -34,7 +34,7 @@ def counting_results(results: DataFrame) -> DataFrame:
     strength = F.when(far, -F.col("score")).otherwise(F.col("score")) + F.lit(0.0)
     at = F.coalesce(F.col("retrieved_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     key = ["query_id", "signal", "document_id"]
-    rows = rows.select(*key, strength.alias("strength"), at.alias("at")).repartition(*key)
+    rows = rows.select(*key, strength.alias("strength"), at.alias("at")).repartition(*by)
     return rows.groupBy(*key, "at").agg(F.max("strength").alias("strength")).groupBy(*key).agg(F.max_by("strength", "at").alias("strength"))
 
 
@@ -74,37 +74,76 @@ def significance(places: list[Column]) -> Column:
     return F.coalesce(*[F.when(lists == n, corrected(n)) for n in range(1, len(places) + 1)])
 
 
-def fuse(results: DataFrame, queries: DataFrame, least: int = 100_000) -> DataFrame:
-    """(query_id, document_id, lists, place_lexical, place_dense, place_graph, significance, rank): one list per query.
+OUT = ["query_id", "document_id", "lists", *[f"place_{s}" for s in SIGNALS], "shortest", "significance"]
 
-    lists is the number of counting signals; a place is 1 + the number of strictly better documents of that signal, null
-    if it does not count or lacks the document. Documents that no counting signal has are left out. A place is normalised
-    by the length of its list; a counting list without the document, or an empty one, gives 1. rank orders by
-    significance (equal ones share a rank). Queries without a row in ``queries`` use all signals; those without results
-    give no rows.
 
-    Places and ranks of hot queries are computed in ranges of the score, the joins on their query_id are salted.
-    """
-    counted = stage(counting_results(results), "counted")
-    hot = hot_keys(counted, ["query_id"], least=least)
-    ranked = spread_rank(counted, ["query_id", "signal"], "strength", "place", least=least)
-    one = lambda s, c: F.max(F.when(F.col("signal") == s, F.col(c)))
-    lengths = counted.groupBy("query_id", "signal").agg(F.count("*").alias("n")).groupBy("query_id").agg(*[one(s, "n").alias(f"n_{s}") for s in SIGNALS])
-    wanted = lengths.join(counting_signals(queries), "query_id", "left").na.fill(True, [f"c_{s}" for s in SIGNALS])
-    items = ranked.groupBy("query_id", "document_id").agg(*[one(s, "place").alias(f"p_{s}") for s in SIGNALS])
-    items = salted_join(items, wanted, ["query_id"], F.col("document_id"), "inner", least=least, hot=hot)
+def _scored(items: DataFrame) -> DataFrame:
+    """OUT and __s, by which ranks are ordered, of items with p_ (places), n_ (lengths) and c_ (whether it counts) per signal."""
     place = {s: F.when(F.col(f"c_{s}"), F.col(f"p_{s}")) for s in SIGNALS}
     normal = [F.when(F.col(f"c_{s}"), F.coalesce(F.col(f"p_{s}").cast("double") / F.col(f"n_{s}"), F.lit(1.0))) for s in SIGNALS]
     count = sum((F.col(f"c_{s}").cast("int") for s in SIGNALS[1:]), F.col(f"c_{SIGNALS[0]}").cast("int"))
+    shortest = F.least(*[F.when(F.col(f"c_{s}"), F.coalesce(F.col(f"n_{s}"), F.lit(0).cast("long"))) for s in SIGNALS])
     scored = items.filter(F.coalesce(*place.values()).isNotNull()).withColumns({f"r_{s}": c for s, c in zip(SIGNALS, normal)})
-    normal = [F.col(f"r_{s}") for s in SIGNALS]
-    scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], significance(normal).alias("significance"))
+    scored = scored.select("query_id", "document_id", count.alias("lists"), *[place[s].alias(f"place_{s}") for s in SIGNALS], shortest.alias("shortest"), significance([F.col(f"r_{s}") for s in SIGNALS]).alias("significance"))
     # ranked by rounded logarithms: they tell apart the tiny probabilities of long lists, and not the noise of floats
-    scored = stage(scored.withColumn("__s", F.round(-F.log("significance"), 9)), "significance")
-    return spread_rank(scored, ["query_id"], "__s", "rank", least=least, hot=hot).drop("__s")
+    return scored.withColumn("__s", F.round(-F.log("significance"), 9))
+
+
+def _one(s: str, c: str) -> Column:
+    return F.max(F.when(F.col("signal") == s, F.col(c)))
+
+
+def _fuse_together(results: DataFrame, signals: DataFrame) -> DataFrame:
+    """`fuse` where all rows of a query fit in a task: one shuffle by query serves every step."""
+    counted = counting_results(results, ("query_id",))
+    own = Window.partitionBy("query_id", "signal")
+    ranked = counted.withColumn("place", F.rank().over(own.orderBy(F.desc("strength"))).cast("long")).withColumn("n", F.count("*").over(own))
+    items = ranked.groupBy("query_id", "document_id").agg(*[_one(s, "place").alias(f"p_{s}") for s in SIGNALS], *[_one(s, "n").alias(f"m_{s}") for s in SIGNALS])
+    of = Window.partitionBy("query_id")
+    items = items.withColumns({f"n_{s}": F.max(f"m_{s}").over(of) for s in SIGNALS}).drop(*[f"m_{s}" for s in SIGNALS])
+    items = items.join(signals.hint("merge"), "query_id", "left").na.fill(True, [f"c_{s}" for s in SIGNALS])
+    return _scored(items).withColumn("rank", F.rank().over(of.orderBy(F.desc("__s"))).cast("long")).select(*OUT, "rank")
+
+
+def _fuse_spread(results: DataFrame, signals: DataFrame, hot: list[tuple], least: int) -> DataFrame:
+    """`fuse` of hot queries: places and ranks are computed in ranges of the score, joins on query_id are salted."""
+    counted = stage(counting_results(results), "counted")
+    ranked = spread_rank(counted, ["query_id", "signal"], "strength", "place", least=least)
+    lengths = counted.groupBy("query_id", "signal").agg(F.count("*").alias("n")).groupBy("query_id").agg(*[_one(s, "n").alias(f"n_{s}") for s in SIGNALS])
+    wanted = lengths.join(signals.hint("merge"), "query_id", "left").na.fill(True, [f"c_{s}" for s in SIGNALS])
+    items = ranked.groupBy("query_id", "document_id").agg(*[_one(s, "place").alias(f"p_{s}") for s in SIGNALS])
+    items = salted_join(items, wanted, ["query_id"], F.col("document_id"), "inner", least=least, hot=hot)
+    return spread_rank(stage(_scored(items), "significance"), ["query_id"], "__s", "rank", least=least, hot=hot).select(*OUT, "rank")
+
+
+def fuse(results: DataFrame, queries: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """(query_id, document_id, lists, place_lexical, place_dense, place_graph, shortest, significance, rank): one list per
+    query.
+
+    lists is the number of counting signals, shortest the length of the shortest of their lists; a place is 1 + the number
+    of strictly better documents of that signal, null if it does not count or lacks the document. Documents that no counting
+    signal has are left out. A place is normalised by the length of its list; a counting list without the document, or an
+    empty one, gives 1. rank orders by significance (equal ones share a rank). Queries without a row in ``queries`` use all
+    signals; those without results give no rows.
+
+    The results of a query meet in one task, in a single shuffle, unless it has more than ``least`` rows: such hot queries
+    are ranked in ranges of their scores.
+    """
+    signals = counting_signals(queries)
+    hot = hot_keys(results.select("query_id"), ["query_id"], least=least)
+    if not hot:
+        return _fuse_together(results, signals)
+    cold, warm = split_hot(results, ["query_id"], hot)
+    return _fuse_together(cold, signals).unionByName(_fuse_spread(warm, signals, hot, least))
 
 
 def agreed(fused: DataFrame, within: int = 5) -> DataFrame:
-    """(query_id, document_id) at place ``within`` or better in every one of at least two counting signals."""
+    """(query_id, document_id) at place ``within`` or better in every one of at least two counting signals.
+
+    The normalised places of such a document are at most x = within / shortest, and the chance that all of n random places
+    are is x ** n, so its significance is at most n x ** n: the aggregation gives the candidates, the places decide."""
+    x = F.lit(float(within)) / F.col("shortest")
+    bound = reduce(lambda c, n: F.when(F.col("lists") == n, reduce(mul, [x] * n) * n).otherwise(c), range(2, len(SIGNALS) + 1), F.lit(0.0))
+    significant = F.col("significance") <= F.least(F.lit(1.0), bound) * (1 + 1e-9)
     near = sum((F.coalesce((F.col(f"place_{s}") <= within).cast("int"), F.lit(0)) for s in SIGNALS), F.lit(0))
-    return fused.filter((F.col("lists") >= 2) & (near == F.col("lists"))).select("query_id", "document_id").distinct()
+    return fused.filter((F.col("lists") >= 2) & (F.col("shortest") > 0) & significant & (near == F.col("lists"))).select("query_id", "document_id").distinct()
