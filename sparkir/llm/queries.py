@@ -109,7 +109,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text"), exempt=False))
+    rates = truncation.cut_rates(truncation.examined(table(spark, d, "documents").select("doc_id", "source", "text"), exempt=False))
+    return rates.withColumn("rate", F.round("rate", 6))
 
 
 QUERIES = {
@@ -151,6 +152,12 @@ RUNNING = r"""b AS (SELECT doc_id, source, rtrim(regexp_replace(text, '(\s*\n[ \
 
 SQL = {
     "p10_rates": f"WITH {RUNNING} SELECT coalesce(lower(trim(source)), '') AS source, count(*) AS texts, count(*) FILTER (cut) AS cut, round(avg(cut::INT), 6) AS rate FROM e GROUP BY 1",
+    # brackets and quotes are counted instead of nested
+    "p10_evidence": f"""WITH {RUNNING}, o AS (SELECT *, body LIKE '%..' OR regexp_matches(body, '(…|[\\[(<]\\s*(\\.\\.+|…|[A-Za-zÀ-ÿ]+(\\s[A-Za-zÀ-ÿ]+)?)\\s*[\\])>])$') AS dots, regexp_matches(body, '(&#?\\w{{0,8}}|\\\\(u[0-9a-fA-F]{{0,3}}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]|</?[a-zA-Z][^<>]*|</?)$') AS esc,
+          len(replace(body, ')', '')) > len(replace(body, '(', '')) OR (len(body) - len(replace(body, '"', ''))) % 2 = 1 AS unclosed FROM e WHERE body <> '' OR NOT cut),
+        k AS (SELECT coalesce(lower(trim(source)), '') AS source, CASE WHEN body = '' THEN 'whole' WHEN ends_with(body, chr(65533)) THEN 'bytes' WHEN dots THEN 'mark' WHEN NOT cut THEN CASE WHEN unclosed THEN 'open' ELSE 'whole' END WHEN esc THEN 'escape' ELSE 'unfinished' END AS kind FROM o)
+        SELECT source, count(*) AS texts, count(*) FILTER (kind <> 'whole') AS cut, round(avg((kind <> 'whole')::INT), 6) AS rate, count(*) FILTER (kind = 'mark') AS mark, count(*) FILTER (kind = 'bytes') AS bytes,
+          count(*) FILTER (kind = 'escape') AS escape, count(*) FILTER (kind = 'open') AS open, count(*) FILTER (kind = 'unfinished') AS unfinished FROM k GROUP BY 1""",
     "p3_ranking": f"""WITH {PLACED}, c AS (
           SELECT query_id, coalesce(max(CASE WHEN signal = 'lexical' THEN 1 END), 0) AS l, coalesce(max(CASE WHEN signal = 'dense' THEN 1 END), 0) AS d, coalesce(max(CASE WHEN signal = 'graph' THEN 1 END), 0) AS g FROM counting GROUP BY 1),
         w AS (SELECT query_id, document_id, max(place) FILTER (signal = 'lexical') AS pl, max(place) FILTER (signal = 'dense') AS pd, max(place) FILTER (signal = 'graph') AS pg FROM placed GROUP BY 1, 2),

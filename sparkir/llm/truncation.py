@@ -1,8 +1,9 @@
 """Texts cut off by field limits (problem 10).
 
 A text is read from its end: closing lines (sign-off, tags, list, reference, feed name) are set aside, then whatever an
-exporter put behind the cut. What is left, the running text, must end in a finished sentence, with nothing that it opened
-still open.
+exporter put behind the cut. What is left, the running text, must end in a finished sentence, and a stack automaton over
+the whole of it must find nothing that it opened still open. Lines and marks are told by their build, not by words of some
+language.
 """
 
 from __future__ import annotations
@@ -17,21 +18,27 @@ from pyspark.sql import functions as F
 from sparkir.operators.skew import salted_join
 from sparkir.session import stage
 
-#: Lines of their own that may follow a finished text.
-CLOSING = re.compile(
-    r"""\s*(?: (?:--|—|–)\s*\S.* | [-*•]\s+\S.* | (?:signed|regards|best|cheers|grüße|cordialement|saludos)\b[,:].* | \#\w.*
-        | (?:ref|refs|reference|references|source|sources|via|tags|see\ also|feed|posted\ in)\s*:.* | \[\d+\].* )\s*""",
-    re.VERBOSE | re.IGNORECASE,
-)
-#: What exporters put behind a cut.
-MARK = re.compile(r"\s*(?:\.\.+|…|[\[(<]\s*(?:\.\.+|…|more|cut|truncated|continued|read\ more|mehr|suite|más)\s*[\])>]|(?:read|view|show)\ more)\s*$", re.IGNORECASE)
-ESCAPE = re.compile(r"(?:&#?\w{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]?|</?\w*(?:\s[^<>]*)?)$")
+#: Lines of their own that may follow a finished text: dashes, bullets, tags, numbers in brackets, or a label of one or two
+#: words with a colon and a short value without a sentence in it.
+CLOSING = re.compile(r"\s*(?:(?:--|—|–)\s*\S.*|[-*•]\s+\S.*|\#\w.*|\[\d+\].*|[^\W\d_]+(?: [^\W\d_]+)?\s*:(?:\s+[^\s.!?]+(?:\.[^\s.!?]+)*){1,12})\s*")
+#: One or two words, a comma, and nothing but a name: a sign-off.
+SIGNED = re.compile(r"\s*[^\W\d_]+(?: [^\W\d_]+)?,((?:\s+[^\W\d_][\w.'’-]*){1,5})\s*")
+#: What exporters put behind a cut: dots, or up to three words in brackets.
+MARK = re.compile(r"\s*(?:\.\.+|…|[\[(<]\s*(?:\.\.+|…|[^\W\d_]+(?:\s[^\W\d_]+){0,2}(?:\.\.+|…)?)\s*[\])>])\s*$")
+#: The beginning of an entity, a backslash or percent escape, or a tag.
+ESCAPE = re.compile(r"(?:&#?\w{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]|</?[a-zA-Z][^<>]*|</?)$")
 FINISHED = re.compile(r"[.!?。！？؟।](?:[\"'”’»)\]}*_]|</\w+>)*$")
-SENTENCE = re.compile(r"[.!?。！？؟।](?:[\"'”’»)\]}])*\s+")
 NESTING = re.compile(r"[()\[\]{}\"“”„«»]|</?[a-zA-Z][^<>]*>")
 CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 
 
+def _closes(text: str, start: int, end: int) -> bool:
+    if CLOSING.fullmatch(text, start, end):
+        return True
+    m = SIGNED.fullmatch(text, start, end)
+    return bool(m) and all(w[0].isupper() for w in m[1].split())
+
+
 def running_text(text: str) -> str:
     """The text without its closing lines and the white space around them."""
     end = len(text)
@@ -39,45 +46,36 @@ def running_text(text: str) -> str:
         while end and text[end - 1].isspace():
             end -= 1
         start = text.rfind("\n", 0, end) + 1
-        if not end or not CLOSING.fullmatch(text, start, end) or (start == 0 and not text[start].isspace() and text[start] not in "-—–#["):
+        if not end or not _closes(text, start, end) or (start == 0 and not text[start].isspace() and text[start] not in "-—–#["):
             return text[:end]
         end = start
 
 
 def still_open(text: str) -> int:
-    """How many brackets, quotes and tags that open in the last sentence are not closed: a stack automaton."""
-    stack: list[tuple[str, int]] = []
+    """How many brackets, quotes and tags of the text are opened and not closed: a stack automaton, run once over all of it."""
+    stack: list[str] = []
     for m in NESTING.finditer(text):
         t = m[0]
         if t[0] == "<":
-            name = re.match(r"</?(\w+)", t)[1].lower()
+            name = "<" + re.match(r"</?(\w+)", t)[1].lower()
             if t.startswith("</"):
-                while stack and stack[-1][0] != f"<{name}":
-                    if not any(o == f"<{name}" for o, _ in stack):
-                        break
-                    stack.pop()
-                if stack and stack[-1][0] == f"<{name}":
-                    stack.pop()
-            elif not t.endswith("/>") and name not in ("br", "hr", "img"):
-                stack.append((f"<{name}", m.start()))
+                if name in stack:  # closes whatever was left open inside
+                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
+            elif not t.endswith("/>") and name not in ("<br", "<hr", "<img"):
+                stack.append(name)
         elif t == '"':
-            if stack and stack[-1][0] == '"':
+            if stack and stack[-1] == '"':
                 stack.pop()
             else:
-                stack.append((t, m.start()))
-        elif t == "“" and stack and stack[-1][0] == "„":
+                stack.append(t)
+        elif t == "“" and stack and stack[-1] == "„":
             stack.pop()
         elif t in CLOSES:
-            if stack and stack[-1][0] == CLOSES[t]:
+            if stack and stack[-1] == CLOSES[t]:
                 stack.pop()
         else:
-            stack.append((t, m.start()))
-        if len(stack) > 64:  # far deeper than running text nests; the oldest cannot belong to the last sentence
-            del stack[0]
-    last = 0
-    for m in SENTENCE.finditer(text):
-        last = m.end()
-    return sum(at >= last for _, at in stack)
+            stack.append(t)
+    return len(stack)
 
 
 def examine(text: str | None) -> str | None:
@@ -97,7 +95,7 @@ def examine(text: str | None) -> str | None:
         return "mark"
     if FINISHED.search(body):
         return "open" if still_open(body) else "whole"
-    return "escape" if ESCAPE.search(body) and not body[-1].isalnum() or re.search(r"&#?\w{0,8}$", body) else "unfinished"
+    return "escape" if ESCAPE.search(body) else "unfinished"
 
 
 def normal_source(c: Column | str) -> Column:
@@ -105,18 +103,19 @@ def normal_source(c: Column | str) -> Column:
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
 
 
-def examined(documents: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", baseline_rows: int = 20, baseline_share: float = 0.8,
-             exempt: bool = True) -> DataFrame:
+def examined(documents: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", baseline_share: float = 0.8,
+             usual: float = 0.1, weight: float = 10.0, exempt: bool = True) -> DataFrame:
     """The rows of ``documents``, without the text, with normal_source, evidence and cut (boolean; null for null and blank
     texts).
 
     With ``exempt`` false every text is judged by itself, as TESTDATA.md defines a case, and a source whose field limit cuts
-    all its texts shows them all; the registered queries do so. Otherwise a missing terminator is evidence only where
-    sources end their texts with one: if at least ``baseline_share`` of a source's texts, and ``baseline_rows`` of them, are
-    unfinished without any other evidence, the source just writes so, and only marks, broken bytes or escapes, and open
-    quotes or brackets count for it. That is for collections of titles and the like: it cannot tell them from a source that
-    is cut everywhere. Texts without source share a baseline. Whole texts are read once, in Arrow batches, and what was
-    seen is kept without them; the join of the baselines is salted for hot sources.
+    all its texts shows them all; the registered queries do so. Otherwise what a source does with most of its texts is no
+    evidence there: a missing terminator counts unless the share of its texts that are unfinished without any other evidence
+    reaches ``baseline_share``, and something left open unless that of its finished texts with something open does. Shares
+    are drawn to ``usual`` as if ``weight`` further texts had it, so they grow steadily with the texts and no number of
+    texts is a switch. That is for collections of titles and the like: it cannot tell them from a source that is cut
+    everywhere. Texts without source share a baseline. Whole texts are read once, in Arrow batches, and what was seen is
+    kept without them; the join of the baselines is salted for hot sources.
     """
 
     @F.pandas_udf("string")
@@ -128,12 +127,13 @@ def examined(documents: DataFrame, text: str = "text", source: str = "source", r
     seen = stage(seen.drop(text), "examined")
     if not exempt:
         return seen.withColumn("cut", F.when(F.col("evidence") != "blank", F.col("evidence") != "whole"))
-    texts = F.sum(F.when(F.col("evidence") != "blank", 1).otherwise(0))
-    habits = seen.groupBy("normal_source").agg(texts.alias("n"), F.sum(F.when(F.col("evidence") == "unfinished", 1).otherwise(0)).alias("u"))
-    habits = habits.select("normal_source", ((F.col("n") >= baseline_rows) & (F.col("u") >= baseline_share * F.col("n"))).alias("__loose"))
+    count = lambda *kinds: F.sum(F.when(F.col("evidence").isin(*kinds), 1.0).otherwise(0.0))
+    share = lambda part, whole: (part + usual * weight) / (whole + weight) >= baseline_share
+    every = count("whole", "mark", "bytes", "escape", "open", "unfinished")
+    habits = seen.groupBy("normal_source").agg(share(count("unfinished"), every).alias("__loose"), share(count("open"), count("open", "whole")).alias("__open"))
     joined = salted_join(seen, habits, ["normal_source"], F.col(row_id), "left")
-    cut = F.col("evidence").isin("mark", "bytes", "escape", "open") | ((F.col("evidence") == "unfinished") & ~F.coalesce("__loose", F.lit(False)))
-    return joined.withColumn("cut", F.when(F.col("evidence").isNull() | (F.col("evidence") == "blank"), F.lit(None)).otherwise(cut)).drop("__loose")
+    cut = F.col("evidence").isin("mark", "bytes", "escape") | ((F.col("evidence") == "unfinished") & ~F.col("__loose")) | ((F.col("evidence") == "open") & ~F.col("__open"))
+    return joined.withColumn("cut", F.when(F.col("evidence").isNull() | (F.col("evidence") == "blank"), F.lit(None)).otherwise(cut)).drop("__loose", "__open")
 
 
 def cut_rates(found: DataFrame) -> DataFrame:
