@@ -47,7 +47,8 @@ def parsimonious(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own
     return result
 
 
-def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float = 1e-6, rounds: int = 200, marks: float | None = None, together: bool = False) -> DataFrame:
+def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float = 1e-6, rounds: int = 200, marks: float | None = None, together: bool = False,
+                vocabulary: int | None = None) -> DataFrame:
     """(doc_id, term, tf, doc_tf, documents, background, probability, rank) for every row of (term, doc_id, tf).
 
     background is the term's share of all occurrences of the collection, probability the term's converged share of the
@@ -61,12 +62,14 @@ def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float =
     Background and document counts of up to MOST_TERMS terms go to all tasks, else they are joined by term, with the
     postings of hot terms salted. Rows of one document meet in one task, sorted, and are streamed through it: a document
     must fit there, its neighbours need not. together: the postings are partitioned by document already, as `counted_postings`
-    leaves them on request, and are not shuffled again.
+    leaves them on request, and are not shuffled again. vocabulary: the number of terms, where the caller knows it cheaper.
     """
     counts = postings.groupBy("term").agg(F.sum("tf").alias("__cf"), F.count("*").alias("documents"))
-    every = counts.agg(F.coalesce(F.sum("__cf"), F.lit(0)).cast("double").alias("__all"))
-    background = counts.join(F.broadcast(every)).select("term", "documents", F.when(F.col("__all") > 0, F.col("__cf") / F.col("__all")).otherwise(0.0).alias("background"))
-    few = postings.select(F.approx_count_distinct("term", 0.02)).first()[0] <= MOST_TERMS
+    # both sums are used, so that this is read from the same exchange as the counts
+    every = counts.agg(F.coalesce(F.sum("__cf"), F.lit(0)).cast("double").alias("__all"), F.sum("documents").alias("__rows"))
+    share = F.when((F.col("__rows") > 0) & (F.col("__all") > 0), F.col("__cf") / F.col("__all")).otherwise(0.0)
+    background = counts.join(F.broadcast(every)).select("term", "documents", share.alias("background"))
+    few = (postings.select(F.approx_count_distinct("term", 0.02)).first()[0] if vocabulary is None else vocabulary) <= MOST_TERMS
     if few:
         rows = postings.join(F.broadcast(background), "term")
     else:
@@ -117,10 +120,10 @@ def term_models(postings: DataFrame, own_share: float = 0.1, tolerance: float =
     return rows.mapInArrow(run, f"doc_id {kind}, term string, tf long, doc_tf long, documents long, background double, probability double, rank int")
 
 
-def found_terms(postings: DataFrame, together: bool = False, least_tf: int = 3, least_share: float = 1 / 25, least_documents: int = 2, most_documents: int = 8) -> DataFrame:
+def found_terms(postings: DataFrame, together: bool = False, vocabulary: int | None = None, least_tf: int = 3, least_share: float = 1 / 25, least_documents: int = 2, most_documents: int = 8) -> DataFrame:
     """(doc_id, term): the terms that the converged models rank as marking their document, at the stated counts.
 
     A term of ``least_share`` of its document keeps what `term_models` asks of it, so its models give all candidates, and
     the counts are exact."""
     exact = (F.col("tf") >= least_tf) & (F.col("tf") * round(1 / least_share) >= F.col("doc_tf")) & F.col("documents").between(least_documents, most_documents)
-    return term_models(postings, marks=least_share, together=together).filter(exact & (F.col("probability") > 0)).select("doc_id", "term").distinct()
+    return term_models(postings, marks=least_share, together=together, vocabulary=vocabulary).filter(exact & (F.col("probability") > 0)).select("doc_id", "term").distinct()

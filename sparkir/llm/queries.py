@@ -14,12 +14,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p2_models(spark: SparkSession, d: str) -> DataFrame:
-    models = distinctive.term_models(terms.counted_postings(table(spark, d, "postings"), together=True), together=True)
+    posts = table(spark, d, "postings")
+    models = distinctive.term_models(terms.counted_postings(posts, together=True), together=True, vocabulary=terms.vocabulary_size(posts))
     return models.withColumn("background", F.round("background", 9)).withColumn("probability", F.round("probability", 6))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.found_terms(terms.counted_postings(table(spark, d, "postings"), together=True), together=True)
+    posts = table(spark, d, "postings")
+    return distinctive.found_terms(terms.counted_postings(posts, together=True), together=True, vocabulary=terms.vocabulary_size(posts))
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -23,20 +23,28 @@ def counted_postings(postings: DataFrame, term: str = "term", doc: str = "doc_id
     """(term, doc_id, tf): of each trimmed, lower-cased term and document the latest row.
 
     Null or blank terms and null documents are dropped, repeated rows count once, a null time is the earliest, a null tf
-    is 0, and of rows of one time the greatest tf counts. The key is fine-grained, so the shuffle is even, and rows are
-    combined before it.
+    is 0, and of rows of one time the greatest tf counts. The key is fine-grained, so the one shuffle is even.
 
     together: the result is partitioned by document, for operators that need documents whole, in the same one shuffle. Where
     a document has more than ``most`` rows to be combined, they are combined by term and document first.
     """
-    rows = postings.select(normal_term(term).alias("term"), F.col(doc).alias("doc_id"), F.struct(F.col(at).alias("at"), F.coalesce(F.col(tf), F.lit(0)).alias("tf")).alias("v"))
+    when = F.coalesce(F.col(at).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = postings.select(normal_term(term).alias("term"), F.col(doc).alias("doc_id"), when.alias("at"), F.coalesce(F.col(tf), F.lit(0)).cast("long").alias("tf"))
     rows = rows.filter("term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL")
     if together:
         hot = not postings.groupBy(F.col(doc)).agg(F.count("*").alias("n")).filter(F.col("n") > most).isEmpty()
         if hot:
-            rows = rows.groupBy("term", "doc_id").agg(F.max("v").alias("v"))
+            rows = rows.groupBy("term", "doc_id", "at").agg(F.max("tf").alias("tf"))
         rows = rows.repartition("doc_id")
-    return rows.groupBy("term", "doc_id").agg(F.max("v").alias("v")).select("term", "doc_id", F.col("v.tf").cast("long").alias("tf"))
+    else:
+        rows = rows.repartition("term", "doc_id")
+    # aggregations of numbers hash, those of structs would sort
+    return rows.groupBy("term", "doc_id", "at").agg(F.max("tf").alias("tf")).groupBy("term", "doc_id").agg(F.max_by("tf", "at").alias("tf"))
+
+
+def vocabulary_size(postings: DataFrame, term: str = "term") -> int:
+    """About how many different terms there are, from one look at the rows."""
+    return postings.select(F.approx_count_distinct(normal_term(term), 0.02)).first()[0]
 
 
 def text_postings(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
