@@ -1,13 +1,15 @@
 """Near-duplicate records with small edits (problem 7): order MinHash and banded alignment.
 
-A sketch samples the least of a text's occurrence-labelled words by a seeded hash and keeps them in text order, so that
-two texts share it if they share the words and their order. Pairs that share a sketch are verified exactly.
+A sketch samples the least of a text's occurrence-labelled k-mers of words by a seeded hash and keeps them in text order,
+so that two texts share it if they share the k-mers and their order. Pairs that share a sketch are aligned in a band in
+text order, which settles the texts whose words kept their order; what it leaves open is settled by the sets of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,11 @@ PARITY_WORDS = 4
 ALIGNED = 1 << 19
 #: A word of so few texts is telling in a collection of any size.
 FEW = 100
+#: Texts of fewer distinct words are not sampled but paired by their rarest words.
+SHORT = 12
+#: Classes whose sketches are counted beforehand, to find keys that are far too large for a task.
+LOOK_AHEAD = 10_000_000
+SEEN = 1000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -46,40 +53,100 @@ def labelled(word: np.ndarray, of: np.ndarray) -> np.ndarray:
     return mix(word ^ mix(nth, 1), 2)
 
 
-def first_places(word: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The places of the words that did not occur before in their text, in order."""
-    order = np.lexsort((np.arange(len(word)), word, of))
-    w, d = word[order], of[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-    return np.sort(order[new])
-
-
-def order_sketches(word: np.ndarray, starts: np.ndarray, weight: np.ndarray, sketches: int, kept: int) -> np.ndarray:
-    """One key per text and sketch: the ``kept`` labelled words of least weighted hash, in text order."""
+def k_mers(word: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the runs of k words of each text; a text of fewer words is one run."""
     sizes = np.diff(np.append(starts, len(word)))
+    h = word.astype(np.uint64)
+    for i in range(1, k):
+        ahead = np.concatenate([word[i:], np.zeros(i, word.dtype)]).astype(np.uint64)
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(word)) > i  # the run stays inside its text
+        h = np.where(left, mix(h ^ mix(ahead, 20 + i), 21), h)
+    counts = np.maximum(sizes - (k - 1), 1)
+    keep = np.arange(len(word)) - np.repeat(starts, sizes) < np.repeat(counts, sizes)
+    return h[keep], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+
+
+def order_sketches(item: np.ndarray, starts: np.ndarray, weight: np.ndarray | None, sketches: int, kept: int, seed: int = 100) -> np.ndarray:
+    """One key per text and sketch: the ``kept`` labelled items of least (weighted) hash, in text order."""
+    sizes = np.diff(np.append(starts, len(item)))
     of = np.repeat(np.arange(len(starts)), sizes)
-    item = labelled(word, of)
     out = np.zeros((len(starts), sketches), np.uint64)
     for s in range(sketches):
-        u = (mix(item, 100 + s) >> np.uint64(11)).astype(float) * 2.0**-53
-        r = -np.log1p(-u) / weight  # the least of exponentials: an item is sampled in proportion to its weight
+        r = (mix(item, seed + s) >> np.uint64(11)).astype(float)
+        if weight is not None:
+            r = -np.log1p(r * -(2.0**-53)) / weight  # the least of exponentials: an item is sampled in proportion to its weight
         at = []
         for _ in range(kept):
-            least = np.minimum.reduceat(r, starts)
-            hit = np.flatnonzero((r == least[of]) & np.isfinite(r))
+            hit = np.flatnonzero(r == np.repeat(np.minimum.reduceat(r, starts), sizes))
             place = np.full(len(starts), -1)
             place[of[hit][::-1]] = hit[::-1]  # the first of equal ones
+            place[~np.isfinite(r[place])] = -1
             at.append(place)
             r[place[place >= 0]] = np.inf
         at = np.sort(np.stack(at, 1), 1)
-        key = np.full(len(starts), s, np.uint64)
+        key = np.full(len(starts), seed + s, np.uint64)
         for i in range(kept):
             key = mix(key ^ np.where(at[:, i] >= 0, item[at[:, i]], np.uint64(0)), 3 + i)
         out[:, s] = key
     return out.view(np.int64)
 
 
+def parities(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, PARITY_WORDS) bits: whether an odd number of a text's distinct words falls into each of 64 x PARITY_WORDS slots."""
+    n = 64 * PARITY_WORDS
+    slot = np.repeat(np.arange(len(sizes)), sizes) * n + (mix(word, 9) % np.uint64(n)).astype(np.int64)
+    odd = np.bincount(slot, minlength=len(sizes) * n).reshape(len(sizes), PARITY_WORDS, 64) & 1
+    return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(id, id_b), id < id_b, of rows (key, id, n, p0) that come sorted by key: pairs of one key whose sizes and first parity
+    words allow the similarity. A key of more than ``bucket`` rows is crowded: its rows come out with id_b null (-1).
+
+    The rows are streamed; of an unfinished key no more than bucket + 1 are held."""
+    held = np.zeros((4, 0), np.int64)
+    crowded = None  # the key whose further rows are known to be crowded
+
+    def settle(t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, ids, n, p = t
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        sizes = np.diff(np.append(new, len(key)))
+        run = np.repeat(sizes, sizes)
+        many = run > bucket
+        if many.any():
+            yield ids[many], np.full(int(many.sum()), -1)
+        end = np.repeat(new + sizes, sizes)
+        at = np.flatnonzero((run > 1) & ~many)
+        for step in range(1, int(run[at].max(initial=1))):
+            at = at[at + step < end[at]]
+            i, j = at, at + step
+            both = n[i] + n[j]
+            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(p[i] ^ p[j]) <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    for b in batches:
+        t = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "n", "p0")])
+        if crowded is not None:
+            same = t[0] == crowded
+            if same.any():
+                yield t[1][same], np.full(int(same.sum()), -1)
+                t = t[:, ~same]
+            if t.shape[1]:
+                crowded = None
+        t = np.concatenate([held, t], 1)
+        if not t.shape[1]:
+            continue
+        last = int(np.searchsorted(t[0], t[0][-1]))
+        yield from settle(t[:, :last])
+        held = t[:, last:]
+        if held.shape[1] > bucket:
+            crowded = int(held[0, 0])
+            yield held[1], np.full(held.shape[1], -1)
+            held = np.zeros((4, 0), np.int64)
+    yield from settle(held)
+
+
 def matches_in_band(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray) -> np.ndarray:
     """Of each pair (a[i], b[i]) the most equal elements that an alignment in order can pair, if it stays within band[i] of
     the diagonal, or some wider band of a pair that is aligned together with it.
@@ -114,16 +181,16 @@ def matches_in_band(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray)
 
 
 def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, seq, bag, n, h1, h2): hashed words in order, the sorted distinct ones, their number and hash; texts without
+    """(doc_id, seq, n, h1, h2): hashed words in order, the number of the distinct ones and the hash of their set; texts without
     a word are left out."""
     seq = F.transform(words(text), lambda w: F.xxhash64(w))
     w = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), seq.alias("seq")).withColumn("bag", F.array_sort(F.array_distinct("seq")))
     w = w.withColumn("n", F.size("bag")).filter("n > 0")
-    return w.withColumn("h1", F.xxhash64("bag")).withColumn("h2", F.xxhash64(F.lit(1), "bag"))
+    return w.select("doc_id", "seq", "n", F.xxhash64("bag").alias("h1"), F.xxhash64(F.lit(1), "bag").alias("h2"))
 
 
 def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 24, kept: int = 2,
-                    common: float = 0.01, plain: int = 12, plain_kept: int = 6, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
+                    common: float = 0.01, plain: int = 12, plain_kept: int = 3, k: int = 2, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
     """(members, pairs). members: (doc_id, class_id, paired), one row per text with a word; paired: it has at least
     ``least_words`` distinct words. pairs: (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of
     classes of such texts found whose shared distinct words are at least ``similarity`` of the distinct words of both.
@@ -131,125 +198,166 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
     Texts of the same distinct words are one class, named after its least doc_id, before anything is compared. Null and
     blank texts and null ids are left out; of rows that repeat a doc_id with different texts the row of the least hash counts.
 
-    Sampling weights of words in more than ``common`` of the texts (and more than FEW) fall with their frequency, so
-    sketches consist of telling words; there are at most (mean distinct words / common) such words, and only their table
-    goes to the tasks.
-    A pair of similarity s shares a given sketch with about s ** kept times the chance that the sampled words kept their
-    order, and one of ``sketches`` almost surely. Each weighted sketch is also taken of the first occurrences of the words, as a text
-    and its repetition inside one document share their distinct words only. Before verification, pairs are pruned without loss by their sizes and by
+    Two families of sketches are taken: ``sketches`` of ``kept`` words at their first occurrence, which follow the distinct
+    words however often a text repeats them, and ``plain`` ones of ``plain_kept`` occurrence-labelled ``k``-mers, which tell
+    large groups of near-copies apart whose words are frequent by themselves. Sampling weights of words in more than
+    ``common`` of the texts (and more than FEW) fall with their frequency in the first family; there are at most (mean
+    distinct words / common) such words, and only their table goes to the tasks. A pair of similarity s shares a given sketch
+    of the first family with about s ** kept times the chance that the sampled words kept their order.
+
+    Rows of a sketch's key meet sorted in one stream. Before verification, pairs are pruned without loss by their sizes and by
     parity bitmaps: each word of only one side flips one bit, so more different bits than words allowed rule a pair out.
-    Buckets of more than ``bucket`` classes are not paired as they are: their classes are paired by the rarest words of
-    which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than 2 x
-    ``plain_kept`` distinct words and those that can be similar to them, which are too short to be sampled.
+    Keys of more than ``bucket`` classes are not paired as they are: their classes are paired by the rarest words of
+    which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than SHORT
+    distinct words and those that can be similar to them, which are too short to be sampled.
 
-    Verification aligns the sorted distinct words in a band as wide as the similarity allows, which makes the similarity
-    exact. order_similarity is that of an alignment in text order (2 x matches / words of both).
+    Verification aligns the distinct words in text order, in a band as wide as the similarity allows: what it pairs is shared,
+    so it accepts texts that kept their order. The rest is decided by the same alignment of the sorted words, which is the
+    exact similarity. order_similarity is that of the first alignment.
     """
     docs = stage(texts_as_words(documents), "words")
     once = docs.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("h")).select("doc_id", "h.h1", "h.h2", (F.col("h.n") >= least_words).alias("paired"))
     ids = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
     members = cut(salted_join(once, ids, ["h1", "h2"], F.col("doc_id"), "inner").select("doc_id", "class_id", "paired", "h1", "h2"))
     heads = members.filter("paired AND doc_id = class_id").select("doc_id", "h1", "h2")
-    reps = stage(docs.join(heads, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class_id"), "seq", "bag", "n"), "classes")
+    reps = stage(docs.join(heads, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class_id"), "seq", "n"), "classes")
     total = reps.count()
-    counts = reps.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    counts = reps.select(F.explode(F.array_distinct("seq")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     bound = max(FEW, common * total)
     often = counts.filter(F.col("df") > bound).collect()
     table = np.array(sorted((r.word, r.df) for r in often), dtype=np.int64).reshape(-1, 2)
     shared = documents.sparkSession.sparkContext.broadcast((table[:, 0].copy(), (bound / np.maximum(table[:, 1], 1)) ** 2))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         known, factor = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            seq, bag = b.column("seq"), b.column("bag")
-            starts = np.concatenate([[0], np.cumsum(seq.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
-            word = seq.flatten().to_numpy(zero_copy_only=False)
+            every, first = b.column("seq"), b.column("firsts")
+            flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+            begin = lambda c: np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+            word, starts = flat(first), begin(first)
             weight = np.ones(len(word))
             if len(known):
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 weight = np.where(known[at] == word, factor[at], 1.0)
-            keys = order_sketches(word.view(np.uint64), starts, weight, sketches, kept)
-            # the same sketches of first occurrences only, which follow the distinct words however often a text repeats them
-            at = first_places(word, np.repeat(np.arange(b.num_rows), seq.value_lengths().to_numpy(zero_copy_only=False)))
-            keys_first = order_sketches(word[at].view(np.uint64), np.searchsorted(at, starts), weight[at], sketches, kept)
-            row, band = np.nonzero(keys_first != keys)
-            keys = np.concatenate([keys, order_sketches(word.view(np.uint64), starts, np.ones(len(word)), plain, plain_kept)], axis=1)
-            # parity of the distinct words in 64 x PARITY_WORDS buckets
-            sizes = bag.value_lengths().to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(b.num_rows), sizes)
-            slot = (mix(bag.flatten().to_numpy(zero_copy_only=False).view(np.uint64), 9) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
-            parity = np.bincount(of * 64 * PARITY_WORDS + slot, minlength=b.num_rows * 64 * PARITY_WORDS).reshape(b.num_rows, PARITY_WORDS, 64) & 1
-            bits = (parity.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-            rep = np.concatenate([np.repeat(np.arange(b.num_rows), sketches + plain), row])
-            bands_of = np.concatenate([np.tile(np.arange(sketches + plain, dtype=np.int32), b.num_rows), band.astype(np.int32)])
-            arrays = [pa.array(bands_of), pa.array(np.concatenate([keys.ravel(), keys_first[row, band]])), b.column("class_id").take(pa.array(rep)), b.column("n").take(pa.array(rep))]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(bits[rep, i]) for i in range(PARITY_WORDS)]], names=["band", "key", "id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]])
-
-    info = ["id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]]
-    bands = stage(reps.select("class_id", "seq", "bag", "n").mapInArrow(sketch, "band int, key long, id long, n int, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS))), "bands")
-
-    def other(df: DataFrame) -> DataFrame:
-        return df.select(*[c for c in df.columns if c not in info], *[F.col(c).alias(f"{c}_b") for c in info])
-
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)])
-    both = F.col("n") + F.col("n_b")
-    possible = (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9) & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    full = bands.groupBy("band", "key").count().filter(F.col("count") > bucket).select("band", "key")
-    full = cut(full)
-    if full.isEmpty():
-        cand = bands.join(other(bands), ["band", "key"]).filter(possible).select("id", "id_b")
-    else:
-        cold = cut(bands.join(full, ["band", "key"], "left_anti"))
-        cand = cold.join(other(cold), ["band", "key"]).filter(possible).select("id", "id_b")
-        crowd = bands.join(full, ["band", "key"], "left_semi").dropDuplicates(["id"]).select(*info)
-        cand = cand.unionByName(_by_rare_words(crowd, reps, counts, similarity, possible, other))
-    if least_words < 2 * plain_kept:
-        few = bands.filter((F.col("band") == 0) & (F.col("n") * similarity < 2 * plain_kept)).dropDuplicates(["id"]).select(*info)
-        cand = cand.unionByName(_by_rare_words(few, reps, counts, similarity, possible, other))
-    cand = cand.distinct()
-    a = reps.select(F.col("class_id").alias("id"), F.col("seq").alias("seq_a"), F.col("bag").alias("bag_a"))
-    b = reps.select(F.col("class_id").alias("id_b"), F.col("seq").alias("seq_b"), F.col("bag").alias("bag_b"))
+            keys = order_sketches(mix(word), starts, weight, sketches, kept)
+            runs, at = k_mers(flat(every), begin(every), k)
+            of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(runs))))
+            keys = np.concatenate([keys, order_sketches(labelled(runs, of), at, None, plain, plain_kept, 500)], axis=1)
+            p0 = parities(word.view(np.uint64), first.value_lengths().to_numpy(zero_copy_only=False))[:, 0]
+            row, key = np.repeat(np.arange(b.num_rows), keys.shape[1]), keys.ravel()
+            ids, n = b.column("class_id").to_numpy(zero_copy_only=False)[row], b.column("n").to_numpy(zero_copy_only=False)[row].astype(np.int32)
+            if len(hot):  # known to be crowded: spread over all tasks
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                crowd = hot[at] == key
+                key, n = np.where(crowd, mix(ids, 77).view(np.int64), key), np.where(crowd, -1, n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n), pa.array(p0[row])], names=["key", "id", "n", "p0"])
+
+    bands = "key long, id long, n int, p0 long"
+    source = reps.select("class_id", "seq", F.array_distinct("seq").alias("firsts"), "n")
+    hot = np.zeros(0, np.int64)
+    if total > LOOK_AHEAD:  # keys that hold much more than a task should are looked for in a sample; they are crowded either way
+        rate = ceil(total / LOOK_AHEAD)
+        some = source.filter(F.pmod(F.xxhash64(F.lit(3), "class_id"), F.lit(rate)) == 0).mapInArrow(lambda t: sketch(t, np.zeros(0, np.int64)), bands)
+        found = some.groupBy("key").count().filter(F.col("count") > max(SEEN, 4 * bucket / rate)).select("key").collect()  # at most LOOK_AHEAD x sketches / SEEN
+        hot = np.array(sorted(r.key for r in found), np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    crowd = b.column("n").to_numpy(zero_copy_only=False) < 0
+                    if crowd.any():
+                        lost.append(b.column("id").to_numpy(zero_copy_only=False)[crowd])
+                        b = b.filter(pa.array(~crowd))
+                    yield b
+
+        lost: list[np.ndarray] = []
+        for i, j in meetings(known(), bucket, similarity):
+            for ids in lost:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), -1))], names=["id", "id_b"])
+            lost.clear()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["id", "id_b"])
+        for ids in lost:
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), -1))], names=["id", "id_b"])
+
+    met = source.mapInArrow(lambda t: sketch(t, hot), bands).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "id long, id_b long")
+    met = stage(met.distinct(), "met")
+    cand = met.filter("id_b <> -1")
+    crowd = met.filter("id_b = -1").select("id")
+    if not crowd.isEmpty():
+        cand = cand.unionByName(_by_rare_words(reps.join(crowd.withColumnRenamed("id", "class_id"), "class_id", "left_semi"), counts, similarity))
+    if least_words < SHORT:
+        cand = cand.unionByName(_by_rare_words(reps.filter(F.col("n") * similarity < SHORT), counts, similarity))
+    if not crowd.isEmpty() or least_words < SHORT:
+        cand = cand.distinct()
+    a = reps.select(F.col("class_id").alias("id"), F.array_distinct("seq").alias("seq_a"))
+    b = reps.select(F.col("class_id").alias("id_b"), F.array_distinct("seq").alias("seq_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            def split(name: str, at: np.ndarray) -> list[np.ndarray]:
+            def split(name: str) -> list[np.ndarray]:
                 c = t.column(name)
                 flat, off = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy(zero_copy_only=False)
-                return [flat[off[i] : off[i + 1]] for i in at]
+                return [flat[off[i] : off[i + 1]] for i in range(t.num_rows)]
 
-            every = np.arange(t.num_rows)
-            x, y = split("bag_a", every), split("bag_b", every)
+            x, y = split("seq_a"), split("seq_b")
             both = np.array([len(p) + len(q) for p, q in zip(x, y)])
-            m = matches_in_band(x, y, (both * (1 - similarity) / (1 + similarity)).astype(int) + 1)
-            kept = np.flatnonzero(m >= similarity * (both - m) - 1e-9)
-            p, q = split("seq_a", kept), split("seq_b", kept)
-            size = np.array([[len(u), len(v)] for u, v in zip(p, q)]).reshape(-1, 2)
-            ordered = matches_in_band(p, q, (size.max(1, initial=0) * (1 - similarity)).astype(int) + abs(size[:, 0] - size[:, 1]) + 1)
-            ids = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([t.column("id").take(ids), t.column("id_b").take(ids), pa.array(m[kept] / (both - m)[kept]), pa.array(2 * ordered / np.maximum(size.sum(1), 1))], names=["class_a", "class_b", "similarity", "order_similarity"])
-
-    found = cand.join(a, "id").join(b, "id_b").select("id", "id_b", "bag_a", "bag_b", "seq_a", "seq_b").mapInArrow(verify, "class_a long, class_b long, similarity double, order_similarity double")
+            band = (both * (1 - similarity) / (1 + similarity)).astype(int) + 1
+            ordered = matches_in_band(x, y, band)
+            enough = lambda m, of: m >= similarity * (of - m) - 1e-9
+            kept = enough(ordered, both)
+            at = np.flatnonzero(~kept)
+            exact = matches_in_band([np.sort(x[i]) for i in at], [np.sort(y[i]) for i in at], band[at])
+            kept[at] = enough(exact, both[at])
+            shared_words = np.zeros(len(both), np.int64)
+            shared_words[at] = exact
+            sure = np.setdiff1d(np.flatnonzero(kept), at)
+            shared_words[sure] = [len(np.intersect1d(x[i], y[i], assume_unique=True)) for i in sure]
+            i = np.flatnonzero(kept)
+            m = shared_words[i]
+            yield pa.RecordBatch.from_arrays([t.column("id").take(pa.array(i)), t.column("id_b").take(pa.array(i)), pa.array(m / (both[i] - m)), pa.array(ordered[i] / (both[i] - ordered[i]))], names=["class_a", "class_b", "similarity", "order_similarity"])
+
+    found = cand.join(a, "id").join(b, "id_b").select("id", "id_b", "seq_a", "seq_b").mapInArrow(verify, "class_a long, class_b long, similarity double, order_similarity double")
     return members.select("doc_id", "class_id", "paired"), found
 
 
-def _by_rare_words(crowd: DataFrame, reps: DataFrame, counts: DataFrame, similarity: float, possible: Column, other) -> DataFrame:
-    """Pairs of crowded classes that share one of their rarest words; similar ones must, by the pigeonhole principle."""
-    w = reps.join(crowd.select(F.col("id").alias("class_id")), "class_id", "left_semi").select(F.col("class_id").alias("id"), F.explode("bag").alias("word"), F.col("n").alias("m"))
+def _by_rare_words(crowd: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """(id, id_b), id < id_b: pairs of ``crowd`` (class_id, seq, n) that share one of their rarest words; similar ones must, by
+    the pigeonhole principle."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = b.column("firsts")
+                bits = parities(c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), c.value_lengths().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column("class_id"), b.column("n"), *[pa.array(bits[:, i]) for i in range(PARITY_WORDS)]], names=info)
+
+    info = ["id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]]
+    texts = crowd.select("class_id", F.array_distinct("seq").alias("firsts"), "n")
+    facts = texts.mapInArrow(signed, "id long, n int, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)])
+    possible = (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9) & (apart <= (F.col("n") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    w = texts.select(F.col("class_id").alias("id"), F.explode("firsts").alias("word"), F.col("n").alias("m"))
     ranked = salted_join(w, counts, ["word"], F.col("id"), "inner").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("t"))
-    some = ranked.select("id", F.explode(F.slice("t", 1, (F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1).cast("int"))["word"]).alias("word")).join(crowd, "id")
+    some = ranked.select("id", F.explode(F.slice("t", 1, (F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1).cast("int"))["word"]).alias("word")).join(facts, "id")
     some = cut(some)
-    return salted_join(some, other(some), ["word"], F.col("id"), "inner", least=20_000).filter(possible).select("id", "id_b")
+    other = some.select("word", *[F.col(c).alias(f"{c}_b") for c in info])
+    return salted_join(some, other, ["word"], F.col("id"), "inner", least=20_000).filter(possible).select("id", "id_b")
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: the pairs of documents behind pairs of classes, and those inside a class."""
     members = members.filter("paired").select("doc_id", "class_id")
+    members = cut(members)
     a = members.select(F.col("class_id").alias("class_a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("class_id").alias("class_b"), F.col("doc_id").alias("y"))
-    across = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
-    inside = members.withColumnRenamed("doc_id", "x").join(members.withColumnRenamed("doc_id", "y"), "class_id").filter("x < y").select("x", "y")
+    # classes may be large: the members are split, the pairs of classes repeated
+    across = salted_join(a, pairs.select("class_a", "class_b"), ["class_a"], F.col("x"), "inner")
+    across = salted_join(across, b, ["class_b"], F.col("x"), "inner").select("x", "y")
+    inside = salted_join(members.withColumnRenamed("doc_id", "x"), members.withColumnRenamed("doc_id", "y"), ["class_id"], F.col("x"), "inner").filter("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 

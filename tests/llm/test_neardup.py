@@ -112,13 +112,45 @@ def test_pairs_aligned_together_do_not_disturb_each_other():
 
 
 def test_sketches_keep_order():
-    words = np.arange(40, dtype=np.uint64)
-    weight = np.ones(80)
+    words = D.mix(np.arange(40, dtype=np.uint64))
     both = np.concatenate([words, words[::-1]])
-    k = D.order_sketches(both, np.array([0, 40]), weight, 64, 2)
+    k = D.order_sketches(both, np.array([0, 40]), np.ones(80), 64, 2)
     assert (k[0] == k[1]).sum() == 0  # the same words in reverse
-    same = D.order_sketches(np.concatenate([words, words]), np.array([0, 40]), weight, 64, 2)
-    assert (same[0] == same[1]).all()
+    for weight in (None, np.ones(80)):
+        same = D.order_sketches(np.concatenate([words, words]), np.array([0, 40]), weight, 64, 2)
+        assert (same[0] == same[1]).all()
+    few = D.order_sketches(words[:3], np.array([0, 1]), None, 8, 3)  # fewer items than are kept
+    assert few.shape == (2, 8) and (few[0] != few[1]).all()
+
+
+def test_k_mers_stay_inside_their_text():
+    word = np.array([1, 2, 3, 9, 1, 2, 3, 4], np.int64)
+    h, at = D.k_mers(word, np.array([0, 3, 4]), 2)
+    assert at.tolist() == [0, 2, 3] and len(h) == 6 and h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 4
+    assert D.k_mers(word, np.array([0, 3, 4]), 1)[0].tolist() == word.tolist()
+
+
+def test_meetings_are_streamed(spark):
+    import pyarrow as pa
+
+    r = random.Random(2)
+    data = sorted((r.choice([5] * 9 + [1, 2, 3, 7, 8, 9, 10]), i, 40, 0) for i in range(200))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], pa.int64()) for c in range(4)], names=["key", "id", "n", "p0"])
+    by_key = {}
+    for k, i, *_ in data:
+        by_key.setdefault(k, []).append(i)
+    for bucket in (1, 20, 1000):
+        want = {(a, b) for v in by_key.values() if len(v) <= bucket for a in v for b in v if a < b} | {(i, -1) for v in by_key.values() if len(v) > bucket for i in v}
+        for step in (1, 7, 50, 200):
+            got = [(int(a), int(b)) for x, y in D.meetings((batch(data[lo : lo + step]) for lo in range(0, 200, step)), bucket, 0.8) for a, b in zip(x, y)]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keys_known_to_be_crowded_lose_nothing(spark, rows, monkeypatch):
+    data = corpus()
+    monkeypatch.setattr(D, "LOOK_AHEAD", 10)
+    monkeypatch.setattr(D, "SEEN", 0)
+    assert rows(D.document_pairs(*D.near_duplicates(make(spark, data), least_words=30, bucket=1))) == brute(data)
 
 
 def test_groups_hold_short_texts_too(spark, tmp_path):
