@@ -121,7 +121,7 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float)
             at = at[at + step < end[at]]
             i, j = at, at + step
             both = n[i] + n[j]
-            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(p[i] ^ p[j]) <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (ids[i] != ids[j])
+            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count((p[i] ^ p[j]).view(np.uint64)) <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (ids[i] != ids[j])
             i, j = i[ok], j[ok]
             yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
@@ -189,7 +189,7 @@ def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text"
     return w.select("doc_id", "seq", "n", F.xxhash64("bag").alias("h1"), F.xxhash64(F.lit(1), "bag").alias("h2"))
 
 
-def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 24, kept: int = 2,
+def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: float = 0.8, sketches: int = 28, kept: int = 2,
                     common: float = 0.01, plain: int = 12, plain_kept: int = 3, k: int = 2, bucket: int = 500) -> tuple[DataFrame, DataFrame]:
     """(members, pairs). members: (doc_id, class_id, paired), one row per text with a word; paired: it has at least
     ``least_words`` distinct words. pairs: (class_a, class_b, similarity, order_similarity), class_a < class_b, all pairs of

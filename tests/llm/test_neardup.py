@@ -146,6 +146,18 @@ def test_meetings_are_streamed(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_parity_words_differ_by_at_most_the_differing_words(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        a = np.unique(r.integers(0, 1 << 62, 60, dtype=np.int64))
+        b = np.unique(np.concatenate([a[3:], r.integers(0, 1 << 62, 3, dtype=np.int64)]))
+        p = [D.parities(x.view(np.uint64), np.array([len(x)]))[0, 0] for x in (a, b)]
+        row = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([1, 1], [1, 2], [len(a), len(b)], p)], names=["key", "id", "n", "p0"])
+        assert [(x.tolist(), y.tolist()) for x, y in D.meetings(iter([row]), 10, 0.8) if len(x)] == [([1], [2])]
+
+
 def test_keys_known_to_be_crowded_lose_nothing(spark, rows, monkeypatch):
     data = corpus()
     monkeypatch.setattr(D, "LOOK_AHEAD", 10)
