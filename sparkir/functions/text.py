@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,11 +60,32 @@ def ascii_tokens(c: Column | str) -> Column:
     return F.array_distinct(_array(F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The Porter stems of an array of tokens; each word is stemmed once per Python worker as long as it is cached."""
-    for s in parts:
-        yield s.map(lambda tokens: None if tokens is None else [stem(t) for t in tokens])
+def _of_each_distinct(tokens: pa.Array, change: Callable[[str], str | None]) -> pa.Array:
+    """An Arrow list array of words with ``change`` called once per different word of the batch."""
+    flat = tokens.flatten().dictionary_encode()
+    words = pa.array([None if w is None else change(w) for w in flat.dictionary.to_pylist()], pa.string())
+    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, words.take(flat.indices), mask=tokens.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The Porter stems of an array of tokens; each different word is stemmed once per Arrow batch."""
+    for tokens in parts:
+        yield _of_each_distinct(tokens, stem)
+
+
+def lemmas_of(lemmas: dict[str, str]) -> Callable[[Column], Column]:
+    """A column function from an array of tokens to that of their lemmas, by a dictionary that fits in a worker; a word that it
+    lacks stays. Larger dictionaries are tables: `lemmatized`."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tokens in parts:
+            yield _of_each_distinct(tokens, lambda w: lemmas.get(w, w))
+
+    return run
 
 
 @F.pandas_udf(T.StringType())
@@ -90,22 +113,22 @@ def spacy_tokens(model: str = "en_core_web_sm"):
 
 
 class Analyzer:
-    """tokenize -> lower-case -> drop stop words -> stem; a Column in, an array column out.
+    """tokenize -> lower-case -> drop stop words -> stem or lemmatize; a Column in, an array column out.
 
-    Stop words go before stemming. With stem=False everything stays in the JVM. Lemmas come from a dictionary table through
-    `lemmatized`, as no dictionary is built in.
+    Stop words go before stemming. With stem=False and without lemmas everything stays in the JVM. lemmas: a dictionary, used
+    where stem is False, as none is built in.
     """
 
-    def __init__(self, tokenizer: Tokenizer = regex_tokens, lowercase: bool = True, stopwords: tuple[str, ...] = STOPWORDS, stem: bool = True):
+    def __init__(self, tokenizer: Tokenizer = regex_tokens, lowercase: bool = True, stopwords: tuple[str, ...] = STOPWORDS, stem: bool = True, lemmas: dict[str, str] | None = None):
         if not callable(tokenizer):
             raise TypeError("tokenizer must be callable")
-        self.tokenizer, self.lowercase, self.stopwords, self.stem = tokenizer, lowercase, tuple(stopwords), stem
+        self.tokenizer, self.lowercase, self.stopwords, self.stem, self.lemmas = tokenizer, lowercase, tuple(stopwords), stem, lemmas
 
     def __call__(self, c: Column | str) -> Column:
         t = self.tokenizer(_col(c))
         t = lowered(t) if self.lowercase else t
         t = without_stopwords(t, self.stopwords)
-        return stemmed(t) if self.stem else t
+        return stemmed(t) if self.stem else lemmas_of(self.lemmas)(t) if self.lemmas else t
 
 
 def lemmatized(tokens: DataFrame, lemmas: DataFrame, term: str = "term") -> DataFrame:

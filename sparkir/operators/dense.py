@@ -59,94 +59,133 @@ def get_vector(store: DataFrame, vec_id: str) -> DataFrame:
 
 
 def matches_filter(wanted: dict, metadata: str = "metadata") -> Column:
-    """Whether all entries equal those of a JSON metadata column; a missing key equals None."""
+    """Whether all entries equal those of a JSON metadata column as typed values; a missing key equals None.
+
+    1 equals 1.0 and true, as in Python, but not "1"; lists equal lists of equal members, objects objects of equal entries in
+    any order. A row whose metadata is null or no JSON object has no keys.
+    """
     on = F.lit(True)
     for key, value in wanted.items():
         checks.text("metadata key", key)
-        text = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
-        on = on & F.get_json_object(metadata, f"$['{key}']").eqNullSafe(F.lit(text))
+        on = on & _equals(F.try_parse_json(F.col(metadata)), f"$['{key}']", value)
     return on
 
 
-def exact_knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, block: int = 4096) -> DataFrame:
+def _equals(json: Column, path: str, value) -> Column:
+    at = F.try_variant_get(json, path, "variant")
+    kind = F.coalesce(F.schema_of_variant(at), F.lit("VOID"))
+    if value is None:
+        return kind == "VOID"
+    if isinstance(value, (bool, int, float)):
+        number = F.coalesce(F.try_variant_get(json, path, "double"), F.lit(float("nan")))
+        as_bool = F.coalesce(F.try_variant_get(json, path, "boolean").cast("int").cast("double"), F.lit(float("nan")))
+        is_number = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
+        return F.coalesce(F.when(kind == "BOOLEAN", as_bool == float(value)).when(is_number, number == float(value)).otherwise(False), F.lit(False))
+    if isinstance(value, str):
+        return (kind == "STRING") & F.coalesce(F.try_variant_get(json, path, "string") == value, F.lit(False))
+    members = F.try_variant_get(json, path, "array<variant>" if isinstance(value, (list, tuple)) else "map<string,variant>")
+    same = F.coalesce(F.size(members) == len(value), F.lit(False))
+    parts = [(f"{path}[{i}]", v) for i, v in enumerate(value)] if isinstance(value, (list, tuple)) else [(f"{path}['{k}']", v) for k, v in value.items()]
+    for inner, v in parts:
+        same = same & _equals(json, inner, v)
+    return same
+
+
+#: Queries that are sent to every task of the store: some megabytes. More meet the store in blocks.
+SENT = 8192
+
+
+def exact_knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, block: int = SENT, part_rows: int = 200_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors of the store for each of queries (query_id, embedding).
 
     Cosine and dot go down, euclidean goes up; ties by ord, then id. ``where`` filters the store before anything is
     scored. A vector of another dimension, or a zero vector under cosine, fails the query, as an empty store gives no rows.
 
-    Queries are gathered into blocks of a fixed number of rows and each block is repeated to every task of the store, which
-    scores it with one matrix product and keeps k rows per query, so k x tasks rows per query are shuffled, not all pairs.
+    Up to ``block`` queries go to every task, which scans its part of the store once with matrix products and keeps k rows per
+    query, so k x tasks rows per query are shuffled, not all pairs. More queries are cut into blocks and the store into parts of
+    about ``part_rows``; every block meets every part in a task of its own, without the driver.
     """
     checks.whole("k", k)
     metric = checks.one_of("metric", metric, METRICS)
     rows = store if where is None else store.filter(where)
     rows = rows.select("vec_id", "ord", F.col("embedding").cast("array<double>").alias("embedding"))
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
     kind = dict(queries.dtypes)["query_id"]
-    parts = []
-    for i in range(blocks):  # the stated query set, in blocks of bounded size
-        held = q.filter(F.col("block") == i).collect()
-        if held:
-            parts.append(_block_knn(rows, [r.query_id for r in held], np.array([r.e for r in held], dtype=float), k, metric, kind))
-    if not parts:
+    schema = f"query_id {kind}, vec_id string, ord long, score double"
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e"))
+    held = q.limit(block + 1).collect()  # a bounded number
+    if not held:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, vec_id string, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if len(held) <= block:
+        shared = rows.sparkSession.sparkContext.broadcast(([r.query_id for r in held], _checked(np.array([r.e for r in held], dtype=float), metric)))
+        out = rows.mapInArrow(lambda batches: _best(shared.value, batches, k, metric), schema)
+    else:
+        total, size = q.count(), rows.count()
+        blocks, parts = -(-total // block), max(1, -(-size // part_rows))
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def meet(asked: pa.Table, part: pa.Table) -> pa.Table:
+            empty = pa.table({"query_id": asked.column("query_id")[:0], "vec_id": pa.array([], pa.string()), "ord": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            if not asked.num_rows or not part.num_rows:
+                return empty
+            wanted = _checked(np.array(asked.column("e").to_pylist(), dtype=float), metric)
+            batches = part.select(["vec_id", "ord", "embedding"]).combine_chunks().to_batches(max_chunksize=10_000)
+            found = list(_best((asked.column("query_id").to_pylist(), wanted), iter(batches), k, metric))
+            return pa.Table.from_batches(found).cast(empty.schema) if found else empty
+
+        out = q.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(meet, schema)
     out = ranked(out.withColumn("tie", F.struct("ord", "vec_id")), k, "tie", ascending=metric == "euclidean")
     return out.select("query_id", "vec_id", "score", "rank")
 
 
-def _block_knn(rows: DataFrame, ids: list, wanted: np.ndarray, k: int, metric: str, kind: str) -> DataFrame:
+def _checked(wanted: np.ndarray, metric: str) -> np.ndarray:
     if wanted.ndim != 2 or not np.isfinite(wanted).all():
         raise ValueError("query vectors must be of one dimension and finite")
     if metric == "cosine" and not np.linalg.norm(wanted, axis=1).all():
         raise ValueError("a zero vector has no direction")
-    shared = rows.sparkSession.sparkContext.broadcast((ids, wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = shared.value
-        size = np.linalg.norm(wanted, axis=1)
-        best = [np.empty(0)] * len(ids)
-        held: list[list] = [[] for _ in ids]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            e = b.column("embedding")
-            if e.null_count or set(e.value_lengths().to_numpy(zero_copy_only=False)) != {wanted.shape[1]}:
-                raise ValueError("vectors must have the dimension of the queries")
-            x = e.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            names, order = b.column("vec_id").to_pylist(), b.column("ord").to_numpy(zero_copy_only=False)
-            if metric == "cosine":
-                norm = np.linalg.norm(x, axis=1)
-                if not norm.all():
-                    raise ValueError("a zero vector has no direction")
-                s = (wanted @ x.T) / (size[:, None] * norm[None, :])
-            elif metric == "dot":
-                s = wanted @ x.T
+    return wanted
+
+
+def _best(asked: tuple[list, np.ndarray], batches: Iterator[pa.RecordBatch], k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, ord, score): the k best rows of the batches for each query."""
+    ids, wanted = asked
+    size = np.linalg.norm(wanted, axis=1)
+    best = [np.empty(0)] * len(ids)
+    held: list[list] = [[] for _ in ids]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        e = b.column("embedding")
+        if e.null_count or set(e.value_lengths().to_numpy(zero_copy_only=False)) != {wanted.shape[1]}:
+            raise ValueError("vectors must have the dimension of the queries")
+        x = e.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        names, order = b.column("vec_id").to_pylist(), b.column("ord").to_numpy(zero_copy_only=False)
+        if metric == "cosine":
+            norm = np.linalg.norm(x, axis=1)
+            if not norm.all():
+                raise ValueError("a zero vector has no direction")
+            s = (wanted @ x.T) / (size[:, None] * norm[None, :])
+        elif metric == "dot":
+            s = wanted @ x.T
+        else:
+            s = -np.sqrt(np.maximum(((wanted**2).sum(1)[:, None] - 2 * wanted @ x.T + (x**2).sum(1)[None, :]), 0))
+        s = np.round(s, 9)
+        for i in range(len(ids)):
+            if len(held[i]) >= k:  # anything not worse than the k-th so far stays in the running
+                at = np.flatnonzero(s[i] >= best[i])
+            elif b.num_rows > k:
+                at = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
             else:
-                s = -np.sqrt(np.maximum(((wanted**2).sum(1)[:, None] - 2 * wanted @ x.T + (x**2).sum(1)[None, :]), 0))
-            s = np.round(s, 9)
-            for i in range(len(ids)):
-                if len(held[i]) >= k:  # anything not worse than the k-th so far stays in the running
-                    at = np.flatnonzero(s[i] >= best[i])
-                elif b.num_rows > k:
-                    at = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
-                else:
-                    at = np.arange(b.num_rows)
-                if len(at):
-                    held[i] = sorted(held[i] + [(-s[i, j], order[j], names[j]) for j in at])[:k]
-                    if len(held[i]) == k:
-                        best[i] = -held[i][-1][0]
-        out = [(ids[i], n, int(o), -float(v)) for i in range(len(ids)) for v, o, n in held[i]]
-        if out:
-            cols = list(zip(*out))
-            sign = -1.0 if metric == "euclidean" else 1.0
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array([sign * v + 0.0 for v in cols[3]])], names=["query_id", "vec_id", "ord", "score"])
-
-    return rows.mapInArrow(run, f"query_id {kind}, vec_id string, ord long, score double")
+                at = np.arange(b.num_rows)
+            if len(at):
+                held[i] = sorted(held[i] + [(-s[i, j], order[j], names[j]) for j in at])[:k]
+                if len(held[i]) == k:
+                    best[i] = -held[i][-1][0]
+    out = [(ids[i], n, int(o), -float(v)) for i in range(len(ids)) for v, o, n in held[i]]
+    if out:
+        cols = list(zip(*out))
+        sign = -1.0 if metric == "euclidean" else 1.0
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array([sign * v + 0.0 for v in cols[3]])], names=["query_id", "vec_id", "ord", "score"])
 
 
 def embed_documents(documents: DataFrame, embed) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkir.functions import checks
 from sparkir.functions.text import ascii_tokens
 from sparkir.operators.ranking import ranked
-from sparkir.session import cut
+from sparkir.session import cut, stage
 
 
 def check_graph(nodes: DataFrame, edges: DataFrame) -> None:
@@ -70,12 +70,13 @@ def bfs(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> Da
     """(query_id, node_id, depth): the nodes reached from starts (query_id, node_id), at their least depth, 0 for starts.
 
     Many starts of one query are one search, so depth is the distance to the nearest. Each hop joins only the newest
-    frontier with the edges and drops what was visited; it ends at max_depth or when a hop finds nothing new. Edges
-    without direction changes: only outgoing ones are followed.
+    frontier with the edges and drops what was visited; it ends at max_depth or when a hop finds nothing new. Only outgoing
+    edges are followed. The distinct edges are stored once, not derived anew at each hop; a hub in many frontiers is
+    left to adaptive execution, which splits its partition.
     """
     if max_depth is not None:
         checks.whole("max_depth", max_depth, 0)
-    hop = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
+    hop = stage(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct(), "hops")
     frontier = cut(starts.select("query_id", "node_id").distinct())
     seen, parts, depth = frontier, [frontier.withColumn("depth", F.lit(0))], 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
@@ -95,15 +96,16 @@ def k_hop(starts: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return bfs(starts, edges, checks.whole("k", k, 0)).filter("depth > 0")
 
 
-def dfs(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def dfs(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, most: int = 1_000_000) -> DataFrame:
     """(query_id, step, node_id, depth): depth-first order per start (query_id, node_id), one start per query_id.
 
     Neighbours are visited in order of ord, a node is marked when it is put on the stack, and depth is that of the path it
-    was put there by. The order is sequential by nature, so the edges that a start can reach are gathered for it; bound
-    max_depth on large graphs.
+    was put there by. The order is sequential by nature, so the edges that a start can reach are gathered for it; a start with
+    more than ``most`` of them raises ValueError before that: bound max_depth then.
     """
     reach = bfs(starts, edges, max_depth)
-    local = reach.select("query_id", F.col("node_id").alias("src")).join(edges.select("src", "dst", "ord"), "src")
+    local = stage(reach.select("query_id", F.col("node_id").alias("src")).join(edges.select("src", "dst", "ord"), "src"), "reached")
+    checks.none_left(local.groupBy("query_id").count().filter(F.col("count") > most).select("query_id"), f"more than {most} edges within reach")
     roots = starts.select("query_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(-1).cast("long").alias("ord"))
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:
@@ -126,8 +128,8 @@ def dfs(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> Da
 
 
 def node_tokens(nodes: DataFrame, values_only: bool = False) -> DataFrame:
-    """(node_id, token) of id, type and metadata. As in the engine this answers for, keys of the metadata and the type are
-    words of the node too; values_only leaves the type and the keys of the outer object out."""
+    """(node_id, token) of id, type and metadata. Keys of the metadata and the type are words of the node too; values_only
+    leaves the type and the keys of the outer object out."""
     # the values alone come out of a map; the whole text holds keys and values, whose punctuation is no token
     meta = F.concat_ws(" ", F.map_values(F.from_json("metadata", "map<string,string>"))) if values_only else F.col("metadata")
     text = F.concat_ws(" ", "node_id", meta) if values_only else F.concat_ws(" ", "node_id", "node_type", meta)

@@ -49,17 +49,22 @@ def corpus_stats(documents: DataFrame, posts: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).select("n", "total", F.when(F.col("n") == 0, 0.0).otherwise(F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def vocabulary(toks: DataFrame, chunk: int = 100_000) -> DataFrame:
+def vocabulary(toks: DataFrame) -> DataFrame:
     """(term, term_id): dense ids from 0 in order of first sight (least document, then position).
 
-    The first sights are numbered in ranges of doc_id, so no task sorts the whole vocabulary: documents are put into
-    chunks, terms are numbered inside the chunk of their first document, and the sizes of earlier chunks are added.
+    First sights are partitioned by ranges and stored with the number of theirs, terms are numbered inside a range, and the
+    sizes of the ranges before are added, whatever the ids look like; there is one size per partition.
     """
-    first = toks.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f")).withColumn("chunk", F.floor(F.col("f.doc_id") / chunk))
-    sizes = first.groupBy("chunk").agg(F.count("*").alias("s"))
-    before = sizes.select("chunk", F.coalesce(F.sum("s").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per chunk
-    inside = F.row_number().over(Window.partitionBy("chunk").orderBy("f", "term"))
-    return first.withColumn("i", inside).join(before, "chunk").select("term", (F.col("i") - 1 + F.col("before")).cast("long").alias("term_id"))
+    first = toks.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("term", "f.doc_id", "f.pos")
+    ranged = stage(first.repartitionByRange("doc_id", "pos", "term").withColumn("__range", F.spark_partition_id()), "sights")
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    before, so_far = [], 0
+    for r in sorted(sizes):
+        before.append((r, so_far))
+        so_far += sizes[r]
+    table = toks.sparkSession.createDataFrame(before, "__range int, __before long")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("doc_id", "pos", "term"))
+    return ranged.withColumn("__i", inside).join(F.broadcast(table), "__range").select("term", (F.col("__i") - 1 + F.col("__before")).cast("long").alias("term_id"))
 
 
 def term_frequency(posts: DataFrame, wanted: DataFrame, stem: Column | None = None) -> DataFrame:
@@ -111,9 +116,10 @@ def build_index(documents: DataFrame, analyzer: Analyzer | None = None, store: b
     """documents (doc_id, text): ids must be unique, which loaders check; null texts are documents without terms.
 
     store: whether the postings are computed now and kept in the shared folder, so that the texts are analyzed once for
-    all tables that derive from them."""
+    all tables that derive from them. Kept postings carry dl, the length of their document, so that scoring need not join
+    it."""
     a = analyzer or Analyzer()
     t = tokens(documents, a)
     p = postings(t)
-    p = stage(p, "postings") if store else p
+    p = stage(p.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))), "postings") if store else p
     return Index(documents, t, p, document_frequencies(p), document_lengths(documents, p), corpus_stats(documents, p), a)

@@ -40,11 +40,13 @@ def bm25_scores(terms: DataFrame, index, k1: float = 1.5, b: float = 0.75) -> Da
     """(query_id, doc_id, score, hits) of every document with any of a query's terms; repeated terms count repeatedly.
 
     hits is the number of different terms of the query that the document has. Query terms meet the postings in one
-    equi-join, whose skewed terms adaptive execution splits, and scores are summed inside each task before they move.
+    equi-join, whose skewed terms adaptive execution splits, and scores are summed inside each task before they move. Postings
+    that carry the length of their document (dl) are not joined with the lengths.
     """
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = wanted.join(index.frequencies, "term")
-    hit = index.postings.join(asked, "term").join(index.lengths, "doc_id").join(F.broadcast(index.stats))
+    hit = index.postings.join(asked, "term")
+    hit = (hit if "dl" in index.postings.columns else hit.join(index.lengths, "doc_id")).join(F.broadcast(index.stats))
     part = F.col("times") * bm25_idf(F.col("df"), F.col("n")) * bm25_tf(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("hits"))
 
@@ -86,11 +88,17 @@ def rrf(lists: DataFrame, top_k: int | None = 10, k: int = 60) -> DataFrame:
     """(query_id, document_id, score, rank): sum of 1 / (k + rank) over lists (query_id, list, document_id, rank).
 
     Of a document that a list repeats the best rank counts; the repeats still occupy theirs. Ties: the smaller id as a
-    string.
+    string. If the lists have a column metadata, the result has it too: that of the first list, by ``list_at`` where there is
+    such a column, else by name, that found the document, even if it is null there.
     """
     checks.whole("k", k)
-    best = lists.groupBy("query_id", "list", F.col("document_id").cast("string").alias("document_id")).agg(F.min("rank").alias("rank"))
-    fused = best.groupBy("query_id", "document_id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 12).alias("score"))
+    carried = [F.min_by(F.struct("metadata"), F.col("rank")).alias("m")] if "metadata" in lists.columns else []
+    at = F.min("list_at").alias("at") if "list_at" in lists.columns else F.first("list").alias("at")
+    best = lists.groupBy("query_id", "list", F.col("document_id").cast("string").alias("document_id")).agg(F.min("rank").alias("rank"), at, *carried)
+    kept = [F.min_by("m", F.struct("at", "list")).alias("m")] if carried else []
+    fused = best.groupBy("query_id", "document_id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 12).alias("score"), *kept)
+    if carried:
+        fused = fused.select("query_id", "document_id", "score", F.col("m.metadata").alias("metadata"))
     return ranked(fused, None if top_k is None else checks.whole("top_k", top_k), "document_id")
 
 

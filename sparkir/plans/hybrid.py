@@ -43,14 +43,16 @@ class HybridRetriever:
         self.multiplier, self.planner = checks.whole("candidate_multiplier", candidate_multiplier), planner
 
     def lists(self, queries: DataFrame, top_k: int = 10) -> DataFrame | None:
-        """(query_id, list, document_id, rank) of every retriever that a query's plan enables and that there is."""
+        """(query_id, list, list_at, document_id, rank) of every retriever that a query's plan enables and that there is, with
+        metadata (null where a retriever gives none) if any of them gives it. list_at is the retriever's place."""
         planned = self.planner(queries, top_k, self.multiplier).select("query_id", "text", "enabled_modes")
         out = None
-        for mode, retrieve in self.retrievers.items():
+        for at, (mode, retrieve) in enumerate(self.retrievers.items()):
             asked = planned.filter(F.array_contains("enabled_modes", mode)).select("query_id", "text")
             part = retrieve(asked, max(top_k, top_k * self.multiplier))
-            part = part.select("query_id", F.lit(mode).alias("list"), F.col("document_id").cast("string").alias("document_id"), "rank")
-            out = part if out is None else out.unionByName(part)
+            carried = ["metadata"] if "metadata" in part.columns else []
+            part = part.select("query_id", F.lit(mode).alias("list"), F.lit(at).alias("list_at"), F.col("document_id").cast("string").alias("document_id"), "rank", *carried)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
     def retrieve(self, queries: DataFrame, top_k: int = 10) -> DataFrame:

@@ -29,7 +29,7 @@ def test_index_tables(spark, rows):
     assert rows(i.lengths) == [(1, 4), (2, 3), (3, 0), (4, 0)]
     assert rows(i.stats) == [(4, 7, 1.75)]
     assert rows(i.frequencies) == [("a1", 1), ("b", 2), ("c", 2)]
-    assert rows(I.vocabulary(i.tokens, chunk=2)) == [("a1", 0), ("b", 1), ("c", 2)]
+    assert rows(I.vocabulary(i.tokens)) == [("a1", 0), ("b", 1), ("c", 2)]
     assert {r.doc_id: r.terms for r in I.forward_index(i.postings).collect()} == {1: {"a1": 1, "b": 2, "c": 1}, 2: {"c": 2, "b": 1}}
     wanted = spark.createDataFrame([(1, "b"), (1, "cs"), (2, "zz")], "doc_id long, term string")
     assert rows(I.term_frequency(i.postings, wanted, F.substring("term", 1, 1)), "doc_id", "term", "tf") == [(1, "b", 2), (1, "cs", 1), (2, "zz", 0)]
