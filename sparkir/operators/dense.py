@@ -189,8 +189,8 @@ def _best(asked: tuple[list, np.ndarray], batches: Iterator[pa.RecordBatch], k:
 
 
 def embed_documents(documents: DataFrame, embed) -> DataFrame:
-    """(vec_id, ord, embedding, metadata) of documents, by a column function as `providers.embed_column` gives it."""
-    return documents.select(F.col("doc_id").cast("string").alias("vec_id"), F.col("doc_id").alias("ord"), embed(F.trim("text")).alias("embedding"), F.lit(None).cast("string").alias("metadata"))
+    """(vec_id, ord, embedding, metadata) of documents with a text, by a column function as `providers.embed_column` gives it."""
+    return documents.filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("vec_id"), F.col("doc_id").alias("ord"), embed(F.trim("text")).alias("embedding"), F.lit(None).cast("string").alias("metadata"))
 
 
 class DenseRetriever:

@@ -128,3 +128,11 @@ def occurrences(query: Column, text: Column) -> Column:
     """How often the lower-cased query occurs in the lower-cased text, as a double, without Python; 0.0 for an empty query."""
     q, t = F.lower(query), F.lower(text)
     return F.when(F.length(q) == 0, 0.0).otherwise(((F.length(t) - F.length(F.replace(t, q, F.lit("")))) / F.length(q)).cast("double"))
+
+
+def word_occurrences(query: Column, text: Column) -> Column:
+    """How often the words of the lower-cased query occur in the lower-cased text, repeated words repeatedly, as a double."""
+    t = F.lower(text)
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    times = F.transform(words, lambda w: ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("double"))
+    return F.aggregate(times, F.lit(0.0), lambda a, b: a + b)

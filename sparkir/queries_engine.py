@@ -42,7 +42,7 @@ def q_terms(spark, d):
 def run_of(spark, d) -> DataFrame:
     """The lexical list of every query, as a run."""
     r = table(spark, d, "results").filter("signal = 'lexical' AND score IS NOT NULL AND NOT isnan(score)")
-    return ranking.ranked(r.groupBy("query_id", "document_id").agg(F.max("score").alias("score")), 50, "document_id")
+    return ranking.ranked(r.groupBy("query_id", "document_id").agg(F.max("score").alias("score")), None, "document_id")
 
 
 def qrels_of(spark, d) -> DataFrame:
@@ -85,7 +85,7 @@ def star_graph(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def star_starts(spark, d) -> DataFrame:
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0")
+    c = table(spark, d, "customer")
     return c.select(F.col("c_custkey").cast("long").alias("query_id"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("node_id"))
 
 
@@ -97,13 +97,9 @@ def lexical_retriever(i):
     return lambda q, k: lexical.search(q, i, "OR", k).withColumnRenamed("doc_id", "document_id")
 
 
-def last_words(spark, d) -> DataFrame:
-    return q_terms(spark, d).groupBy("query_id").agg(F.max(F.struct("ord", "term"))["term"].alias("text"))
-
-
 def reranked(spark, d) -> DataFrame:
     found = lexical.search(asked(spark, d), idx(spark, d, True), "OR", 10).withColumnRenamed("doc_id", "document_id")
-    return ranking.cross_rerank(found, last_words(spark, d), docs(spark, d), ranking.occurrences, 5)
+    return ranking.cross_rerank(found, asked(spark, d), docs(spark, d), ranking.word_occurrences, 5)
 
 
 def found_evidence(spark, d) -> DataFrame:
@@ -152,7 +148,7 @@ QUERIES = {
     "query_terms": q_terms,
     "postings": lambda s, d: idx(s, d).postings,
     "positions": lambda s, d: r6(index.positional_index(idx(s, d).tokens)),
-    "forward_index": lambda s, d: index.forward_index(idx(s, d).postings).select("doc_id", F.size("terms").alias("terms"), F.aggregate(F.map_values("terms"), F.lit(0).cast("long"), lambda a, b: a + b).alias("dl")),
+    "forward_index": lambda s, d: index.forward_index(idx(s, d).postings).select("doc_id", F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("terms"), F.aggregate(F.map_values("terms"), F.lit(0).cast("long"), lambda a, b: a + b).alias("dl")),
     "vocabulary": lambda s, d: index.vocabulary(idx(s, d).tokens),
     "doc_lengths": lambda s, d: idx(s, d).lengths,
     "corpus_stats": lambda s, d: r6(idx(s, d).stats),
@@ -162,8 +158,7 @@ QUERIES = {
     "bool_and": lambda s, d: (matching.Term("query") & matching.Term("index")).evaluate(idx(s, d).postings),
     "bool_or": lambda s, d: (matching.Term("query") | matching.Term("evidence")).evaluate(idx(s, d).postings),
     "bool_not": lambda s, d: matching.Not(matching.Term("query"), docs(s, d)).evaluate(idx(s, d).postings),
-    "phrase_match": lambda s, d: matching.phrase_matches(q_terms(s, d).filter("ord < 2"), idx(s, d).tokens),
-    "phrase_match_whole": lambda s, d: matching.phrase_matches(q_terms(s, d), idx(s, d).tokens),
+    "phrase_match": lambda s, d: matching.phrase_matches(q_terms(s, d), idx(s, d).tokens),
     "phrase_single": lambda s, d: matching.Phrase(["dense", "retrieval"]).evaluate(idx(s, d).tokens),
     "prefix_match": lambda s, d: matching.Prefix("omniquer").evaluate(idx(s, d).postings),
     "wildcard_match": lambda s, d: matching.Wildcard("co?a*map").evaluate(idx(s, d).postings),
@@ -188,14 +183,14 @@ QUERIES = {
     "ann_hnsw": lambda s, d: r6(ann_results(s, d)),
     "corpus_remove": lambda s, d: corpus.remove_documents(docs(s, d), table(s, d, "documents").filter("lang = 'de'")).select("doc_id"),
     "corpus_invalid": lambda s, d: corpus.invalid_documents(table(s, d, "documents")).select("doc_id"),
-    "result_texts": lambda s, d: corpus.attach_text(run_of(s, d).filter("rank <= 3"), docs(s, d)).select("query_id", "document_id", "rank", F.length("text").alias("chars")),
+    "result_texts": lambda s, d: corpus.attach_text(run_of(s, d), docs(s, d)).select("query_id", "document_id", "rank", "text"),
     "graph_neighbors": lambda s, d: graph.outgoing(star_graph(s, d)[1], star_starts(s, d)).select("src", "dst"),
     "graph_degrees": lambda s, d: graph.degrees(*star_graph(s, d)),
     "graph_bfs": lambda s, d: graph.bfs(star_starts(s, d), star_graph(s, d)[1]),
     "graph_khop": lambda s, d: graph.k_hop(star_starts(s, d), star_graph(s, d)[1], 1),
     "graph_dfs": lambda s, d: graph.dfs(star_starts(s, d), star_graph(s, d)[1]),
     "graph_nodes": lambda s, d: corpus_graph(s, d)[0].select("node_id", "node_type"),
-    "graph_edges": lambda s, d: corpus_graph(s, d)[1].select("src", "dst", "edge_type"),
+    "graph_edges": lambda s, d: corpus_graph(s, d)[1].select("src", "dst", "edge_type", "weight", "metadata"),
     "graph_match": lambda s, d: graph.match_nodes(asked(s, d), corpus_graph(s, d)[0]),
     "graph_retrieve": lambda s, d: r6(graph.graph_retrieve(asked(s, d), *corpus_graph(s, d), top_k=10)),
     "query_analysis": analysis,
@@ -203,7 +198,7 @@ QUERIES = {
     "query_plan": lambda s, d: r6(planning.plan(asked(s, d)).select("query_id", "primary_mode", "enabled_modes", "candidate_k", "final_k", "max_graph_hops")),
     "hybrid_lexical_graph": lambda s, d: r6(hybrid_run(s, d)),
     "rerank_overlap": lambda s, d: r6(reranked(s, d)),
-    "evidence": lambda s, d: r6(found_evidence(s, d).select("query_id", "document_id", F.length("text").alias("chars"), "score", "rank")),
+    "evidence": lambda s, d: r6(found_evidence(s, d).select("query_id", "document_id", "text", "score", "rank")),
     "rag_context": lambda s, d: r6(rag.context(found_evidence(s, d), 1200)),
     "eval_per_query": lambda s, d: r6(evaluation.evaluate(run_of(s, d), qrels_of(s, d), 10)),
     "eval_means": lambda s, d: r6(evaluation.means(evaluation.evaluate(run_of(s, d), qrels_of(s, d), 10))),
@@ -237,7 +232,7 @@ def _knn(expr: str, way: str, k: int, where: str = "") -> str:
 
 
 STAR = """edges AS (SELECT 'nation-' || n_nationkey AS src, 'region-' || n_regionkey AS dst FROM nation UNION ALL SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey FROM customer UNION ALL SELECT 'supplier-' || s_suppkey, 'nation-' || s_nationkey FROM supplier),
-starts AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, 'customer-' || c_custkey AS node_id FROM customer WHERE c_custkey % 10 = 0)"""
+starts AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, 'customer-' || c_custkey AS node_id FROM customer)"""
 GRAPH = """names AS (SELECT doc_id, list_filter(list_transform(coalesce(metadata.entities, []), lambda x: trim(coalesce(x, ''))), lambda x: x <> '') AS e, metadata.relations AS r FROM documents),
 listed AS (SELECT DISTINCT doc_id, unnest(e) AS name FROM names),
 rel0 AS (SELECT doc_id, e[1] AS first, unnest(r) AS r FROM names),
@@ -249,8 +244,8 @@ only_rel AS (SELECT name, min(doc_id) AS doc_id, count(*) AS n FROM ends WHERE n
 ent AS (SELECT name AS node_id, concat_ws(' ', name, 'entity name document ids source documents', CAST(doc_id AS VARCHAR)) AS words FROM firsts
   UNION ALL SELECT name, concat_ws(' ', name, 'entity name document ids documents', CAST(doc_id AS VARCHAR), CAST(n AS VARCHAR)) FROM only_rel),
 entities AS (SELECT * FROM ent WHERE node_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)),
-gedges AS (SELECT name AS src, CAST(doc_id AS VARCHAR) AS dst, 'mentioned_in' AS edge_type FROM listed
-  UNION ALL SELECT src, dst, (min({'a': relation, 'b': doc_id})).a FROM ok GROUP BY 1, 2)"""
+gedges AS (SELECT name AS src, CAST(doc_id AS VARCHAR) AS dst, 'mentioned_in' AS edge_type, CAST(to_json({'document_id': doc_id, 'source': 'metadata.entities'}) AS VARCHAR) AS metadata FROM listed
+  UNION ALL SELECT src, dst, (min({'a': relation, 'b': doc_id})).a, CAST(to_json({'document_id': (min({'a': relation, 'b': doc_id})).b, 'source': src, 'target': dst}) AS VARCHAR) FROM ok GROUP BY 1, 2)"""
 # a relation between a listed entity and that very document's id is left out, as the mention is there already
 GRAPH = GRAPH.replace("FROM ok GROUP BY 1, 2)", "FROM ok WHERE (src, dst) NOT IN (SELECT (name, CAST(doc_id AS VARCHAR)) FROM listed) GROUP BY 1, 2)")
 MATCH = GRAPH + """,
@@ -291,10 +286,9 @@ cls AS (SELECT *, CASE WHEN best = 0 OR winners > 1 THEN 'hybrid' WHEN l = best
 EVID = BM25 + """,
 ev AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS document_id, text, round(score, 6) AS score, rank FROM top JOIN docs USING (doc_id) WHERE rank <= 5)"""
 EVAL = """run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM (SELECT query_id, document_id, max(score) AS score FROM results WHERE signal = 'lexical' AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2)),
-run50 AS (SELECT * FROM run WHERE rank <= 50),
 rels AS (SELECT query_id, document_id, count(DISTINCT signal) - 1 AS rel FROM results WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
 nrel AS (SELECT query_id, count(*) FILTER (rel > 0) AS n FROM rels GROUP BY 1),
-j AS (SELECT r.query_id, r.rank, coalesce(x.rel, 0) AS rel, CAST(coalesce(x.rel, 0) > 0 AS INT) AS hit, power(2, coalesce(x.rel, 0)) - 1 AS gain FROM run50 r LEFT JOIN rels x USING (query_id, document_id)),
+j AS (SELECT r.query_id, r.rank, coalesce(x.rel, 0) AS rel, CAST(coalesce(x.rel, 0) > 0 AS INT) AS hit, power(2, coalesce(x.rel, 0)) - 1 AS gain FROM run r LEFT JOIN rels x USING (query_id, document_id)),
 k AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS ideal,
   row_number() OVER (PARTITION BY query_id, rank <= 10 ORDER BY gain DESC) AS ideal_k FROM j),
 m AS (SELECT query_id, count(*) AS rows, sum(hit) AS hits, min(CASE WHEN hit = 1 THEN rank END) AS fh, sum(CASE WHEN hit = 1 THEN so_far / rank ELSE 0 END) AS ap,
@@ -312,7 +306,7 @@ SQL = {
     "query_terms": f"WITH {BASE} SELECT query_id, ord, term FROM qt",
     "postings": f"WITH {BASE} SELECT term, doc_id, tf FROM posts",
     "positions": f"WITH {BASE} SELECT term, doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM toks GROUP BY 1, 2",
-    "forward_index": f"WITH {BASE} SELECT doc_id, CAST(count(*) AS INTEGER) AS terms, CAST(sum(tf) AS BIGINT) AS dl FROM posts GROUP BY 1",
+    "forward_index": f"WITH {BASE} SELECT doc_id, string_agg(term || ':' || tf, ',' ORDER BY term) AS terms, CAST(sum(tf) AS BIGINT) AS dl FROM posts GROUP BY 1",
     "vocabulary": f"WITH {BASE}, f AS (SELECT term, min({{'a': doc_id, 'b': pos}}) AS f FROM toks GROUP BY 1) SELECT term, row_number() OVER (ORDER BY f.a, f.b) - 1 AS term_id FROM f",
     "doc_lengths": f"WITH {BASE} SELECT doc_id, dl FROM lens",
     "corpus_stats": f"WITH {BASE} SELECT n, total, round(avgdl, 6) AS avgdl FROM stats",
@@ -322,8 +316,7 @@ SQL = {
     "bool_and": f"WITH {BASE} SELECT doc_id FROM posts WHERE term = 'query' INTERSECT SELECT doc_id FROM posts WHERE term = 'index'",
     "bool_or": f"WITH {BASE} SELECT doc_id FROM posts WHERE term = 'query' UNION SELECT doc_id FROM posts WHERE term = 'evidence'",
     "bool_not": f"WITH {BASE} SELECT doc_id FROM docs EXCEPT SELECT doc_id FROM posts WHERE term = 'query'",
-    "phrase_match": f"WITH {BASE}, p AS (SELECT * FROM qt WHERE ord < 2), n AS (SELECT query_id, count(*) AS n FROM p GROUP BY 1) SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, t.pos - p.ord AS s, count(*) AS h FROM p JOIN toks t USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE h = n",
-    "phrase_match_whole": f"WITH {BASE}, p AS (SELECT * FROM qt), n AS (SELECT query_id, count(*) AS n FROM p GROUP BY 1) SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, t.pos - p.ord AS s, count(*) AS h FROM p JOIN toks t USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE h = n",
+    "phrase_match": f"WITH {BASE}, p AS (SELECT * FROM qt), n AS (SELECT query_id, count(*) AS n FROM p GROUP BY 1) SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, t.pos - p.ord AS s, count(*) AS h FROM p JOIN toks t USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE h = n",
     "phrase_single": f"WITH {BASE} SELECT DISTINCT a.doc_id FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'dense' AND b.term = 'retrieval'",
     "prefix_match": f"WITH {BASE} SELECT DISTINCT doc_id FROM posts WHERE starts_with(term, 'omniquer')",
     "wildcard_match": f"WITH {BASE} SELECT DISTINCT doc_id FROM posts WHERE regexp_full_match(term, 'co.a.*map')",
@@ -352,14 +345,16 @@ SQL = {
     "vector_delete": "SELECT CAST(vec_id AS VARCHAR) AS vec_id FROM embeddings WHERE vec_id % 3 <> 0",
     "corpus_remove": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND coalesce(lang, '') <> 'de'",
     "corpus_invalid": "SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id < 0 OR text IS NULL",
-    "result_texts": f"WITH {EVAL} SELECT query_id, document_id, CAST(rank AS INTEGER) AS rank, CAST(length(text) AS INTEGER) AS chars FROM run50 LEFT JOIN (SELECT * FROM documents WHERE text IS NOT NULL) ON CAST(doc_id AS VARCHAR) = document_id WHERE rank <= 3",
+    "result_texts": f"WITH {EVAL} SELECT query_id, document_id, CAST(rank AS INTEGER) AS rank, text FROM run LEFT JOIN (SELECT * FROM documents WHERE text IS NOT NULL) ON CAST(doc_id AS VARCHAR) = document_id",
     "graph_neighbors": f"WITH {STAR} SELECT src, dst FROM edges WHERE src IN (SELECT node_id FROM starts)",
     "graph_degrees": f"""WITH {STAR}, nodes AS (SELECT 'region-' || r_regionkey AS node_id FROM region UNION ALL SELECT 'nation-' || n_nationkey FROM nation UNION ALL SELECT 'customer-' || c_custkey FROM customer UNION ALL SELECT 'supplier-' || s_suppkey FROM supplier),
         o AS (SELECT src, count(*) AS c FROM edges GROUP BY 1), i AS (SELECT dst, count(*) AS c FROM edges GROUP BY 1) SELECT node_id, coalesce(o.c, 0) AS outgoing, coalesce(i.c, 0) AS incoming FROM nodes LEFT JOIN o ON src = node_id LEFT JOIN i ON dst = node_id""",
     "graph_bfs": f"WITH RECURSIVE {STAR}, b AS (SELECT query_id, node_id, 0 AS depth FROM starts UNION SELECT query_id, dst, depth + 1 FROM b JOIN edges ON src = node_id) SELECT query_id, node_id, min(depth) AS depth FROM b GROUP BY 1, 2",
+    # every node of this graph leads to at most one other, so depth first is straight ahead
+    "graph_dfs": f"WITH RECURSIVE {STAR}, b AS (SELECT query_id, node_id, 0 AS depth FROM starts UNION ALL SELECT query_id, dst, depth + 1 FROM b JOIN edges ON src = node_id) SELECT query_id, depth AS step, node_id, depth FROM b",
     "graph_khop": f"WITH {STAR} SELECT DISTINCT query_id, dst AS node_id, 1 AS depth FROM starts JOIN edges ON src = node_id",
     "graph_nodes": f"WITH {GRAPH} SELECT CAST(doc_id AS VARCHAR) AS node_id, 'document' AS node_type FROM documents UNION ALL SELECT node_id, 'entity' FROM entities",
-    "graph_edges": f"WITH {GRAPH} SELECT src, dst, edge_type FROM gedges",
+    "graph_edges": f"WITH {GRAPH} SELECT src, dst, edge_type, 1.0::DOUBLE AS weight, metadata FROM gedges",
     "graph_match": f"WITH {MATCH} SELECT query_id, node_id FROM matched",
     "graph_retrieve": f"WITH {MATCH} SELECT query_id, document_id, round(score, 6) AS score, rank FROM gtop WHERE rank <= 10",
     "query_analysis": f"WITH {PLAN} SELECT query_id, normalized, array_to_string(terms, ',') AS terms, array_to_string(phrases, ',') AS phrases, term_count, has_exact_phrase, has_question_form, has_comparison_signal, has_relationship_signal, has_identifier_signal, has_explanatory_signal FROM a",
@@ -370,10 +365,10 @@ SQL = {
           UNION ALL SELECT query_id, document_id, rank FROM gtop JOIN cls USING (query_id) WHERE rank <= 50 AND contains(modes, 'graph')),
         f AS (SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY 1, 2),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM f) SELECT query_id, document_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
-    "rerank_overlap": f"""WITH {BM25}, lw AS (SELECT query_id, arg_max(term, ord) AS w FROM qt GROUP BY 1),
-        s AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS document_id, CAST((length(lower(text)) - length(replace(lower(text), w, ''))) / length(w) AS DOUBLE) AS score FROM top JOIN docs USING (doc_id) JOIN lw USING (query_id) WHERE rank <= 10),
+    "rerank_overlap": f"""WITH {BM25}, w AS (SELECT query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM q),
+        s AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS document_id, CAST(list_sum(list_transform(ws, lambda x: (length(lower(text)) - length(replace(lower(text), x, ''))) / length(x))) AS DOUBLE) AS score FROM top JOIN docs USING (doc_id) JOIN w USING (query_id) WHERE rank <= 10),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM s) SELECT query_id, document_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
-    "evidence": f"WITH {EVID} SELECT query_id, document_id, CAST(length(text) AS INTEGER) AS chars, score, rank FROM ev",
+    "evidence": f"WITH {EVID} SELECT query_id, document_id, text, score, rank FROM ev",
     "rag_context": f"""WITH {EVID}, s AS (SELECT *, '[SOURCE ' || rank || E']\\ndocument_id: ' || document_id || E'\\nretrieval_score: ' || printf('%.6f', score) || E'\\ntext:\\n' || text AS section FROM ev),
         h AS (SELECT *, sum(length(section) + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS held FROM s)
         SELECT query_id, string_agg(section, E'\\n\\n' ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS sources, string_agg(document_id, ',' ORDER BY rank) AS document_ids FROM h WHERE held <= 1200 GROUP BY 1""",
