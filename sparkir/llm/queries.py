@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkir.llm import distinctive, mixing, names, nearest, neardup, packing, rankfuse, terms, tokens, truncation
+from sparkir.operators import dense
 from sparkir.session import stage
 
 
@@ -64,7 +65,35 @@ def p6_knn(spark: SparkSession, d: str) -> DataFrame:
     """The queries are the vectors whose id is divisible by 20; all vectors are searched."""
     v = nearest.usable_vectors(table(spark, d, "vectors"))
     asked = v.filter(F.expr("try_cast(vec_id AS BIGINT) % 20 = 0")).select("vec_id")
-    return nearest.nearest(v, k=5, cosine=0.55, recall=0.97, radius=1, spread=2.5, per_bucket=16, words=3, queries=asked)
+    return nearest.nearest(v, k=5, cosine=0.55, recall=0.97, radius=1, spread=2.5, per_bucket=16, words=3, queries=asked).withColumn("cosine", F.round("cosine", 6))
+
+
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, neighbour): the five most similar vectors of p6_knn's queries, by exact search."""
+    v = stage(nearest.usable_vectors(table(spark, d, "vectors")).withColumn("ord", F.lit(0).cast("long")), "vectors")
+    asked = v.filter(F.expr("try_cast(vec_id AS BIGINT) % 20 = 0")).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense.exact_knn(v, asked, 6).filter("query_id <> vec_id")  # itself is among the six unless six copies are before it
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("r", best).filter("r <= 5").select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"))
+
+
+def _held(exact: DataFrame, lists: DataFrame) -> DataFrame:
+    mine = exact.join(lists.select("vec_id").distinct(), "vec_id", "left_semi").join(lists.distinct().withColumn("__hit", F.lit(1)), ["vec_id", "neighbour"], "left")
+    return mine.agg(F.count_distinct("vec_id").alias("queries"), F.round(F.avg(F.coalesce("__hit", F.lit(0)).cast("double")), 6).alias("recall"))
+
+
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(held_by, queries, recall): the share of the exact answers that the stored graph's neighbours and the saved hits hold,
+    over the queries that they have."""
+    exact = stage(p6_exact(spark, d), "exact")
+    near = table(spark, d, "hnsw_nodes").filter("id IS NOT NULL").select(F.col("id").alias("vec_id"), F.explode(F.get("neighbors", F.lit(0))).alias("neighbour"))
+    hits = table(spark, d, "vector_hits").filter("vec_id IS NOT NULL AND id IS NOT NULL").select("vec_id", F.col("id").alias("neighbour"))
+    return _held(exact, near).select(F.lit("hnsw_nodes").alias("held_by"), "*").unionByName(_held(exact, hits).select(F.lit("vector_hits").alias("held_by"), "*"))
+
+
+def p6_enough(spark: SparkSession, d: str) -> DataFrame:
+    """(queries, enough): whether p6_knn holds at least 0.95 of the exact answers."""
+    return _held(p6_exact(spark, d), stage(p6_knn(spark, d), "knn").select("vec_id", "neighbour")).select("queries", (F.col("recall") >= 0.95).alias("enough"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +115,18 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(sized_documents(spark, d), table(spark, d, "context_windows"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(texts, overfull, split): the texts that were packed, the windows that hold more than they can, and the texts in pieces
+    that would have fitted whole."""
+    sized, windows = sized_documents(spark, d), table(spark, d, "context_windows")
+    packed = stage(packing.pack_texts(sized, windows), "packed")
+    top = windows.agg(F.max("capacity_tokens")).first()[0]
+    bins = packed.groupBy("bin_id", "capacity").agg(F.sum("tokens").alias("held")).agg(F.sum((F.col("held") > F.col("capacity")).cast("long")).alias("overfull"))
+    texts = packed.groupBy("doc_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces")).join(sized.select("doc_id", F.col("tokens").alias("n")), "doc_id")
+    texts = texts.agg(F.sum((F.col("held") == F.col("n")).cast("long")).alias("texts"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= top)).cast("long")).alias("split"))
+    return texts.join(F.broadcast(bins)).select("texts", "overfull", "split")
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packing(spark, d))
 
@@ -116,8 +157,8 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
-    "p6_found": p6_found, "p6_knn": p6_knn,
+    "p8_packing": p8_packing, "p8_checks": p8_checks, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p6_found": p6_found, "p6_knn": p6_knn, "p6_recall": p6_recall, "p6_enough": p6_enough,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p10_found": p10_found, "p10_rates": p10_rates, "p10_evidence": p10_evidence,
     "p2_found": p2_found, "p2_models": p2_models,
@@ -152,6 +193,11 @@ TERM_SQL = """SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS d
 RUNNING = r"""b AS (SELECT doc_id, source, rtrim(regexp_replace(text, '(\s*\n[ \t]*(-- |— |- |Signed, |Ref: |#)[^\n]*)*\s*$', ''), chr(10) || ' ') AS body FROM documents WHERE trim(text, chr(10) || ' ') <> ''),
     e AS (SELECT *, body <> '' AND (NOT regexp_matches(body, '[.!?]["'')]*$') OR body LIKE '%..') AS cut FROM b)"""
 
+EXACT = """lv AS (SELECT vec_id, arg_max(embedding, ord) AS e FROM vectors WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1),
+    v AS (SELECT vec_id, e FROM lv WHERE len(e) = 48 AND list_inner_product(e, e) > 0),
+    xp AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE TRY_CAST(a.vec_id AS BIGINT) % 20 = 0),
+    xr AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour) AS k FROM xp), x AS (SELECT vec_id, neighbour FROM xr WHERE k <= 5)"""
+
 SQL = {
     "p10_rates": f"WITH {RUNNING} SELECT coalesce(lower(trim(source)), '') AS source, count(*) AS texts, count(*) FILTER (cut) AS cut, round(avg(cut::INT), 6) AS rate FROM e GROUP BY 1",
     # brackets and quotes are counted instead of nested
@@ -179,6 +225,17 @@ SQL = {
         p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS k FROM p)
         SELECT DISTINCT least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM r WHERE k <= 5 AND c >= 0.95""",
+    "p6_enough": f"WITH {EXACT} SELECT count(DISTINCT vec_id) AS queries, true AS enough FROM x",
+    "p6_recall": f"""WITH {EXACT}, l AS (SELECT DISTINCT 'hnsw_nodes' AS held_by, id AS vec_id, unnest(neighbors[1]) AS neighbour FROM hnsw_nodes UNION SELECT 'vector_hits', vec_id, id FROM vector_hits WHERE id IS NOT NULL),
+        h AS (SELECT DISTINCT held_by, vec_id FROM l) SELECT h.held_by, count(DISTINCT x.vec_id) AS queries, round(avg((l.vec_id IS NOT NULL)::INT), 6) AS recall FROM h JOIN x USING (vec_id) LEFT JOIN l ON l.held_by = h.held_by AND l.vec_id = x.vec_id AND l.neighbour = x.neighbour GROUP BY 1""",
+    "p8_checks": "SELECT count(DISTINCT doc_id) AS texts, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split FROM documents WHERE text <> ''",
+    "p7_groups": r"""WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS b FROM documents),
+        c AS (SELECT doc_id, CASE WHEN len(b) > 0 THEN min(doc_id) OVER (PARTITION BY b) ELSE doc_id END AS class_id, b FROM w),
+        k AS (SELECT class_id, b, len(b) AS n FROM c WHERE doc_id = class_id AND len(b) > 0),
+        p AS MATERIALIZED (SELECT x.class_id AS a, y.class_id AS b FROM k x JOIN k y ON x.class_id <> y.class_id AND x.n <= y.n * 1.25 AND y.n <= x.n * 1.25 WHERE len(list_intersect(x.b, y.b)) * 10 >= 8 * (x.n + y.n - len(list_intersect(x.b, y.b)))),
+        g AS (SELECT a AS node, a AS label FROM p UNION SELECT p.b, g.label FROM g JOIN p ON p.a = g.node),
+        m AS (SELECT node, min(label) AS group_id FROM g GROUP BY 1), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(group_id, class_id) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN m ON node = class_id LEFT JOIN l ON a = class_id""",
     "p7_found": r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS b FROM documents), k AS (SELECT doc_id, b, len(b) AS n FROM w WHERE len(b) >= 30),
         p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, x.n + y.n AS s, len(list_intersect(x.b, y.b)) AS i FROM k x JOIN k y ON x.doc_id < y.doc_id AND x.n <= y.n * 1.25 AND y.n <= x.n * 1.25)
         SELECT doc_a, doc_b FROM p WHERE i * 10 >= 8 * (s - i)""",
