@@ -51,3 +51,13 @@ def test_lemmas(spark, rows):
     lemmas = spark.createDataFrame([("mice", "mouse"), ("mice", "mus"), (None, "x")], "term string, lemma string")
     assert rows(X.lemmatized(t, lemmas)) == [(1, "mouse"), (1, "run"), (1, None)]
     assert t.select(F.sum(X.stem_of("term").isNotNull().cast("int"))).first()[0] == 2
+
+
+def test_lemmatizing_analyzer(spark):
+    from sparkir.functions.text import Analyzer
+
+    df = spark.createDataFrame([("Mice ran, the mouse runs",), (None,), ("",)], "t string")
+    a = Analyzer(stem=False, lemmas={"mice": "mouse", "ran": "run", "runs": "run"})
+    assert [r[0] for r in df.select(a("t")).collect()][0] == ["mouse", "run", "mouse", "run"]
+    stems = [r[0] for r in df.select(Analyzer()("t")).collect()]
+    assert stems[0] == ["mice", "ran", "mous", "run"] and not stems[1] and stems[2] == []
