@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.llm.truncation import normal_source
+from sparkir.operators.skew import salted_join, spread_rank
 
 MOST_TARGETS = 100_000
 
@@ -43,25 +44,38 @@ def repetition_rates(sized: DataFrame, targets: DataFrame, total: float | None =
     return [(r.source, r.target_share, r.max_repeats, r.documents, r.tokens, min(float(r.max_repeats), share[r.source] * total / r.tokens) if r.tokens else 0.0) for r in rows]
 
 
-def mixture(sized: DataFrame, rates: list[tuple], seed: int = 17) -> DataFrame:
+def mixture(sized: DataFrame, rates: list[tuple], seed: int = 17, least: int = 1_000_000) -> DataFrame:
     """(doc_id, source, tokens, copy): each document floor(rate) times, and once more with the chance of the fraction.
 
-    sized is (doc_id, source, tokens), source trimmed and lower-cased. The chance is drawn by hash of seed, id and tokens,
-    so it does not depend on partitions or attempts. Documents without tokens and those of other sources are not used.
-    The rates are one row per target, of which there is a checked number, and go to every task.
+    sized is (doc_id, source, tokens), source trimmed and lower-cased. Documents without tokens and those of other sources
+    are not used. The rates are one row per target, of which there is a checked number, and go to every task.
+
+    The chance is drawn by hash of seed, id and tokens, so it does not depend on partitions or attempts. Documents of a source
+    are drawn among those of like size, by factors of two: of n in such a stratum the floor(fraction x n) of least hash get
+    their copy, and the next one with the chance of what is left, drawn by the stratum's hash. Every document has the chance
+    of the fraction, as if drawn alone, but long and short texts are drawn in their proportion, and a source is off its
+    share by about one text per stratum, however many it has. Strata of more than ``least`` texts are ranked in ranges.
     """
     table = sized.sparkSession.createDataFrame([(r[0], float(r[5])) for r in rates], "source string, rate double")
-    used = sized.filter("tokens > 0").join(F.broadcast(table), "source")
-    draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tokens"), F.lit(1 << 52)) / float(1 << 52)).cast("double")
-    copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    used = used.withColumn("copies", copies).filter("copies > 0")
-    return used.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    used = sized.filter("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(table), "source").filter("rate > 0")
+    uniform = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+    used = used.withColumn("stratum", F.floor(F.log2("tokens"))).withColumn("chosen", -uniform("doc_id", "tokens"))
+    key = ["source", "stratum"]
+    ranked = spread_rank(used, key, "chosen", "place", least=least)
+    counts = used.groupBy(*key).agg(F.count("*").alias("n"))
+    ranked = salted_join(ranked, counts, key, F.col("doc_id"), "inner", least=least)
+    quota = (F.col("rate") - F.floor("rate")) * F.col("n")
+    extra = (F.col("place") <= F.floor(quota)) | ((F.col("place") == F.floor(quota) + 1) & (uniform("source", "stratum") < quota - F.floor(quota)))
+    ranked = ranked.withColumn("copies", (F.floor("rate") + extra.cast("int")).cast("int")).filter("copies > 0")
+    return ranked.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 def share_report(mixed: DataFrame, rates: list[tuple]) -> DataFrame:
-    """(source, target_share, reached_share, max_repeats, rate, documents, tokens, mixed_tokens) per target source."""
+    """(source, target_share, expected_share, reached_share, max_repeats, rate, documents, tokens, mixed_tokens) per target
+    source. expected_share is the mean over all seeds: below the target where max_repeats holds the source back."""
     table = mixed.sparkSession.createDataFrame([(a, float(b), int(c), int(d), int(e), float(f)) for a, b, c, d, e, f in rates], "source string, target_share double, max_repeats int, documents long, tokens long, rate double")
+    mean = sum(e * f for *_, e, f in rates) or 1.0
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"))
     every = got.agg(F.sum("mixed_tokens")).first()[0] or 1
     out = table.join(got, "source", "left").na.fill(0, ["mixed_tokens"])
-    return out.select("source", "target_share", (F.col("mixed_tokens") / F.lit(float(every))).alias("reached_share"), "max_repeats", "rate", "documents", "tokens", "mixed_tokens")
+    return out.select("source", "target_share", (F.col("tokens") * F.col("rate") / F.lit(float(mean))).alias("expected_share"), (F.col("mixed_tokens") / F.lit(float(every))).alias("reached_share"), "max_repeats", "rate", "documents", "tokens", "mixed_tokens")

@@ -100,3 +100,20 @@ def test_empty_mixtures(spark):
     assert (rep.reached_share, rep.mixed_tokens) == (0.0, 0)
     none = X.repetition_rates(sized, targets.limit(0))
     assert none == [] and X.mixture(sized, none).count() == 0
+
+
+def test_draws_keep_the_proportion_of_sizes(spark):
+    data = [(i, "s", 10 + i % 5) for i in range(200)] + [(1000 + i, "s", 5000 + i) for i in range(40)]
+    sized = spark.createDataFrame(data, "doc_id long, source string, tokens long")
+    rates = [("s", 1.0, 3, 240, sum(t for *_, t in data), 1.25)]
+    want = None
+    for least in (1_000_000, 30):
+        got = X.mixture(sized, rates, least=least).collect()
+        twice = [r.doc_id for r in got if r.copy == 2]
+        assert len(got) == 240 + len(twice) and sum(i < 1000 for i in twice) == 50 and sum(i >= 1000 for i in twice) == 10
+        assert want is None or sorted(twice) == want
+        want = sorted(twice)
+    chance = [len({r.doc_id for r in X.mixture(sized, rates, seed=k).collect() if r.copy == 2} & {0, 1000}) for k in range(8)]
+    assert 0 < sum(chance) < 16  # other seeds draw others
+    rep = X.share_report(X.mixture(sized, rates), rates).first()
+    assert rep.expected_share == 1.0 and rep.reached_share == 1.0
