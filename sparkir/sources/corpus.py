@@ -12,13 +12,32 @@ from sparkir.functions import checks
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text, metadata) of a JSON file that holds an array of objects, or of JSON lines.
 
-    Raises ValueError naming a bad record: broken JSON, no object, document_id or text missing or of a wrong type, a
-    negative or repeated id. Unknown metadata fields are ignored; missing metadata is null.
+    Raises ValueError naming the first bad record by its number from 1: broken JSON, no object, document_id or text missing or
+    of a wrong type, a negative id; and for a repeated id. Unknown metadata fields are ignored; missing metadata is null. A file
+    is read by one task, as an array cannot be split: large corpora are JSON lines for `load_lines`, or Parquet.
     """
-    raw = spark.read.schema(schemas.CORPUS_JSON).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    bad = raw.filter("_corrupt_record IS NOT NULL OR document_id IS NULL OR text IS NULL OR document_id < 0")
-    checks.none_left(bad, "invalid document record")
-    docs = raw.select(F.col("document_id").alias("doc_id"), "text", "metadata")
+    whole = spark.read.text(path, wholetext=True).withColumn("array", F.ltrim("value").startswith("["))
+    items = F.when(F.col("array"), F.from_json("value", "array<string>")).otherwise(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))
+    none = F.array(F.lit(None).cast("string"))
+    empty = F.regexp_like("value", F.lit(r"^\s*(\[\s*\])?\s*$"))
+    rows = whole.filter(~empty).select(F.posexplode(F.coalesce(items, none)).alias("at", "json")).withColumn("record", F.col("at") + 1)
+    return _documents(rows)
+
+
+def load_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text, metadata) of JSON lines, which are read in splits by many tasks; else as `load_corpus`, but a bad record is
+    named by its beginning."""
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    return _documents(lines.select(F.col("value").alias("json"), F.substring("value", 1, 80).alias("record")))
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    parsed = rows.withColumn("d", F.from_json("json", schemas.CORPUS_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = F.col("d._corrupt_record").isNull() & F.col("d.document_id").isNotNull() & F.col("d.text").isNotNull() & (F.col("d.document_id") >= 0)
+    first = parsed.filter(~F.coalesce(good, F.lit(False))).agg(F.min("record")).first()[0]
+    if first is not None:
+        raise ValueError(f"invalid document record: {first}")
+    docs = parsed.select(F.col("d.document_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("d.metadata").alias("metadata"))
     return checks.unique(docs, "doc_id", "document id")
 
 

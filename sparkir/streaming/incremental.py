@@ -9,16 +9,18 @@ from sparkir.functions.text import Analyzer
 from sparkir.operators.index import postings, tokens
 
 
-def index_stream(documents: DataFrame, path: str, checkpoint: str, analyzer: Analyzer | None = None, **trigger):
+def index_stream(documents: DataFrame, path: str, checkpoint: str, analyzer: Analyzer | None = None, at: str | None = None, **trigger):
     """Starts a query that appends the postings of streamed documents (doc_id, text) to ``path``/postings, by batch.
 
     Each micro-batch overwrites only its own partition, so a batch that is run again after a failure is not counted
-    twice. A document that arrives again has postings in several batches; `latest_postings` keeps the last.
+    twice. A document that arrives again has postings in several batches; `latest_postings` keeps the last. Of its versions in
+    one batch the one of greatest ``at`` (a column; ties and without it: the greatest text) counts.
     """
     a = analyzer or Analyzer()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["doc_id"])
+        version = F.struct(*([F.col(at).alias("at")] if at else []), "text")
+        once = batch.groupBy("doc_id").agg(F.max(version).alias("v")).select("doc_id", "v.text")
         out = postings(tokens(once, a)).withColumn("batch_id", F.lit(batch_id))
         out.drop("batch_id").write.mode("overwrite").parquet(f"{path}/postings/batch_id={batch_id}")
         once.select("doc_id").write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")

@@ -164,6 +164,16 @@ def test_corpus(spark, rows, tmp_path):
         spark.catalog.clearCache()
         with pytest.raises(ValueError):
             C.load_corpus(spark, str(p))
+    p.write_text('[{"document_id": 1, "text": "a"}, {"document_id": 2}, {"document_id": 3}]')
+    with pytest.raises(ValueError, match="record: 2"):
+        C.load_corpus(spark, str(p))
+    p.write_text('{"document_id": 1, "text": "a"}\n\n{"document_id": 2, "text": "b", "other": 1}\n')
+    assert rows(C.load_corpus(spark, str(p)), "doc_id") == rows(C.load_lines(spark, str(p)), "doc_id") == [(1,), (2,)]
+    p.write_text('{"document_id": 1, "text": "a"}\n{"document_id":')
+    with pytest.raises(ValueError, match='record: {"document_id":$'):
+        C.load_lines(spark, str(p))
+    p.write_text("[]")
+    assert C.load_corpus(spark, str(p)).count() == 0
     d = docs(spark)
     assert rows(C.invalid_documents(d), "doc_id") == [(5,)]
     assert rows(C.remove_documents(d, spark.createDataFrame([(1,), (9,)], "doc_id long")), "doc_id") == [(2,), (3,), (4,), (5,)]
