@@ -94,6 +94,16 @@ def chance_to_differ(sample: np.ndarray, mean: np.ndarray, matrix: np.ndarray, c
     return float(min(0.5, max(rates, default=acos(cosine) / np.pi)))
 
 
+def usual_cosine(sample: np.ndarray, k: int, share: float = 0.05, seed: int = 6) -> float:
+    """The cosine that the k-th nearest of the sample reaches for all but ``share`` of it. With the rows that are not in the
+    sample, neighbours only get nearer, so it is a careful guess for the whole collection."""
+    at = np.random.default_rng(seed).permutation(len(sample))[:1000]
+    c = sample[at] @ sample.T
+    c[np.arange(len(at)), at] = -2.0
+    k = min(k, len(sample) - 1)
+    return float(np.clip(np.quantile(-np.partition(-c, k - 1, axis=1)[:, k - 1], share), 0.1, 0.999)) if k > 0 else 0.5
+
+
 def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str = "vec_id", order: str = "ord", embedding: str = "embedding") -> DataFrame:
     """(vec_id, embedding): of each id the row of greatest ord (ties: the greater embedding), if it is comparable.
 
@@ -109,7 +119,7 @@ def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str
     return v.filter((F.size("embedding") == dimension) & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
-def _fit(entries: DataFrame, rows: int, fit_rows: int, cosine: float, recall: float, radius: int, spread: float, per_bucket: float, words: int) -> tuple[Plan, np.ndarray, np.ndarray]:
+def _fit(entries: DataFrame, rows: int, fit_rows: int, k: int, cosine: float | None, recall: float, radius: int, spread: float, per_bucket: float, words: int) -> tuple[Plan, np.ndarray, np.ndarray]:
     """The plan, the mean and the rotations, learned by one task from about ``fit_rows`` entries, fewer than twice as many:
     those whose hash falls in one of rows / fit_rows classes. Only what was learned comes to the driver."""
     sample = entries.filter(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(max(1, ceil(rows / fit_rows)))) == 0).limit(2 * fit_rows)
@@ -122,14 +132,15 @@ def _fit(entries: DataFrame, rows: int, fit_rows: int, cosine: float, recall: fl
         x = np.concatenate([b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in parts])[np.argsort(ids)]
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         q = Quantiser(x)
-        p = substrings_for(rows, chance_to_differ(x, q.mean, q.matrix(WORD * words), cosine), recall, radius, spread, per_bucket, words)
+        near = usual_cosine(x, k) if cosine is None else cosine
+        p = substrings_for(rows, chance_to_differ(x, q.mean, q.matrix(WORD * words), near), recall, radius, spread, per_bucket, words)
         m = q.matrix(max(WORD * words, p.bits * p.substrings))
         one = lambda v, kind: pa.array([list(v)], pa.list_(kind))
         yield pa.RecordBatch.from_arrays([one((p.bits, p.substrings, p.radius, p.most_apart), pa.int32()), one(q.mean, pa.float64()), one(m.ravel(), pa.float64())], names=["plan", "mean", "matrix"])
 
     r = sample.select("id", "embedding").repartition(1).mapInArrow(fit, "plan array<int>, mean array<double>, matrix array<double>").first()
     if r is None:  # no hash fell into the class: so few rows that any of them will do
-        return _fit(entries, 1, fit_rows, cosine, recall, radius, spread, per_bucket, words)
+        return _fit(entries, 1, fit_rows, k, cosine, recall, radius, spread, per_bucket, words)
     return Plan(*r.plan), np.array(r.mean), np.array(r.matrix).reshape(len(r.mean), -1)
 
 
@@ -229,13 +240,14 @@ def exact_neighbours(vectors: DataFrame, k: int, least: float | None = None) ->
     return met.groupBy("pair").applyInArrow(best, "id long, id_b long, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.95, recall: float = 0.999, radius: int = 0, spread: float = 3.5, per_bucket: float = 4,
+def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall: float = 0.999, radius: int = 0, spread: float = 3.5, per_bucket: float = 4,
             words: int = 1, least: float | None = None, queries: DataFrame | None = None, fit_rows: int = 10_000, crowded: int = CROWDED) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the k most similar other vectors of each query vector, ties by neighbour id.
 
     vectors is (vec_id, embedding), as `usable_vectors` gives it; queries (vec_id) restricts whose neighbours come out,
     without it they are those of every vector. The index is planned to retrieve pairs of ``cosine`` with ``recall``
-    (and closer ones more surely); pairs below ``least`` are left out. An empty table gives no rows.
+    (and closer ones more surely), those that nearly all k-th neighbours of the sample reach if cosine is None;
+    pairs below ``least`` are left out. An empty table gives no rows.
 
     Rotations are learned from at most 2 x ``fit_rows`` vectors, chosen by hash; every vector is indexed. Equal embeddings
     are one entry of the index; of a large group of copies only the k + 1 least ids can be anyone's neighbours. Entries of
@@ -248,7 +260,7 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.95, recall: float
     rows = entries.count()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "vec_id string, neighbour string, cosine double, rank int")
-    plan, mean, matrix = _fit(entries, rows, fit_rows, cosine, recall, radius, spread, per_bucket, words)
+    plan, mean, matrix = _fit(entries, rows, fit_rows, k, cosine, recall, radius, spread, per_bucket, words)
     asked = entries
     if queries is not None:
         ids = members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")

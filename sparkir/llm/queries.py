@@ -65,7 +65,7 @@ def p6_knn(spark: SparkSession, d: str) -> DataFrame:
     """The queries are the vectors whose id is divisible by 20; all vectors are searched."""
     v = nearest.usable_vectors(table(spark, d, "vectors"))
     asked = v.filter(F.expr("try_cast(vec_id AS BIGINT) % 20 = 0")).select("vec_id")
-    return nearest.nearest(v, k=5, cosine=0.55, recall=0.97, radius=1, spread=2.5, per_bucket=16, words=3, queries=asked).withColumn("cosine", F.round("cosine", 6))
+    return nearest.nearest(v, k=5, cosine=None, recall=0.9, radius=1, spread=0.5, per_bucket=16, words=3, queries=asked).withColumn("cosine", F.round("cosine", 6))
 
 
 def p6_exact(spark: SparkSession, d: str) -> DataFrame:

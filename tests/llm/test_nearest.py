@@ -93,7 +93,7 @@ def test_recall_of_a_query_set(spark):
     x = clustered(1500, 24, 9)
     v = N.usable_vectors(frame(spark, [(str(i), 0, e.tolist()) for i, e in enumerate(x)]))
     asked = spark.createDataFrame([(str(i),) for i in range(0, 1500, 20)], "vec_id string")
-    got = N.nearest(v, k=5, cosine=0.55, recall=0.97, radius=1, spread=2.5, per_bucket=16, words=3, queries=asked).collect()
+    got = N.nearest(v, k=5, cosine=None, recall=0.9, radius=1, spread=0.5, per_bucket=16, words=3, queries=asked).collect()
     c = unit(x) @ unit(x).T
     np.fill_diagonal(c, -2)
     hits = [len({r.neighbour for r in got if r.vec_id == str(i)} & {str(j) for j in np.argsort(-c[i])[:5]}) / 5 for i in range(0, 1500, 20)]
