@@ -193,8 +193,8 @@ def build_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     related = related.join(mentions.select("src", "dst"), ["src", "dst"], "left_anti")
     related = related.select("src", "dst", F.col("e.relation").alias("edge_type"), F.to_json(F.struct(F.col("e.doc_id").alias("document_id"), F.col("src").alias("source"), F.col("dst").alias("target"))).alias("metadata"), F.col("e.doc_id").alias("at"), F.lit(1).alias("k"))
     edges = mentions.unionByName(related)
-    # a stable order without a global sort: mentions by document, then relations
-    order = F.xxhash64("src", "dst", "edge_type").bitwiseAND(F.lit(0xFFFFF)) + F.col("at") * (1 << 20) + F.col("k") * (1 << 62)
+    # a stable order without a global sort: mentions by document, then relations; edges of one document go by their end
+    order = F.col("at") + F.col("k") * F.lit(1 << 62)
     return doc_nodes.unionByName(entity_nodes), edges.select("src", "dst", "edge_type", F.lit(1.0).alias("weight"), "metadata", order.alias("ord"))
 
 

@@ -311,3 +311,10 @@ def test_fusion_keeps_the_metadata_of_the_first_list(spark):
 
     assert {r.document_id: r.metadata for r in rrf(lists).collect()} == {"x": "mb", "y": "my"}
     assert {r.document_id: r.metadata for r in rrf(lists.drop("list_at")).collect()} == {"x": "ma", "y": "my"}
+
+
+def test_edges_of_large_document_ids_are_ordered(spark):
+    data = [(1 << 50, "x", ("t", ["B", "A"], None)), ((1 << 50) + 1, "y", ("t", ["A"], [("r", "A", "B")]))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, metadata struct<topic:string,entities:array<string>,relations:array<struct<relation:string,source:string,target:string>>>")
+    edges = G.build_graph(docs)[1]
+    assert {r.src: r.neighbors for r in G.adjacency(edges).collect()} == {"A": [str(1 << 50), str((1 << 50) + 1), "B"], "B": [str(1 << 50)]}
