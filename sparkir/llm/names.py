@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkir.operators.orphans import NODE_KEY, normal_key
-from sparkir.operators.skew import salted_join
+from sparkir.operators.skew import hot_keys, salted_join
 from sparkir.session import cut
 
 # Short forms of given names, in English use.
@@ -319,9 +319,10 @@ def link_names(names: DataFrame, q: int = 3, rows: int = 3, similarity: float =
         """Pairs by equal keys and initials; a node without an initial meets all of its keys."""
         columns = [*a.columns, *b.columns]
         columns = list(dict.fromkeys(c for c in columns if c not in on))
-        equal = salted_join(a.withColumn("__i", F.col("initial_a")), b.withColumn("__i", F.col("initial_b")), [*on, "__i"], F.col("node_a"), "inner").select(*columns)
-        left = salted_join(a.filter("initial_a <> ''"), b.filter("initial_b = ''"), on, F.col("node_a"), "inner").select(*columns)
-        right = salted_join(a.filter("initial_a = ''"), b.filter("initial_b <> ''"), on, F.col("node_a"), "inner").select(*columns)
+        hot = None if hot_keys(a, on) else []  # where no key is hot, none is with its initial
+        equal = salted_join(a.withColumn("__i", F.col("initial_a")), b.withColumn("__i", F.col("initial_b")), [*on, "__i"], F.col("node_a"), "inner", hot=hot).select(*columns)
+        left = salted_join(a.filter("initial_a <> ''"), b.filter("initial_b = ''"), on, F.col("node_a"), "inner", hot=hot).select(*columns)
+        right = salted_join(a.filter("initial_a = ''"), b.filter("initial_b <> ''"), on, F.col("node_a"), "inner", hot=hot).select(*columns)
         return equal.unionByName(left).unionByName(right)
 
     a, b = of("a"), of("b")
