@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkir.llm.terms import words
+from sparkir.llm.terms import WORD, words
 from sparkir.operators.skew import salted_join
 from sparkir.session import cut, stage
 
@@ -30,6 +30,11 @@ SHORT = 12
 #: Classes whose sketches are counted beforehand, to find keys that are far too large for a task.
 LOOK_AHEAD = 10_000_000
 SEEN = 1000
+#: Classes of one key that a task holds and compares, at most; about 15 MB.
+HELD = 200_000
+#: Keys of more rows are compared in blocks of rows, so many pairs at once; smaller ones side by side.
+SIDE_BY_SIDE = 24
+TILE = (64, 2048)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -99,16 +104,48 @@ def parities(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
 
 
+def _possible(t: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of columns of t (key, id, n, parity words) those whose sizes and parities allow the similarity."""
+    ids, n, p = t[1], t[2], t[3:].view(np.uint64)
+    ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (ids[i] != ids[j])
+    i, j = i[ok], j[ok]
+    most, apart = (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-9, np.zeros(len(i), np.int64)
+    for word in p:
+        apart += np.bitwise_count(word[i] ^ word[j])
+        ok = apart <= most
+        i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
+    return i, j
+
+
+def _in_tiles(t: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The possible pairs of the columns of t, which share a key: all with all in tiles, in the order of their sizes, so that
+    tiles of sizes too far apart are left out."""
+    t = t[:, np.argsort(t[2], kind="stable")]
+    n, first, rate = t[2], t[3].view(np.uint64), (1 - similarity) / (1 + similarity)
+    for lo in range(0, len(n), TILE[0]):
+        hi = min(lo + TILE[0], len(n))
+        end = int(np.searchsorted(n, (n[hi - 1] + 1e-9) / similarity + 1e-9, "right"))
+        for left in range(lo, end, TILE[1]):
+            right = min(left + TILE[1], end)
+            apart = np.bitwise_count(first[lo:hi, None] ^ first[None, left:right])
+            at = np.flatnonzero(apart <= min(64, int((n[hi - 1] + n[right - 1]) * rate + 1e-9)))
+            i, j = lo + at // (right - left), left + at % (right - left)
+            i, j = _possible(t, i[j > i], j[j > i], similarity)
+            if len(i):
+                yield t[1][i], t[1][j]
+
+
 def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(id, id_b), id < id_b, of rows (key, id, n, p0) that come sorted by key: pairs of one key whose sizes and first parity
-    words allow the similarity. A key of more than ``bucket`` rows is crowded: its rows come out with id_b null (-1).
+    """(id, id_b), id < id_b, of rows (key, id, n, p0, and more parity words if there are) that come sorted by key: pairs of one
+    key whose sizes and parity words allow the similarity. A key of more than ``bucket`` rows is crowded: its rows come out
+    with id_b null (-1).
 
     The rows are streamed; of an unfinished key no more than bucket + 1 are held."""
-    held = np.zeros((4, 0), np.int64)
+    held = None
     crowded = None  # the key whose further rows are known to be crowded
 
     def settle(t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, ids, n, p = t
+        key, ids = t[:2]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         sizes = np.diff(np.append(new, len(key)))
         run = np.repeat(sizes, sizes)
@@ -116,17 +153,24 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float)
         if many.any():
             yield ids[many], np.full(int(many.sum()), -1)
         end = np.repeat(new + sizes, sizes)
-        at = np.flatnonzero((run > 1) & ~many)
+        at = np.flatnonzero((run > 1) & (run <= SIDE_BY_SIDE) & ~many)
         for step in range(1, int(run[at].max(initial=1))):
             at = at[at + step < end[at]]
-            i, j = at, at + step
-            both = n[i] + n[j]
-            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count((p[i] ^ p[j]).view(np.uint64)) <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (ids[i] != ids[j])
-            i, j = i[ok], j[ok]
+            i, j = _possible(t, at, at + step, similarity)
             yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.flatnonzero((sizes > SIDE_BY_SIDE) & (sizes <= bucket)):
+            for x, y in _in_tiles(t[:, new[k] : new[k] + sizes[k]], similarity):
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+                if len(found) >= 100:  # a tile has at most 131,072 pairs
+                    yield tuple(np.concatenate(x) for x in zip(*found))
+                    found.clear()
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
 
     for b in batches:
-        t = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "id", "n", "p0")])
+        names = ("key", "id", "n", *sorted(x for x in b.schema.names if x[0] == "p"))
+        t = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
         if crowded is not None:
             same = t[0] == crowded
             if same.any():
@@ -134,7 +178,8 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float)
                 t = t[:, ~same]
             if t.shape[1]:
                 crowded = None
-        t = np.concatenate([held, t], 1)
+        if held is not None:
+            t = np.concatenate([held, t], 1)
         if not t.shape[1]:
             continue
         last = int(np.searchsorted(t[0], t[0][-1]))
@@ -143,8 +188,9 @@ def meetings(batches: Iterator[pa.RecordBatch], bucket: int, similarity: float)
         if held.shape[1] > bucket:
             crowded = int(held[0, 0])
             yield held[1], np.full(held.shape[1], -1)
-            held = np.zeros((4, 0), np.int64)
-    yield from settle(held)
+            held = held[:, :0]
+    if held is not None:
+        yield from settle(held)
 
 
 def matches_in_band(a: list[np.ndarray], b: list[np.ndarray], band: np.ndarray) -> np.ndarray:
@@ -184,8 +230,9 @@ def texts_as_words(documents: DataFrame, doc: str = "doc_id", text: str = "text"
     """(doc_id, seq, n, h1, h2): hashed words in order, the number of the distinct ones and the hash of their set; texts without
     a word are left out."""
     seq = F.transform(words(text), lambda w: F.xxhash64(w))
-    w = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), seq.alias("seq")).withColumn("bag", F.array_sort(F.array_distinct("seq")))
-    w = w.withColumn("n", F.size("bag")).filter("n > 0")
+    some = F.col(doc).isNotNull() & F.lower(F.col(text)).rlike(WORD)  # a filter on n would take every text apart twice
+    w = documents.filter(some).select(F.col(doc).cast("long").alias("doc_id"), seq.alias("seq")).withColumn("bag", F.sort_array(F.array_distinct("seq")))
+    w = w.withColumn("n", F.size("bag"))
     return w.select("doc_id", "seq", "n", F.xxhash64("bag").alias("h1"), F.xxhash64(F.lit(1), "bag").alias("h2"))
 
 
@@ -207,8 +254,8 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
 
     Rows of a sketch's key meet sorted in one stream. Before verification, pairs are pruned without loss by their sizes and by
     parity bitmaps: each word of only one side flips one bit, so more different bits than words allowed rule a pair out.
-    Keys of more than ``bucket`` classes are not paired as they are: their classes are paired by the rarest words of
-    which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than SHORT
+    Keys of more than ``bucket`` classes and a hundredth of all (at most HELD) are not paired as they are: their classes are
+    paired by the rarest words of which a similar pair must share one, exactly, salted where such a word is hot. So are texts of fewer than SHORT
     distinct words and those that can be similar to them, which are too short to be sampled.
 
     Verification aligns the distinct words in text order, in a band as wide as the similarity allows: what it pairs is shared,
@@ -245,22 +292,23 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
             runs, at = k_mers(flat(every), begin(every), k)
             of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(runs))))
             keys = np.concatenate([keys, order_sketches(labelled(runs, of), at, None, plain, plain_kept, 500)], axis=1)
-            p0 = parities(word.view(np.uint64), first.value_lengths().to_numpy(zero_copy_only=False))[:, 0]
+            odd = parities(word.view(np.uint64), first.value_lengths().to_numpy(zero_copy_only=False))
             row, key = np.repeat(np.arange(b.num_rows), keys.shape[1]), keys.ravel()
             ids, n = b.column("class_id").to_numpy(zero_copy_only=False)[row], b.column("n").to_numpy(zero_copy_only=False)[row].astype(np.int32)
             if len(hot):  # known to be crowded: spread over all tasks
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                 crowd = hot[at] == key
                 key, n = np.where(crowd, mix(ids, 77).view(np.int64), key), np.where(crowd, -1, n).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n), pa.array(p0[row])], names=["key", "id", "n", "p0"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n), *[pa.array(odd[row, i]) for i in range(PARITY_WORDS)]], names=["key", "id", "n", *[f"p{i}" for i in range(PARITY_WORDS)]])
 
-    bands = "key long, id long, n int, p0 long"
+    bands = "key long, id long, n int, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS))
+    most = max(bucket, min(HELD, total // 100))
     source = reps.select("class_id", "seq", F.array_distinct("seq").alias("firsts"), "n")
     hot = np.zeros(0, np.int64)
     if total > LOOK_AHEAD:  # keys that hold much more than a task should are looked for in a sample; they are crowded either way
         rate = ceil(total / LOOK_AHEAD)
         some = source.filter(F.pmod(F.xxhash64(F.lit(3), "class_id"), F.lit(rate)) == 0).mapInArrow(lambda t: sketch(t, np.zeros(0, np.int64)), bands)
-        found = some.groupBy("key").count().filter(F.col("count") > max(SEEN, 4 * bucket / rate)).select("key").collect()  # at most LOOK_AHEAD x sketches / SEEN
+        found = some.groupBy("key").count().filter(F.col("count") > max(SEEN, 4 * most / rate)).select("key").collect()  # at most LOOK_AHEAD x sketches / SEEN
         hot = np.array(sorted(r.key for r in found), np.int64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +322,7 @@ def near_duplicates(documents: DataFrame, least_words: int = 1, similarity: floa
                     yield b
 
         lost: list[np.ndarray] = []
-        for i, j in meetings(known(), bucket, similarity):
+        for i, j in meetings(known(), most, similarity):
             for ids in lost:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), -1))], names=["id", "id_b"])
             lost.clear()
@@ -351,11 +399,11 @@ def _by_rare_words(crowd: DataFrame, counts: DataFrame, similarity: float) -> Da
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: the pairs of documents behind pairs of classes, and those inside a class."""
     members = members.filter("paired").select("doc_id", "class_id")
-    members = cut(members)
+    members, pairs = cut(members), cut(pairs.select("class_a", "class_b"))  # the joins below read them more than once
     a = members.select(F.col("class_id").alias("class_a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("class_id").alias("class_b"), F.col("doc_id").alias("y"))
     # classes may be large: the members are split, the pairs of classes repeated
-    across = salted_join(a, pairs.select("class_a", "class_b"), ["class_a"], F.col("x"), "inner")
+    across = salted_join(a, pairs, ["class_a"], F.col("x"), "inner")
     across = salted_join(across, b, ["class_b"], F.col("x"), "inner").select("x", "y")
     inside = salted_join(members.withColumnRenamed("doc_id", "x"), members.withColumnRenamed("doc_id", "y"), ["class_id"], F.col("x"), "inner").filter("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

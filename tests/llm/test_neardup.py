@@ -192,3 +192,57 @@ def test_a_text_and_its_repetition_are_a_pair(spark, rows):
         data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words * 10, *[f"new{k}x{i}" for k in range(5)]]))]
         want.append((2 * i, 2 * i + 1))
     assert rows(D.document_pairs(*D.near_duplicates(make(spark, data), least_words=30))) == sorted(want, key=repr)
+
+
+def test_every_parity_word_rules_pairs_out():
+    import pyarrow as pa
+
+    for size in (2, 60):  # side by side, and in tiles
+        row = lambda p1: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([7] * size, list(range(size)), [40] * size, [5] * size, p1)], names=["key", "id", "n", "p0", "p1"])
+        pairs = lambda p1: sum(len(x) for x, _ in D.meetings(iter([row(p1)]), 100, 0.8))
+        assert pairs([9] * size) == size * (size - 1) // 2
+        assert pairs([0] + [2**20 - 1] * (size - 1)) == (size - 1) * (size - 2) // 2  # 20 words apart, of 8 allowed
+
+
+def test_large_keys_meet_as_small_ones_do():
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    m = 2300
+    n = r.integers(30, 60, m)
+    p = r.integers(0, 1 << 62, (4, 12), dtype=np.int64)[:, r.integers(0, 12, m)] ^ (1 << r.integers(0, 60, (4, m)))
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (np.full(m, 3), np.arange(m), n, *p)], names=["key", "id", "n", "p0", "p1", "p2", "p3"])
+    got = [(int(a), int(b)) for x, y in D.meetings((batch(slice(i, i + 700)) for i in range(0, m, 700)), m, 0.8) for a, b in zip(x, y)]
+    apart = sum(np.bitwise_count((w[:, None] ^ w[None, :]).view(np.uint64)).astype(int) for w in p)
+    ok = (np.minimum.outer(n, n) >= 0.8 * np.maximum.outer(n, n) - 1e-9) & (apart <= np.add.outer(n, n) / 9 + 1e-9)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(ok, 1)))))
+    assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_keys_that_grow_with_the_table_are_met_directly(spark, rows, monkeypatch):
+    data = []
+    for i in range(150):
+        words = [f"w{k}x{i}" for k in range(40)]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, f"only{i}"]))]
+    monkeypatch.setattr(D, "_by_rare_words", None)  # 300 classes: keys of up to three are no crowd
+    assert rows(D.document_pairs(*D.near_duplicates(make(spark, data), least_words=30, bucket=1))) == brute(data)
+
+
+def test_pairs_are_verified_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    members = spark.createDataFrame([(i, i, True) for i in range(1, 5)], "doc_id long, class_id long, paired boolean")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "class_a long, class_b long").mapInArrow(counted, "class_a long, class_b long")
+    assert sorted(map(tuple, D.document_pairs(members, pairs).collect())) == [(1, 2), (2, 3)]
+    assert seen.value == 2
+
+
+def test_texts_are_taken_apart_once(spark, rows):
+    w = D.texts_as_words(make(spark, [(1, "a b a"), (2, "--"), (3, None), (4, " "), (None, "a")]))
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert rows(w, "doc_id", "n") == [(1, 2)]
