@@ -143,19 +143,51 @@ def match_nodes(queries: DataFrame, nodes: DataFrame, document_type: str = "docu
     return q.join(n, "token").select("query_id", "node_id").distinct()
 
 
+def near_documents(starts: DataFrame, edges: DataFrame, documents: DataFrame, top_k: int, max_hops: int) -> DataFrame:
+    """(query_id, node_id, depth): of each query's starts (query_id, node_id) the top_k of documents (node_id) within max_hops,
+    by depth and id. A query that has them is not followed any farther, as what comes later is deeper."""
+    hop = stage(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct(), "hops")
+    frontier = stage(starts.select("query_id", "node_id").distinct(), "frontier")
+    seen, out = frontier, None
+    for depth in range(max_hops + 1):
+        if depth:
+            found = frontier.join(hop, "node_id").select("query_id", F.col("next").alias("node_id")).distinct()
+            frontier = stage(found.join(seen, ["query_id", "node_id"], "left_anti"), "frontier")
+            seen = seen.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))
+        here = frontier.join(documents, "node_id", "left_semi").withColumn("r", first).filter(F.col("r") <= top_k)
+        here = stage(here.select("query_id", "node_id", F.lit(depth).alias("depth")), "near")
+        out = here if out is None else out.unionByName(here)
+        if depth < max_hops:
+            enough = out.groupBy("query_id").count().filter(F.col("count") >= top_k)
+            frontier = frontier.join(enough, "query_id", "left_anti")
+    if out is None:
+        return starts.select("query_id", "node_id", F.lit(0).alias("depth")).limit(0)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "node_id"))
+    return out.withColumn("r", best).filter(F.col("r") <= top_k).drop("r")
+
+
 def graph_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10, max_hops: int = 2, starts: DataFrame | None = None,
                    document_type: str = "document", values_only: bool = False) -> DataFrame:
     """(query_id, document_id, score, rank): documents within max_hops of a matching node, by 1 / (hops + 1).
 
     starts (node_id) restricts the matching nodes. Ties: the smaller id as a string.
+
+    The search goes by token, not by query: of a query's best documents each is as near to one of its tokens, and as what is
+    better for that token is better for the query, it is among the token's best. So only those meet the queries.
     """
     checks.whole("top_k", top_k)
-    begin = match_nodes(queries, nodes, document_type, values_only)
+    asked = queries.select("query_id", F.explode(ascii_tokens("text")).alias("token"))
+    named = node_tokens(nodes.filter((F.col("node_type") != document_type) | F.col("node_type").isNull()), values_only)
+    begin = named.join(asked.select("token").distinct(), "token", "left_semi").select(F.col("token").alias("query_id"), "node_id")
     if starts is not None:
         begin = begin.join(starts.select("node_id").distinct(), "node_id", "left_semi")
     docs = nodes.filter(F.col("node_type") == document_type).select("node_id")
-    hit = bfs(begin, edges, max_hops).join(docs, "node_id", "left_semi")
-    return ranked(hit.select("query_id", F.col("node_id").alias("document_id"), (F.lit(1.0) / (F.col("depth") + 1)).alias("score")), top_k, "document_id")
+    near = near_documents(begin, edges, docs, top_k, max_hops).withColumnRenamed("query_id", "token")
+    hit = asked.join(near, "token").groupBy("query_id", F.col("node_id").alias("document_id")).agg(F.min("depth").alias("depth"))
+    return ranked(hit.select("query_id", "document_id", (F.lit(1.0) / (F.col("depth") + 1)).alias("score")), top_k, "document_id")
 
 
 def normal_value(c: Column) -> Column:

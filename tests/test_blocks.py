@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkir.functions.text import Analyzer
-from sparkir.operators import blocks, index, lexical, matching
+from sparkir.operators import blocks, graph, index, lexical, matching, ranking
 
 PLAIN = Analyzer(stem=False)
 
@@ -53,3 +53,24 @@ def test_queries_go_in_groups(spark, rows, corpus, monkeypatch):
     i = index.build_index(docs, PLAIN, True)
     assert len(list(blocks.grouped(matching.query_terms(queries, PLAIN)))) > 3
     assert rows(lexical.search(queries, i, "OR", 5).select("query_id", "doc_id", "rank")) == rows(joined(docs, queries, "OR", 5).select("query_id", "doc_id", "rank"))
+
+
+def test_graph_search_goes_by_token(spark, rows, monkeypatch):
+    """Many queries of the same words are one search each; answers are those of a search for every query."""
+    r = random.Random(5)
+    ends = [f"d{i}" for i in range(60)] + [f"word{i % 6} name{i}" for i in range(40)]
+    nodes = spark.createDataFrame([(n, "document" if n[0] == "d" else "entity", "{}") for n in ends], "node_id string, node_type string, metadata string")
+    edges = spark.createDataFrame([(r.choice(ends[60:]), r.choice(ends[:60] if r.random() < 0.3 else ends), i) for i in range(150)], "src string, dst string, ord long")
+    edges = edges.filter("src <> dst")
+    queries = spark.createDataFrame([(i, r.choice(["word1", "word2 name3", "word3 word4 unknown", "name7"])) for i in range(80)], "query_id long, text string")
+    reach = graph.bfs(graph.match_nodes(queries, nodes), edges, 2).join(nodes.filter("node_type = 'document'").select("node_id"), "node_id", "left_semi")
+    kept = []
+    for name in ("stage", "cut"):
+        real = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, *a, real=real: (lambda out: (kept.append(out.count()), out)[1])(real(df, *a)))
+    for k in (2, 5, 100):
+        found = graph.graph_retrieve(queries, nodes, edges, k, 2)
+        score = reach.select("query_id", F.col("node_id").alias("document_id"), (F.lit(1.0) / (F.col("depth") + 1)).alias("score"))
+        assert rows(found.select("query_id", "document_id", "score", "rank")) == rows(ranking.ranked(score, k, "document_id").select("query_id", "document_id", "score", "rank"))
+        assert sum(kept) < 1500  # edges, and nodes by the six tokens; 80 queries reach more than that each hop
+        kept.clear()
