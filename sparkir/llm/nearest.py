@@ -16,11 +16,11 @@ from math import acos, ceil, comb, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkir.operators.skew import salted_join
-from sparkir.session import cut, stage
+from sparkir.session import stage, unstage
 
 #: Bits that candidates are held against each other by, in words of 64.
 WORD = 64
@@ -29,6 +29,11 @@ CROWDED = 1000
 #: Vectors of a block of the exact comparison, and at most so many cells that blocks are made of.
 BLOCK = 4096
 CELLS = 256
+#: Entries of the index that are sorted at a time: so many, or so many per vector. What they take of the disk is freed between.
+PASS = 2_500_000
+PASS_EACH = 2
+#: At most so many numbers, and a fifth as many names, are broadcast: some megabytes.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -104,6 +109,22 @@ def usual_cosine(sample: np.ndarray, k: int, share: float = 0.05, seed: int = 6)
     return float(np.clip(np.quantile(-np.partition(-c, k - 1, axis=1)[:, k - 1], share), 0.1, 0.999)) if k > 0 else 0.5
 
 
+def merged(df: DataFrame, key: str, merge) -> DataFrame:
+    """df with merge(rows) of the rows whose key is not theirs alone. Where those keys are few, the other rows are not moved."""
+    often = stage(df.groupBy(key).count().filter("count > 1").select(key), "repeated")
+    n = often.limit(FEW // 5 + 1).count()
+    if not n:
+        return df
+    if n > FEW // 5:
+        return merge(df)
+    return df.join(F.broadcast(often), key, "left_anti").unionByName(merge(df.join(F.broadcast(often), key, "left_semi")))
+
+
+def chosen(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is in ids (id, distinct), moved only where ids are many."""
+    return df.join(F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids, "id", "left_semi")
+
+
 def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str = "vec_id", order: str = "ord", embedding: str = "embedding") -> DataFrame:
     """(vec_id, embedding): of each id the row of greatest ord (ties: the greater embedding), if it is comparable.
 
@@ -111,7 +132,7 @@ def usable_vectors(vectors: DataFrame, dimension: int | None = None, vec_id: str
     or infinite values, or all zero, are left out; repeated rows count once.
     """
     v = vectors.filter(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("string").alias("vec_id"), F.struct(F.col(order), F.col(embedding).cast("array<double>").alias("embedding")).alias("v"))
-    v = v.groupBy("vec_id").agg(F.max("v").alias("v")).select("vec_id", "v.embedding").filter("embedding IS NOT NULL")
+    v = merged(v, "vec_id", lambda r: r.groupBy("vec_id").agg(F.max("v").alias("v"))).select("vec_id", "v.embedding").filter("embedding IS NOT NULL")
     if dimension is None:
         top = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         dimension = top["n"] if top else 0
@@ -169,6 +190,54 @@ def _encoded(index: DataFrame, plan: Plan, mean: np.ndarray, matrix: np.ndarray,
     return index.select("id", "embedding").mapInArrow(encode, "key long, id long, " + ", ".join(f"c{w} long" for w in range(words)))
 
 
+def _codes(entries: DataFrame, plan: Plan, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """(id, w0, w1...): every bit of the index, and those that candidates are held against each other by, in words of 64."""
+    shared, n = entries.sparkSession.sparkContext.broadcast((mean, matrix)), -(-matrix.shape[1] // WORD)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, matrix = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                bit = np.zeros((len(x), n * WORD), bool)
+                bit[:, : matrix.shape[1]] = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ matrix > 0
+                word = np.packbits(bit, axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(np.ascontiguousarray(word[:, w])) for w in range(n)]], names=["id", *[f"w{w}" for w in range(n)]])
+
+    return entries.select("id", "embedding").mapInArrow(encode, "id long, " + ", ".join(f"w{w} long" for w in range(n)))
+
+
+def _key(plan: Plan, j: int) -> Column:
+    """The key of substring j: its value and its number."""
+    w, off = divmod(j * plan.bits, WORD)
+    value = F.shiftrightunsigned(f"w{w}", off)
+    if off + plan.bits > WORD:
+        value = value.bitwiseOR(F.shiftleft(f"w{w + 1}", WORD - off))
+    return value.bitwiseAND(F.lit((1 << plan.bits) - 1)) * F.lit(plan.substrings) + F.lit(j)
+
+
+def _met(codes: DataFrame, rows: int, plan: Plan, words: int, crowded: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs (id, id_b), id < id_b, that agree in a substring and differ in few bits, and the ids (id) in crowded buckets,
+    None without any. A few substrings are sorted at a time, and only what they find is kept."""
+    each = max(1, max(PASS, PASS_EACH * rows) // rows)
+    pairs = close = None
+    for lo in range(0, plan.substrings, each):
+        keys = F.explode(F.array(*[_key(plan, j) for j in range(lo, min(lo + each, plan.substrings))]))
+        entries = codes.select(keys.alias("key"), "id", *[f"w{w}" for w in range(words)])
+        full = stage(entries.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded")
+        if not full.isEmpty():
+            ids = stage(entries.join(full, "key", "left_semi").select("id").distinct(), "crowded")
+            close = ids if close is None else close.unionByName(ids)
+            entries = entries.join(full, "key", "left_anti")  # fewer than rows x substrings / crowded keys
+        sides = [entries.select("key", F.col("id").alias(f"id_{s}"), *[F.col(f"w{w}").alias(f"w{w}_{s}") for w in range(words)]) for s in "ab"]
+        differ = sum((F.bit_count(F.col(f"w{w}_a").bitwiseXOR(F.col(f"w{w}_b"))) for w in range(1, words)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+        near = sides[0].hint("merge").join(sides[1], "key").filter((F.col("id_a") < F.col("id_b")) & (differ <= plan.most_apart))
+        part = stage(near.select(F.col("id_a").alias("id"), "id_b").distinct(), "met")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs, close if close is None else close.distinct()
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)), -1.0, 1.0)
 
@@ -240,8 +309,8 @@ def exact_neighbours(vectors: DataFrame, k: int, least: float | None = None) ->
     return met.groupBy("pair").applyInArrow(best, "id long, id_b long, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall: float = 0.999, radius: int = 0, spread: float = 3.5, per_bucket: float = 4,
-            words: int = 1, least: float | None = None, queries: DataFrame | None = None, fit_rows: int = 10_000, crowded: int = CROWDED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall: float = 0.999, radius: int = 0, spread: float = 7.0, per_bucket: float = 4,
+            words: int = 3, least: float | None = None, queries: DataFrame | None = None, fit_rows: int = 10_000, crowded: int = CROWDED) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the k most similar other vectors of each query vector, ties by neighbour id.
 
     vectors is (vec_id, embedding), as `usable_vectors` gives it; queries (vec_id) restricts whose neighbours come out,
@@ -256,7 +325,7 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall:
     """
     named = stage(vectors.withColumn("class", F.xxhash64("embedding")).select("vec_id", "class", "embedding"), "vectors")
     members = named.select("vec_id", "class")
-    entries = stage(named.groupBy("class").agg(F.min("embedding").alias("embedding")).withColumnRenamed("class", "id"), "entries")
+    entries = merged(named.select(F.col("class").alias("id"), "embedding"), "id", lambda r: r.groupBy("id").agg(F.min("embedding").alias("embedding")))
     rows = entries.count()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "vec_id string, neighbour string, cosine double, rank int")
@@ -265,20 +334,27 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall:
     if queries is not None:
         ids = members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
         asked = stage(entries.join(ids.select(F.col("class").alias("id")).distinct(), "id", "left_semi"), "asked")
-    stored = _encoded(entries, plan, mean, matrix, words, False)
-    full = cut(stored.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
-    some = not full.isEmpty()
-    cold = stored.join(full, "key", "left_anti") if some else stored  # fewer than rows x substrings / crowded keys
-    codes = [f"c{w}" for w in range(words)]
-    other = cold.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in codes])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in codes[1:]), F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_b"))))
-    if queries is None:  # probing with the same radius from both ends is not needed: without probes each pair meets once
-        first = cold if not plan.radius else _encoded(entries, plan, mean, matrix, words, True)
-        pairs = first.hint("merge").join(other, "key").filter((F.col("id") < F.col("id_b")) & (differ <= plan.most_apart))
+    by_pair = queries is None and not plan.radius  # without probes each pair meets once
+    if by_pair:
+        codes = stage(_codes(entries, plan, mean, matrix), "codes")
+        pairs, close = _met(codes, rows, plan, words, crowded)
+        unstage(codes)
+        pairs = stage(pairs.distinct(), "pairs")
+        some = close is not None
+        asked = chosen(entries, stage(pairs.select("id").union(pairs.select("id_b")).distinct(), "met"))
+        others = asked
     else:
-        pairs = _encoded(asked, plan, mean, matrix, words, True).hint("merge").join(other, "key").filter((F.col("id") != F.col("id_b")) & (differ <= plan.most_apart))
+        stored = _encoded(entries, plan, mean, matrix, words, False)
+        full = stage(stored.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded")
+        some, others = not full.isEmpty(), entries
+        cold = stored.join(full, "key", "left_anti") if some else stored  # fewer than rows x substrings / crowded keys
+        codes = [f"c{w}" for w in range(words)]
+        other = cold.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in codes])
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in codes[1:]), F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_b"))))
+        apart = F.col("id") < F.col("id_b") if queries is None else F.col("id") != F.col("id_b")
+        pairs = _encoded(asked, plan, mean, matrix, words, True).hint("merge").join(other, "key").filter(apart & (differ <= plan.most_apart)).select("id", "id_b").distinct()
     a = asked.select("id", F.col("embedding").alias("x"))
-    b = entries.select(F.col("id").alias("id_b"), F.col("embedding").alias("y"))
+    b = others.select(F.col("id").alias("id_b"), F.col("embedding").alias("y"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -286,15 +362,15 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float | None = 0.95, recall:
                 x, y = (t.column(c).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in "xy")
                 yield pa.RecordBatch.from_arrays([t.column("id"), t.column("id_b"), pa.array(cosines(x, y))], names=["id", "id_b", "cosine"])
 
-    scored = pairs.select("id", "id_b").distinct().join(a, "id").join(b, "id_b").select("id", "id_b", "x", "y").mapInArrow(score, "id long, id_b long, cosine double")
+    scored = pairs.join(a, "id").join(b, "id_b").select("id", "id_b", "x", "y").mapInArrow(score, "id long, id_b long, cosine double")
     if least is not None:
         scored = scored.filter(F.col("cosine") >= least)
     if queries is None:
-        scored = cut(scored)
+        scored = stage(scored, "scored")
         scored = scored.unionByName(scored.select(F.col("id_b").alias("id"), F.col("id").alias("id_b"), "cosine"))
     if some:
-        close = stored.join(full, "key", "left_semi").select("id").distinct().withColumn("asked", F.lit(queries is None))
-        if queries is not None or plan.radius:
+        close = (close if by_pair else stored.join(full, "key", "left_semi").select("id").distinct()).withColumn("asked", F.lit(queries is None))
+        if not by_pair:
             probed = _encoded(asked, plan, mean, matrix, words, True).join(full, "key", "left_semi").select("id").distinct()
             close = close.unionByName(probed.withColumn("asked", F.lit(True))).groupBy("id").agg(F.max("asked").alias("asked"))
         exact = exact_neighbours(stage(entries.join(close, "id"), "crowded"), k, least)

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparkir.llm import nearest as N
 
 SCHEMA = "vec_id string, ord long, embedding array<double>, id long, cosine double"
@@ -112,3 +114,30 @@ def test_plans_reach_their_recall():
         p = N.substrings_for(rows, 0.1, 0.999, 1, 4.5)
         assert 8 <= p.bits <= 41 and p.substrings >= 2
     assert p.bits == 40
+
+
+def test_passes_find_what_one_finds_and_leave_no_index(spark, rows, monkeypatch):
+    """Substrings are sorted a few at a time; the index is gone and only what was found is kept when the next are."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(150, 16))
+    x = np.concatenate([base, base + 0.05 * r.normal(size=base.shape)])
+    v = N.usable_vectors(frame(spark, [(str(i), i, e.tolist()) for i, e in enumerate(x)])).cache()
+    want = rows(N.close_pairs(N.nearest(v, least=0.95)))
+    sizes, real = [], N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name="stage": (sizes.append((name, df.count())), real(df, name))[1])
+    monkeypatch.setattr(N, "PASS", 1)
+    monkeypatch.setattr(N, "PASS_EACH", 1)
+    assert rows(N.close_pairs(N.nearest(v, least=0.95))) == want and len(want) >= 140
+    found = [n for name, n in sizes if name == "met"]
+    assert len(found) > 3 and max(found) <= 600  # pairs of few bits apart, not entries of the index
+
+
+def test_keys_are_the_bits_of_substrings(spark):
+    r = np.random.default_rng(9)
+    x, matrix = r.normal(size=(20, 8)), r.normal(size=(8, 8 * 30))
+    plan = N.Plan(11, 20, 0, 64)
+    entries = frame(spark, [(str(i), i, e.tolist()) for i, e in enumerate(x)]).select(F.col("ord").alias("id"), "embedding")
+    got = N._codes(entries, plan, np.zeros(8), matrix).select("id", *[N._key(plan, j).alias(f"k{j}") for j in range(20)]).orderBy("id").collect()
+    bits = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix > 0
+    want = [[int((bits[i, j * 11 : j * 11 + 11] << np.arange(11)).sum()) * 20 + j for j in range(20)] for i in range(20)]
+    assert [list(g)[1:] for g in got] == want
