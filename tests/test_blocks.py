@@ -74,3 +74,13 @@ def test_graph_search_goes_by_token(spark, rows, monkeypatch):
         assert rows(found.select("query_id", "document_id", "score", "rank")) == rows(ranking.ranked(score, k, "document_id").select("query_id", "document_id", "score", "rank"))
         assert sum(kept) < 1500  # edges, and nodes by the six tokens; 80 queries reach more than that each hop
         kept.clear()
+
+
+def test_postings_are_not_broadcast(spark, rows, corpus):
+    """Spark expects exploded texts to be small; term frequencies do not rely on that."""
+    docs, _ = corpus
+    wanted = docs.select("doc_id", F.explode(F.array(F.lit("w0"), F.lit("w1ish"))).alias("term"))
+    got = index.term_frequency(index.build_index(docs, PLAIN).postings, wanted, F.regexp_replace("term", "ish$", ""))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    assert rows(got.select("doc_id", "term", "tf")) == sorted(((d, t, texts[d].count(t.removesuffix("ish"))) for d in texts for t in ("w0", "w1ish")), key=repr)
