@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkir.functions import checks
 from sparkir.functions.text import Analyzer
+from sparkir.operators import blocks
 
 
 def check_queries(queries: DataFrame) -> DataFrame:
@@ -211,6 +212,13 @@ def phrase_matches(phrases: DataFrame, toks: DataFrame) -> DataFrame:
     return hits.join(sizes, "query_id").filter("hit = n").select("query_id", "doc_id").distinct()
 
 
+def phrase_documents(phrases: DataFrame, documents: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """`phrase_matches` over documents (doc_id, text) of unique ids: every document meets all phrases where it is read."""
+    if not blocks.can_pack(documents):
+        return phrase_matches(phrases, documents.select("doc_id", F.posexplode(analyzer("text")).alias("pos", "term")))
+    return blocks.phrases_in(phrases, documents.select("doc_id", analyzer("text").alias("terms")))
+
+
 def fuzzy_matches(terms: DataFrame, vocab: DataFrame, max_distance: int = 1, q: int = 2) -> DataFrame:
     """(query_id, term, match) for a batch of terms (query_id, term): the vocabulary within max_distance edits.
 

@@ -158,7 +158,7 @@ QUERIES = {
     "bool_and": lambda s, d: (matching.Term("query") & matching.Term("index")).evaluate(idx(s, d).postings),
     "bool_or": lambda s, d: (matching.Term("query") | matching.Term("evidence")).evaluate(idx(s, d).postings),
     "bool_not": lambda s, d: matching.Not(matching.Term("query"), docs(s, d)).evaluate(idx(s, d).postings),
-    "phrase_match": lambda s, d: matching.phrase_matches(q_terms(s, d), idx(s, d).tokens),
+    "phrase_match": lambda s, d: matching.phrase_documents(q_terms(s, d), docs(s, d), PLAIN),
     "phrase_single": lambda s, d: matching.Phrase(["dense", "retrieval"]).evaluate(idx(s, d).tokens),
     "prefix_match": lambda s, d: matching.Prefix("omniquer").evaluate(idx(s, d).postings),
     "wildcard_match": lambda s, d: matching.Wildcard("co?a*map").evaluate(idx(s, d).postings),

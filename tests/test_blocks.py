@@ -84,3 +84,16 @@ def test_postings_are_not_broadcast(spark, rows, corpus):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
     assert rows(got.select("doc_id", "term", "tf")) == sorted(((d, t, texts[d].count(t.removesuffix("ish"))) for d in texts for t in ("w0", "w1ish")), key=repr)
+
+
+def test_phrases_in_blocks(spark, rows, corpus, monkeypatch):
+    """Repeated words, gaps between documents, unknown words; nothing is joined or moved."""
+    docs, queries = corpus
+    monkeypatch.setattr(blocks, "HELD", 500)
+    more = spark.createDataFrame([(200, "w0 w0"), (201, "w0 w1 w0"), (202, "w1 nowhere"), (203, "w2")], "query_id long, text string")
+    phrases = matching.query_terms(queries.unionByName(more), PLAIN)
+    found = matching.phrase_documents(phrases, docs, PLAIN)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    want = rows(matching.phrase_matches(phrases, index.build_index(docs, PLAIN).tokens))
+    assert rows(found) == want and len({q for q, _ in want} & {200, 201, 203}) == 3
