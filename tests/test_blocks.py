@@ -97,3 +97,13 @@ def test_phrases_in_blocks(spark, rows, corpus, monkeypatch):
     assert "Join" not in plan and "Exchange" not in plan
     want = rows(matching.phrase_matches(phrases, index.build_index(docs, PLAIN).tokens))
     assert rows(found) == want and len({q for q, _ in want} & {200, 201, 203}) == 3
+
+
+def test_candidates_of_packed_postings(spark, rows, corpus, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setattr(blocks, "HELD", 500)
+    terms, plain, kept = matching.query_terms(queries, PLAIN), index.build_index(docs, PLAIN), index.build_index(docs, PLAIN, True)
+    found = matching.candidates(terms, kept.postings, kept.packed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert rows(found) == rows(matching.candidates(terms, plain.postings))
