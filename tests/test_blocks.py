@@ -107,3 +107,14 @@ def test_candidates_of_packed_postings(spark, rows, corpus, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert rows(found) == rows(matching.candidates(terms, plain.postings))
+
+
+def test_tfidf_of_packed_postings(spark, rows, corpus, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setattr(blocks, "HELD", 500)
+    terms, round9 = matching.query_terms(queries, PLAIN), [F.round(c, 9) for c in ("idf", "tfidf")]
+    found = ranking.tfidf_scores(terms, index.build_index(docs, PLAIN, True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    want = ranking.tfidf_scores(terms, index.build_index(docs, PLAIN))
+    assert rows(found.select("query_id", "doc_id", "term", "tf", *round9)) == rows(want.select("query_id", "doc_id", "term", "tf", *round9))
