@@ -91,17 +91,19 @@ def _equals(json: Column, path: str, value) -> Column:
     return same
 
 
-#: Queries that are sent to every task of the store: some megabytes. More meet the store in blocks.
-SENT = 8192
+#: Values of query vectors that are sent to every task of the store: some megabytes. More meet the store in blocks.
+SENT = 1 << 22
+#: Scores that are looked at at a time.
+CELL = 1 << 22
 
 
-def exact_knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, block: int = SENT, part_rows: int = 200_000) -> DataFrame:
+def exact_knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, block: int | None = None, part_rows: int = 200_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors of the store for each of queries (query_id, embedding).
 
     Cosine and dot go down, euclidean goes up; ties by ord, then id. ``where`` filters the store before anything is
     scored. A vector of another dimension, or a zero vector under cosine, fails the query, as an empty store gives no rows.
 
-    Up to ``block`` queries go to every task, which scans its part of the store once with matrix products and keeps k rows per
+    Up to ``block`` queries (by default as many as have SENT values, or places in the answer) go to every task, which scans its part of the store once with matrix products and keeps k rows per
     query, so k x tasks rows per query are shuffled, not all pairs. More queries are cut into blocks and the store into parts of
     about ``part_rows``; every block meets every part in a task of its own, without the driver.
     """
@@ -112,12 +114,15 @@ def exact_knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
     kind = dict(queries.dtypes)["query_id"]
     schema = f"query_id {kind}, vec_id string, ord long, score double"
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e"))
+    if block is None:
+        one = q.first()
+        block = max(1, SENT // max(1, len(one.e or ()), k)) if one else 1
     held = q.limit(block + 1).collect()  # a bounded number
     if not held:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, vec_id string, score double, rank int")
     if len(held) <= block:
         shared = rows.sparkSession.sparkContext.broadcast(([r.query_id for r in held], _checked(np.array([r.e for r in held], dtype=float), metric)))
-        out = rows.mapInArrow(lambda batches: _best(shared.value, batches, k, metric), schema)
+        out = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(lambda batches: _best(shared.value, batches, k, metric), schema)
     else:
         total, size = q.count(), rows.count()
         blocks, parts = -(-total // block), max(1, -(-size // part_rows))
@@ -147,11 +152,11 @@ def _checked(wanted: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(asked: tuple[list, np.ndarray], batches: Iterator[pa.RecordBatch], k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """(query_id, vec_id, ord, score): the k best rows of the batches for each query."""
+    """(query_id, vec_id, ord, score): the k best rows of the batches for each query, some queries at a time."""
     ids, wanted = asked
     size = np.linalg.norm(wanted, axis=1)
-    best = [np.empty(0)] * len(ids)
-    held: list[list] = [[] for _ in ids]
+    score, place, name = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -1, np.int64)
+    names: list[str] = []
     for b in batches:
         if not b.num_rows:
             continue
@@ -159,33 +164,44 @@ def _best(asked: tuple[list, np.ndarray], batches: Iterator[pa.RecordBatch], k:
         if e.null_count or set(e.value_lengths().to_numpy(zero_copy_only=False)) != {wanted.shape[1]}:
             raise ValueError("vectors must have the dimension of the queries")
         x = e.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        names, order = b.column("vec_id").to_pylist(), b.column("ord").to_numpy(zero_copy_only=False)
-        if metric == "cosine":
-            norm = np.linalg.norm(x, axis=1)
-            if not norm.all():
-                raise ValueError("a zero vector has no direction")
-            s = (wanted @ x.T) / (size[:, None] * norm[None, :])
-        elif metric == "dot":
-            s = wanted @ x.T
-        else:
-            s = -np.sqrt(np.maximum(((wanted**2).sum(1)[:, None] - 2 * wanted @ x.T + (x**2).sum(1)[None, :]), 0))
-        s = np.round(s, 9)
-        for i in range(len(ids)):
-            if len(held[i]) >= k:  # anything not worse than the k-th so far stays in the running
-                at = np.flatnonzero(s[i] >= best[i])
-            elif b.num_rows > k:
-                at = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
-            else:
-                at = np.arange(b.num_rows)
-            if len(at):
-                held[i] = sorted(held[i] + [(-s[i, j], order[j], names[j]) for j in at])[:k]
-                if len(held[i]) == k:
-                    best[i] = -held[i][-1][0]
-    out = [(ids[i], n, int(o), -float(v)) for i in range(len(ids)) for v, o, n in held[i]]
-    if out:
-        cols = list(zip(*out))
-        sign = -1.0 if metric == "euclidean" else 1.0
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array([sign * v + 0.0 for v in cols[3]])], names=["query_id", "vec_id", "ord", "score"])
+        norm = np.linalg.norm(x, axis=1)
+        if metric == "cosine" and not norm.all():
+            raise ValueError("a zero vector has no direction")
+        first, order = len(names), b.column("ord").to_numpy(zero_copy_only=False)
+        names += b.column("vec_id").to_pylist()
+        for lo in range(0, len(ids), per := max(1, CELL // b.num_rows)):
+            w = wanted[lo : lo + per]
+            s = w @ x.T
+            if metric == "cosine":
+                s /= size[lo : lo + per, None] * norm[None, :]
+            elif metric == "euclidean":
+                s = -np.sqrt(np.maximum((w**2).sum(1)[:, None] - 2 * s + (x**2).sum(1)[None, :], 0))
+            bar = score[lo : lo + per, -1].copy()  # anything not worse than the k-th so far stays in the running
+            open_ = bar == -np.inf
+            if open_.any() and b.num_rows > k:
+                bar[open_] = np.partition(s[open_], b.num_rows - k, axis=1)[:, b.num_rows - k]
+            i, j = np.nonzero(s >= bar[:, None] - 2e-9)
+            if not len(i):
+                continue
+            who = np.unique(i)
+            old = name[lo + who] >= 0
+            q = np.concatenate([np.repeat(who, old.sum(1)), i])
+            v = np.concatenate([score[lo + who][old], np.round(s[i, j], 9)])
+            o, n = np.concatenate([place[lo + who][old], order[j]]), np.concatenate([name[lo + who][old], first + j])
+            by = np.lexsort((o, -v, q))
+            if ((np.diff(q[by]) == 0) & (np.diff(v[by]) == 0) & (np.diff(o[by]) == 0)).any():  # ids decide
+                by = np.array(sorted(by, key=lambda t: (q[t], -v[t], o[t], names[n[t]])))
+            q, v, o, n = q[by], v[by], o[by], n[by]
+            at = np.arange(len(q))
+            rank = at - np.maximum.accumulate(np.where(np.concatenate([[True], q[1:] != q[:-1]]), at, 0))
+            q, v, o, n, rank = (c[rank < k] for c in (q, v, o, n, rank))
+            score[lo + q, rank], place[lo + q, rank], name[lo + q, rank] = v, o, n
+    sign, kept, known = -1.0 if metric == "euclidean" else 1.0, name >= 0, pa.array(ids)
+    for lo in range(0, len(ids), per := max(1, 100_000 // k)):
+        own = kept[lo : lo + per]
+        if own.any():
+            q, c = np.nonzero(own)
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(lo + q)), pa.array([names[t] for t in name[lo + q, c]], pa.string()), pa.array(place[lo + q, c], pa.int64()), pa.array(sign * score[lo + q, c] + 0.0)], names=["query_id", "vec_id", "ord", "score"])
 
 
 def embed_documents(documents: DataFrame, embed) -> DataFrame:

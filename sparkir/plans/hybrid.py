@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkir.functions import checks
 from sparkir.operators.ranking import rrf
 from sparkir.plans.planning import MODES, plan
+from sparkir.session import stage
 
 #: (queries (query_id, text), candidate_k) -> (query_id, document_id, score, rank)
 Retriever = Callable[[DataFrame, int], DataFrame]
@@ -51,6 +52,7 @@ class HybridRetriever:
             asked = planned.filter(F.array_contains("enabled_modes", mode)).select("query_id", "text")
             part = retrieve(asked, max(top_k, top_k * self.multiplier))
             carried = ["metadata"] if "metadata" in part.columns else []
+            part = stage(part, mode)  # a few rows per query, and what ranked them is freed
             part = part.select("query_id", F.lit(mode).alias("list"), F.lit(at).alias("list_at"), F.col("document_id").cast("string").alias("document_id"), "rank", *carried)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkir.functions.text import Analyzer
-from sparkir.operators import blocks, graph, index, lexical, matching, ranking
+from sparkir.operators import blocks, dense, graph, index, lexical, matching, ranking
 
 PLAIN = Analyzer(stem=False)
 
@@ -118,3 +119,26 @@ def test_tfidf_of_packed_postings(spark, rows, corpus, monkeypatch):
     assert "Join" not in plan and "Exchange" not in plan
     want = ranking.tfidf_scores(terms, index.build_index(docs, PLAIN))
     assert rows(found.select("query_id", "doc_id", "term", "tf", *round9)) == rows(want.select("query_id", "doc_id", "term", "tf", *round9))
+
+
+def test_many_short_query_vectors_are_sent_whole(spark, rows):
+    """What is sent is bounded by values, not by queries: vectors do not meet 8,193 short queries in copies."""
+    r = np.random.default_rng(4)
+    x, q = r.integers(1, 4, (40, 3)).astype(float), r.integers(1, 4, (8193, 3)).astype(float)
+    store = spark.createDataFrame([(f"v{i}", i, e.tolist()) for i, e in enumerate(x)], "vec_id string, ord long, embedding array<double>")
+    queries = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(q)], "query_id long, embedding array<double>")
+    found = dense.exact_knn(store, queries, 3)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    c = np.round(q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :], 9)
+    want = [(i, f"v{j}") for i in range(len(q)) for j in np.lexsort((np.arange(40), -c[i]))[:3]]
+    assert rows(found.select("query_id", "vec_id")) == sorted(want, key=repr)
+
+
+def test_whole_lists_join_no_postings(spark, rows, corpus, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setattr(blocks, "HELD", 300)
+    terms = matching.query_terms(queries, PLAIN)
+    found = lexical.BM25Retriever(index.build_index(docs, PLAIN, True)).retrieve(terms)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = lexical.BM25Retriever(index.build_index(docs, PLAIN)).retrieve(terms)
+    assert rows(found.withColumn("score", F.round("score", 8))) == rows(want.withColumn("score", F.round("score", 8)))
