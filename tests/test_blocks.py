@@ -142,3 +142,13 @@ def test_whole_lists_join_no_postings(spark, rows, corpus, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     want = lexical.BM25Retriever(index.build_index(docs, PLAIN)).retrieve(terms)
     assert rows(found.withColumn("score", F.round("score", 8))) == rows(want.withColumn("score", F.round("score", 8)))
+
+
+def test_saved_index_is_packed_and_answers_alike(spark, rows, corpus, tmp_path):
+    docs, queries = corpus
+    kept = index.build_index(docs, PLAIN, True)
+    kept.write(str(tmp_path))
+    back = index.Index.read(spark, str(tmp_path), PLAIN)
+    assert blocks.can_pack(back.packed) and not (tmp_path / "postings").exists()
+    assert rows(back.postings.select("term", "doc_id", "tf")) == rows(index.build_index(docs, PLAIN).postings)
+    assert rows(lexical.search(queries, back, "OR", 5)) == rows(lexical.search(queries, kept, "OR", 5))
